@@ -13,6 +13,23 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).otherwise(x)
 
 
+def three_decimals(x: Column) -> Column:
+    """Text of a number in [0, 16) with three decimals, rounded from its exact binary value as C's "%.3f" does.
+
+    ``format_string`` and ``round`` start from the shortest decimal text instead, and differ on the many
+    four-digit reflectances that end in 5.
+    """
+    unit = 2 ** 59
+    exact = (x * F.lit(float(unit))).cast("bigint").cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
+    whole = F.floor(exact / F.lit(unit).cast("decimal(20,0)")).cast("decimal(20,0)")
+    rest = exact - whole * F.lit(unit).cast("decimal(20,0)")
+    half = F.lit(unit // 2).cast("decimal(20,0)")
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    thousandths = whole.cast("bigint") + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(thousandths / 1000).cast("string"), F.lit("."),
+                    F.lpad((thousandths % 1000).cast("string"), 3, "0"))
+
+
 def join_messages(*messages: Column) -> Column:
     """The non-NULL messages in order, separated by "; "; NULL when there are none."""
     return F.nullif(F.concat_ws("; ", *messages), F.lit(""))
