@@ -52,9 +52,20 @@ def fixed_error_interval(errors: DataFrame, problem: Problem, n_boot: int = 1000
     """Paired resampling of the held-out errors, taken as fixed and independent; kept for comparison."""
     keys = list(problem.keys)
     indexed = _indexed(errors, problem, "row_id", seed, portable, buckets)
-    counts = _draw_counts(indexed, problem, n_boot, seed, portable)
-    boot = counts.join(indexed.select(*keys, "index", "error_base", "error_larger"), [*keys, "index"]).groupBy(
-        *keys, "b").agg(gain(F.sum(F.col("c") * F.col("error_base")), F.sum(F.col("c") * F.col("error_larger"))).alias("g"))
+    if problem.skewed:
+        counts = _draw_counts(indexed, problem, n_boot, seed, portable)
+        drawn = counts.join(indexed.select(*keys, "index", "error_base", "error_larger"), [*keys, "index"])
+    else:
+        # few rows per problem: each draw reads its error from the problem's own list, nothing is shuffled
+        listed = indexed.groupBy(*keys).agg(
+            F.array_sort(F.collect_list(F.struct("index", "error_base", "error_larger"))).alias("_errors"))
+        draws = indexed.select(*keys, "index", "size").join(listed, keys).select("*", _replicates(n_boot).alias("b"))
+        u = uniform(seed, F.lit("draw"), *_key_columns(problem), F.col("b"), F.col("index"), portable=portable)
+        drawn = draws.select(*keys, "b", F.lit(1).alias("c"), F.element_at(
+            "_errors", F.floor(u * F.col("size")).cast("int") + 1).alias("_e")).select(
+            *keys, "b", "c", "_e.error_base", "_e.error_larger")
+    boot = drawn.groupBy(*keys, "b").agg(
+        gain(F.sum(F.col("c") * F.col("error_base")), F.sum(F.col("c") * F.col("error_larger"))).alias("g"))
     tails = boot.groupBy(*keys).agg(_tails("g", level).alias("_q"))
     observed = errors.groupBy(*keys).agg(gain(F.sum("error_base"), F.sum("error_larger")).alias("gain"))
     return observed.join(tails, keys).select(

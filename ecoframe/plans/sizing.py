@@ -92,27 +92,39 @@ def run_repetitions(worlds: DataFrame, n_boot: int = 200, n_perm: int = 199, fit
     """One row per world: errors, gains, every interval, coverage, permutation p-value and reading.
 
     ``worlds`` has cell, repetition, seed and the scenario fields. ``n_perm`` 0 skips the permutation test and
-    ``fits`` 0 the reachable gain. Groups and forests are bounded by the scenario, so joins need no salt.
+    ``fits`` 0 the reachable gain. Groups and forests are bounded by the scenario, so joins need no salt, and
+    one shuffle by world serves every later join, sum and rank.
     """
+    partitions = int(worlds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        """Durable, and laid out by world: only these small tables move, never what is expanded from them."""
+        return durable(df).repartition(partitions, *KEYS)
+
+    worlds = placed(worlds)
     samples = durable(M.simulate(worlds, population, fits))
-    study = samples.where(F.col("sample") == M.STUDY).drop("sample")
-    forests = M.simulate_forests(worlds)
-    hosted = M.hosted_masks(study, forests, KEYS)
+    samples_by_world = samples.repartition(partitions, *KEYS)
+    study = samples_by_world.where(F.col("sample") == M.STUDY).drop("sample")
+    forests = placed(M.simulate_forests(worlds))
+    hosted = placed(M.hosted_masks(study, forests, KEYS))
     assignment = I.fold_assignment(study.select(*KEYS, "group").distinct(), KEYS, folds, cv_repetitions, "study", buckets=1)
     fold_masks = assignment.join(hosted, [*KEYS, "group"]).groupBy(*KEYS, "r", "fold").agg(F.bit_or("mask").alias("mask"))
-    assignment = assignment.join(fold_masks, [*KEYS, "r", "fold"])
-    rows = durable(M.response_variants(study, forests, hosted.select(*KEYS, "mask").unionByName(
+    assignment = placed(assignment.join(fold_masks, [*KEYS, "r", "fold"]))
+    variants = placed(M.response_variants(study, forests, hosted.select(*KEYS, "mask").unionByName(
         fold_masks.select(*KEYS, "mask")), KEYS))
-    problem = Problem(rows, tuple(KEYS), PAIR["base"], PAIR["larger"], penalty, durable(hosted), skewed=False)
+    folded = Problem(variants, tuple(KEYS), PAIR["base"], PAIR["larger"], penalty, hosted, skewed=False)
+    # holding out one group at a time meets far fewer response variants than the folds do
+    rows = placed(variants.join(hosted.select(*KEYS, "mask").distinct(), [*KEYS, "mask"], "left_semi"))
+    problem = replace(folded, rows=rows)
 
     errors = held_out_errors(problem, {"M2": C.MODELS["M2"], "base": PAIR["base"], "larger": PAIR["larger"]})
-    errors = durable(errors)
+    errors = placed(errors)
     means = errors.groupBy(*KEYS).agg(
         F.avg("error_M2").alias("mae_M2"), F.avg("error_base").alias("mae_M2b"), F.avg("error_larger").alias("mae_M3"))
     spread = study.groupBy(*KEYS).agg(F.stddev_samp("y").alias("sd_response"))
     fixed = I.fixed_error_interval(errors, problem, n_fixed, buckets=1, seed="fixed")
     refit = I.refit_bootstrap_interval(problem, n_boot, buckets=1, observed=errors)
-    cv = I.corrected_cv_interval(problem, assignment)
+    cv = I.corrected_cv_interval(folded, assignment)
 
     def bounds(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
         return df.select(*KEYS, F.col(low).alias(f"lower_{name}"), F.col(high).alias(f"upper_{name}"))
@@ -120,7 +132,7 @@ def run_repetitions(worlds: DataFrame, n_boot: int = 200, n_perm: int = 199, fit
     out = (worlds.join(means, KEYS).join(spread, KEYS)
            .join(refit.select(*KEYS, F.col("gain").alias("gain_m3_m2b"), "replicate_mean"), KEYS)
            .join(cv.select(*KEYS, F.col("gain").alias("gain_cv")), KEYS)
-           .join(true_gains(samples, penalty), KEYS)
+           .join(true_gains(samples_by_world, penalty), KEYS)
            .join(bounds(fixed, "lower", "upper", "erros_fixos"), KEYS)
            .join(bounds(refit, "percentile_lower", "percentile_upper", "reajuste"), KEYS)
            .join(bounds(refit, "basic_lower", "basic_upper", "reajuste_basico"), KEYS)

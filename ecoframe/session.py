@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # data already partitioned by a problem's keys is not shuffled again for joins on keys + more
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
