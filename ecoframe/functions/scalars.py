@@ -14,7 +14,7 @@ def finite(x: Column) -> Column:
 
 
 def three_decimals(x: Column) -> Column:
-    """Text of a number in [0, 16) with three decimals, rounded from its exact binary value as C's "%.3f" does.
+    """Text of a number in [0.01, 16) with three decimals, rounded from its exact binary value as C's "%.3f" does.
 
     ``format_string`` and ``round`` start from the shortest decimal text instead, and differ on the many
     four-digit reflectances that end in 5.
