@@ -219,7 +219,8 @@ fold_mae AS (SELECT region, r, fold, avg(abs(bi + b1 * x1 - y)) AS b, avg(abs(bi
              FROM asg JOIN ffit USING (region, r, fold) JOIN pr USING (region, grp) GROUP BY ALL),
 g AS (SELECT region, avg(d) / avg(b) AS rr, avg(b) AS bm, 1.0::DOUBLE / count(*) + avg(ratio) AS corr FROM fold_mae GROUP BY region),
 se AS (SELECT g.region, any_value(rr) AS rr, sqrt(any_value(corr) * var_samp((d - rr * b) / bm)) AS se FROM fold_mae JOIN g USING (region) GROUP BY g.region)
-SELECT region, round(rr, 5) AS gain, round(rr - 1.6448536269514722::DOUBLE * se, 5) AS lower, round(rr + 1.6448536269514722::DOUBLE * se, 5) AS upper FROM se"""
+SELECT region, round(rr, 5) AS gain, round(rr - 1.6448536269514722::DOUBLE * se, 5) AS lower, round(rr + 1.6448536269514722::DOUBLE * se, 5) AS upper
+FROM (SELECT region, CASE WHEN isfinite(rr) THEN rr END AS rr, CASE WHEN isfinite(rr) AND isfinite(se) THEN se END AS se FROM se)"""
 
 
 def permutation_p(spark, sf_dir):
@@ -241,7 +242,8 @@ ptot AS (SELECT region, i, {', '.join(f'sum({n}) AS {n}' for n in SUMS)} FROM ps
 ptrain AS (SELECT pst.region, pst.i, pst.grp, {', '.join(f'ptot.{n} - pst.{n} AS {n}' for n in SUMS)} FROM pst JOIN ptot ON pst.region = ptot.region AND pst.i = ptot.i),
 pfit AS ({_fit('ptrain', 'region, i, grp')}),
 pe AS (SELECT region, i, sum(abs(li + l1 * x1 + l2 * x2 - y)) AS e FROM pm JOIN pfit USING (region, i, grp) GROUP BY ALL)
-SELECT pe.region, round(any_value(gain), 6) AS gain, round((1 + count(*) FILTER (e <= sl * (1 + 1e-12))) / (1 + count(*))::DOUBLE, 6) AS p_value
+SELECT pe.region, round(any_value(CASE WHEN isfinite(gain) THEN gain END), 6) AS gain,
+       round(CASE WHEN isfinite(any_value(gain)) THEN (1 + count(*) FILTER (e <= sl * (1 + 1e-12))) / (1 + count(*))::DOUBLE END, 6) AS p_value
 FROM pe JOIN seen ON seen.region = pe.region GROUP BY pe.region"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ecoframe import constants as C
 from ecoframe.functions.random import uniform
+from ecoframe.functions.scalars import finite
 from ecoframe.operators.ridge import (Problem, absolute_errors, coefficients, gain, held_out_errors, moment_names,
                                       moments, summed)
 from ecoframe.operators.skew import rank_by_uniform
@@ -148,15 +149,15 @@ def corrected_cv_interval(problem: Problem, assignment: DataFrame, level: float
     errors = absolute_errors(F.col("_f.fit"), problem.models)
     per_fold = scored.groupBy(*keys, F.col("_f.r").alias("r"), F.col("_f.fold").alias("fold")).agg(
         F.avg(errors["base"]).alias("b"), F.avg(errors["base"] - errors["larger"]).alias("d"),
-        F.max(F.col("_f.n_test") / (F.col("_f.n_all") - F.col("_f.n_test"))).alias("_ratio"))
+        F.max(F.try_divide(F.col("_f.n_test"), F.col("_f.n_all") - F.col("_f.n_test"))).alias("_ratio"))
     pooled = per_fold.groupBy(*keys).agg(
         F.avg("d").alias("_d"), F.avg("b").alias("_b"), F.var_samp("d").alias("_vd"), F.var_samp("b").alias("_vb"),
         F.covar_samp("d", "b").alias("_cov"), (1 / F.count(F.lit(1)) + F.avg("_ratio")).alias("_correction"))
-    r = F.try_divide(F.col("_d"), F.col("_b"))
+    r = finite(F.try_divide(F.col("_d"), F.col("_b")))  # NULL where a fold leaves nothing to train on
     variance = F.try_divide(F.col("_vd") - 2 * F.col("_r") * F.col("_cov") + F.col("_r") * F.col("_r") * F.col("_vb"),
                             F.col("_b") * F.col("_b"))
     z = NormalDist().inv_cdf(1 - (1 - level) / 2)
-    se = F.sqrt(F.col("_correction") * F.greatest(variance, F.lit(0.0)))
+    se = F.sqrt(F.col("_correction") * F.greatest(finite(variance), F.lit(0.0)))
     return pooled.withColumn("_r", r).select(
         *keys, F.col("_r").alias("gain"), (F.col("_r") - z * se).alias("lower"), (F.col("_r") + z * se).alias("upper"))
 
@@ -208,6 +209,7 @@ def permutation_test(problem: Problem, feature: str, n_perm: int = 199, seed="pe
     seen = seen_errors.groupBy(*keys).agg(F.sum("error_base").alias("_base"), F.sum("error_larger").alias("_larger"))
     # a permutation that changes nothing must count as equal, whatever the order of its sums
     at_least = F.col("_e") <= F.col("_larger") * (1 + 1e-12)
-    return permuted_error.join(seen, keys).groupBy(*keys).agg(
+    tested = permuted_error.join(seen, keys).groupBy(*keys).agg(
         F.max(gain(F.col("_base"), F.col("_larger"))).alias("gain"),
         ((1 + F.count_if(at_least)) / (1 + F.count(F.lit(1)))).alias("p_value"))
+    return tested.withColumn("p_value", F.when(F.col("gain").isNotNull(), F.col("p_value")))

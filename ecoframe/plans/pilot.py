@@ -112,4 +112,6 @@ def integrate(recordings: DataFrame, detections: DataFrame, campaigns: DataFrame
     order = [c for c in ("ordinal", "clock_start", "campaign_id") if c in campaigns.columns]
     assigned = acoustic.assign_campaigns(recordings, campaigns, campaign_order=order)
     summary = acoustic.acoustic_summary(assigned, detections, campaigns, standard_minutes)
-    return acoustic.analytical_table(summary, optical_descriptors(series), points)
+    located = points.withColumn("latitude", F.col("latitude").try_cast("double")).withColumn(
+        "longitude", F.col("longitude").try_cast("double"))
+    return acoustic.analytical_table(summary, optical_descriptors(series), located)
