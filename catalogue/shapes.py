@@ -29,7 +29,8 @@ def recordings(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("c"), F.col("o_custkey")))
     path = F.concat(F.lit("/audio/"), F.col("o_orderkey"), F.lit("/"), folder, F.lit("/"), order_file())
     base = table(spark, sf_dir, "orders").withColumn("path", path).withColumn("file", S.base_name(F.col("path")))
-    return base.select(
+    # inline() makes the parsed columns a result of their own: filters and groupings on them do not parse again
+    return base.select(F.inline(F.array(F.struct(
         "path", "file", S.recording_site(F.col("file")).alias("site"),
         S.folder_site(F.col("path")).alias("source_site"), S.recording_clock(F.col("file")).alias("clock_start"),
         F.when(F.col("o_orderstatus") == "P", 30.0).otherwise(60.0).alias("duration_s"),
@@ -37,7 +38,7 @@ def recordings(spark, sf_dir) -> DataFrame:
         F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "F"), 2).otherwise(1).alias("channels"),
         F.sha2(cents("o_totalprice").cast("string"), 256).alias("sha256"),
         S.join_messages(S.recording_name_error(F.col("file")),
-                        F.when(F.col("o_totalprice") < 2000, "unreadable header")).alias("error"))
+                        F.when(F.col("o_totalprice") < 2000, "unreadable header")).alias("error")))))
 
 
 RECORDINGS = """

@@ -24,19 +24,24 @@ def campaign_table(recordings: DataFrame) -> DataFrame:
 
 
 def assign_campaigns(recordings: DataFrame, campaigns: DataFrame, row_key: Sequence[str] = ("path",),
-                     campaign_order: Sequence[str] = ("ordinal",), strict: bool = True) -> DataFrame:
+                     campaign_order: Sequence[str] = ("ordinal",), strict: bool = True,
+                     bucket_days: int = 32) -> DataFrame:
     """Each valid recording with the campaign of its site whose interval holds its clock start.
 
     Both bounds are included; of several matching campaigns the last one (by ``campaign_order``) wins. With
     ``strict`` a valid recording outside every campaign fails the job; otherwise its campaign_id is NULL.
 
-    The range condition becomes an equality on (site, day): a campaign is repeated once per day it spans, so
-    even a site with very many recordings is spread over its days.
+    The range condition becomes an equality on (site, bucket of days): a campaign is repeated once per bucket it
+    spans, so even a site with very many recordings is spread over time. ``bucket_days`` near the usual campaign
+    length keeps those copies few.
     """
-    valid = recordings.where(F.col("error").isNull()).withColumn("_day", F.to_date("clock_start"))
-    days = F.sequence(F.to_date("clock_start"), F.to_date("clock_end"))
+    def bucket(clock):
+        return F.floor(F.unix_date(F.to_date(clock)) / F.lit(float(bucket_days))).cast("int")
+
+    valid = recordings.where(F.col("error").isNull()).withColumn("_day", bucket("clock_start"))
     spans = campaigns.where(F.col("clock_start") <= F.col("clock_end")).select(
-        F.col("site").alias("_site"), F.explode(days).alias("_span_day"), F.col("clock_start").alias("_from"),
+        F.col("site").alias("_site"), F.explode(F.sequence(bucket("clock_start"), bucket("clock_end"))).alias("_span_day"),
+        F.col("clock_start").alias("_from"),
         F.col("clock_end").alias("_to"), F.col("campaign_id").alias("_campaign"),
         F.struct(*campaign_order).alias("_order"))
     inside = ((F.col("site") == F.col("_site")) & (F.col("_day") == F.col("_span_day"))
