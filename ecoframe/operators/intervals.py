@@ -15,6 +15,12 @@ from ecoframe.operators.ridge import (Problem, absolute_errors, coefficients, ga
 from ecoframe.operators.skew import rank_by_uniform
 
 
+def _small(problem: Problem, df: DataFrame) -> DataFrame:
+    """Marks a side that holds a few rows per problem: where problems are small, it is hashed instead of sorting
+    the side that was expanded to one row per replicate."""
+    return df if problem.skewed else df.hint("shuffle_hash")
+
+
 def _replicates(n: int):
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
@@ -86,9 +92,9 @@ def refit_bootstrap_interval(problem: Problem, n_boot: int = 200, level: float =
     groups = stats.select(*keys, "group").distinct()
     indexed = _indexed(groups, problem, "group", seed, portable, buckets)
     counts = _draw_counts(indexed, problem, n_boot, seed, portable).join(
-        indexed.select(*keys, "index", "group"), [*keys, "index"]).select(*keys, "b", "group", "c")
+        _small(problem, indexed.select(*keys, "index", "group")), [*keys, "index"]).select(*keys, "b", "group", "c")
 
-    weighted = counts.join(stats, [*keys, "group"])
+    weighted = counts.join(_small(problem, stats), [*keys, "group"])
     totals = summed(weighted, [*keys, "b", "mask"], features, weight=F.col("c"), prefix="t_")
     train = {n: F.col(f"t_{n}") - F.col("c") * F.col(n) for n in names}
     fits = problem.own(weighted).join(totals, [*keys, "b", "mask"]).select(
@@ -171,7 +177,7 @@ def permuted_groups(group_sizes: DataFrame, problem: Problem, n_perm: int, seed,
     drawn = group_sizes.select(*keys, "size", F.col("group").alias("source"), _replicates(n_perm).alias("i")).withColumn(
         "_u", uniform(seed, F.lit("perm"), *_key_columns(problem), F.col("i"), F.col("source"), portable=portable))
     shuffled = rank_by_uniform(drawn, [*keys, "size", "i"], "_u", ["source"], "place", buckets)
-    return shuffled.join(places, [*keys, "size", "place"]).select(*keys, "i", "group", "source")
+    return shuffled.join(_small(problem, places), [*keys, "size", "place"]).select(*keys, "i", "group", "source")
 
 
 def permutation_test(problem: Problem, feature: str, n_perm: int = 199, seed="permutation", portable: bool = False,
@@ -190,12 +196,12 @@ def permutation_test(problem: Problem, feature: str, n_perm: int = 199, seed="pe
     sizes = positions.groupBy(*keys, "group").agg(F.count(F.lit(1)).alias("size"))
     swaps = permuted_groups(sizes, problem, n_perm, seed, portable, buckets)
 
-    # per source group the list of (permutation, destination): at most n_perm × groups of that size in total
-    moved = swaps.join(positions.select(*keys, F.col("group").alias("source"), "position", "_value"), [*keys, "source"])
-    targets = positions.select(*keys, "group", "position", "row_id")
-    values = moved.join(targets, [*keys, "group", "position"]).select(*keys, "i", "row_id", "_value")
+    # the row at each position of the destination takes the value at that position of the source
+    sources = positions.select(*keys, F.col("group").alias("source"), "position", "_value")
+    moved = swaps.join(_small(problem, sources), [*keys, "source"])
     rest = [c for c in problem.rows.columns if c != feature]
-    permuted = values.join(problem.rows.select(*rest), [*keys, "row_id"]).withColumnRenamed("_value", feature)
+    targets = positions.select(*keys, "row_id", "position").join(problem.rows.select(*rest), [*keys, "row_id"])
+    permuted = moved.join(_small(problem, targets), [*keys, "group", "position"]).withColumnRenamed("_value", feature)
 
     by_group = permuted.groupBy(*keys, "i", "mask", "group").agg(*moments(features))
     totals = summed(by_group, [*keys, "i", "mask"], features, prefix="t_")

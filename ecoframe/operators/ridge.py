@@ -63,7 +63,8 @@ class Problem:
         """Only the variant that belongs to each row's own held-out group."""
         if self.hosted is None:
             return rows
-        return rows.join(self.hosted, [*self.keys, "group", "mask"])
+        hosted = self.hosted if self.skewed else self.hosted.hint("shuffle_hash")
+        return rows.join(hosted, [*self.keys, "group", "mask"])
 
 
 def moment_names(features: Sequence[str]) -> list[str]:
