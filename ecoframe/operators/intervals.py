@@ -35,7 +35,7 @@ def _indexed(df: DataFrame, problem: Problem, what: str, seed, portable: bool, b
     drawn = df.withColumn("_u", uniform(seed, F.lit("index"), *_key_columns(problem), F.col(what), portable=portable))
     ranked = rank_by_uniform(drawn, keys, "_u", [what], "index", buckets).drop("_u")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    return ranked.join(sizes, keys)
+    return problem.join(ranked, sizes, keys, weight="size")
 
 
 def _draw_counts(indexed: DataFrame, problem: Problem, n_boot: int, seed, portable: bool) -> DataFrame:

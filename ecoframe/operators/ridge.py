@@ -149,7 +149,7 @@ def held_out_fits(problem: Problem, models: Mapping[str, Sequence[str]] | None =
     keys, features = list(problem.keys), problem.features
     stats = problem.group_stats()
     totals = summed(stats, [*keys, "mask"], features, prefix="t_")
-    own = problem.own(stats).join(totals, [*keys, "mask"])
+    own = problem.join(problem.own(stats), totals, [*keys, "mask"], weight="t_s_w")
     train = {n: F.col(f"t_{n}") - F.col(n) for n in moment_names(features)}
     return own.select(*keys, "mask", "group", "s_w", coefficients(
         train, features, models or problem.models, problem.penalty).alias("fit"))

@@ -95,7 +95,8 @@ def run_repetitions(worlds: DataFrame, n_boot: int = 200, n_perm: int = 199, fit
     ``fits`` 0 the reachable gain. Groups and forests are bounded by the scenario, so joins need no salt, and
     one shuffle by world serves every later join, sum and rank.
     """
-    partitions = int(worlds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = worlds.sparkSession
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
     def placed(df: DataFrame) -> DataFrame:
         """Durable, and laid out by world: only these small tables move, never what is expanded from them."""
