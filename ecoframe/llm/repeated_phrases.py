@@ -61,13 +61,12 @@ def locate(contents: list[list[bytes]], keys: np.ndarray, starts: np.ndarray) ->
     windows = np.concatenate([rolled(hashes(words), WIDTH) for words in contents])
     _, inverse, times = np.unique(windows, return_inverse=True, return_counts=True)
     recurring = np.flatnonzero(times[inverse] > 1)
-    # Confirmed phrases: one window for each hash that recurs; equal words give one phrase.
+    # Confirmed phrases: windows whose hash recurs; equal words are one phrase, under the number of the last of them.
     piece = np.searchsorted(first, recurring, "right") - 1
     phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    size = 0
-    for p, at in zip(piece.tolist(), (recurring - first[piece]).tolist()):
-        size += phrases.add_word(tokens[p][at:at + WIDTH], size)
-    if not size:
+    for i, (p, at) in enumerate(zip(piece.tolist(), (recurring - first[piece]).tolist())):
+        phrases.add_word(tokens[p][at:at + WIDTH], i)
+    if not len(recurring):
         return [gone[a:b] for a, b in zip(first, first[1:])]
     phrases.make_automaton()
     found, where = [], []

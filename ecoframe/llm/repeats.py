@@ -126,11 +126,11 @@ def anchors(rows: DataFrame, units: Units) -> DataFrame:
 def suspects(found: DataFrame, part: int, crowd: int) -> DataFrame:
     """(key, start, n, shard, dealt): runs whose anchor occurs more than once, and the shard that they belong to."""
     same = Window.partitionBy("gram")
-    times = F.lit(1) + F.coalesce(F.size("more"), F.lit(0)) / 3
-    met = found.withColumns({"times": F.sum(times).over(same), "first": F.min(F.struct("key", "start")).over(same)}).filter("times > 1")
-    rest = F.transform(F.sequence(F.lit(0), F.size("more") / 3 - 1), lambda i: F.struct(
-        F.get("more", (3 * i).cast("int")).alias("key"), F.get("more", (3 * i + 1).cast("int")).cast("int").alias("start"),
-        F.get("more", (3 * i + 2).cast("int")).cast("int").alias("n")))
+    listed = F.when(F.col("more").isNull(), 0).otherwise(F.expr("cast(size(more) div 3 as int)"))
+    met = found.withColumns({"times": F.sum(listed + 1).over(same), "first": F.min(F.struct("key", "start")).over(same)}).filter("times > 1")
+    rest = F.transform(F.sequence(F.lit(0), listed - 1), lambda i: F.struct(
+        F.get("more", 3 * i).alias("key"), F.get("more", 3 * i + 1).cast("int").alias("start"),
+        F.get("more", 3 * i + 2).cast("int").alias("n")))
     own = F.array(F.struct("key", "start", "n"))
     every = F.explode(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, rest)))
     met = met.select("times", "first", every.alias("r")).select("r.*", "times", "first")
@@ -142,7 +142,8 @@ def suspects(found: DataFrame, part: int, crowd: int) -> DataFrame:
 def pieces(rows: DataFrame, runs_of: DataFrame, units: Units) -> DataFrame:
     """(shard, dealt, key, start, piece): the text of suspect windows; runs side by side in one shard are one piece."""
     lists = runs_of.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "n", "shard", "dealt"))).alias("runs"))
-    met = rows.join(lists.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "text", "runs")
+    # The same columns as in `with_removed`, so that both joins read one exchange of the texts.
+    met = rows.join(lists.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("doc_id", "key", "text", "runs")
     shape = "shard long, dealt boolean, key long, start int, piece binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
