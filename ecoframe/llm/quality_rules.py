@@ -128,3 +128,10 @@ def judge(docs: DataFrame, policy: Policy = POLICIES[-1], rules: Sequence[Rule]
     """The ledger with base_failed and kept."""
     return ledger(docs, rules).withColumn("base_failed", ~passes(POLICIES[0], rules)).withColumn(
         "kept", passes(policy, rules) & ~F.col("base_failed"))
+
+
+def keep(docs: DataFrame, policy: Policy = POLICIES[-1], rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of `docs` that `policy` passes, with their columns: the ledger is computed beside each row, nothing is shuffled."""
+    held = docs.select(F.struct(*docs.columns).alias("doc_id"), F.col("text").alias("text"))
+    book = ledger(held, rules)
+    return book.filter(passes(policy, rules)).select("doc_id.*")
