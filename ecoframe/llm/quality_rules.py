@@ -80,13 +80,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     df = df.withColumn("__lines", F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(WORD)))
     df = _repeat_words(df)
     count = lambda pattern: F.regexp_count(F.col("__text"), F.lit(pattern)).cast("long")
-    return df.select(
-        "doc_id", F.col("__n").cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+    # The generator keeps later filters from being pushed, and expanded, below the measurements.
+    return df.select("doc_id", F.inline(F.array(F.struct(
+        F.col("__n").cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"), F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), F.col("n_repeat_words"),
         count(r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{2})[^\x20\x09-\x0D\p{javaLowerCase}]*\p{javaUpperCase}"
               r"[^\x20\x09-\x0D\p{javaLowerCase}]*(?![^\x20\x09-\x0D])").alias("n_shouted"),
-        count(r"\p{L}").alias("n_letters"))
+        count(r"\p{L}").alias("n_letters")))))
 
 
 def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
