@@ -7,8 +7,8 @@ a text gives one row for each run of them, not one for each window.
 1. Rows meet by anchor. Within an Arrow batch those with equal anchors become one row with a list. Anchors that occur once are
    done: their windows can't repeat.
 2. Every other window goes to a shard that depends on its anchor only: the text and the part of it in which the anchor occurs
-   first. Texts that share much so share one shard, and runs side by side travel as one piece of text. An anchor with over
-   `crowd` occurrences is dealt out over several shards by text.
+   first. Texts that share much so share one shard, and runs side by side travel as one piece of text. An anchor that over
+   `crowd` texts have is dealt out over several shards by text.
 3. A shard finds, by the operator's own method (`settle`), which windows start earlier too. Where an anchor was dealt out, the
    first of each window within a shard is compared by a 128-bit hash with those of the sister shards.
 4. Removed runs of windows go back to their texts.
@@ -79,14 +79,14 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1:n])
 
 
-def runs(h: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor's gram) of the runs of windows that share an anchor."""
+def runs(h: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor's gram, anchor's place) of the runs of windows that share an anchor."""
     grams = rolled(h, units.gram)
     inside = units.width - units.gram + 1
     windows = len(h) - units.width + 1
     if windows <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), none
     starts, anchors = [], []
     for a in range(0, windows, STRETCH):
         part = grams[a:min(windows, a + STRETCH) + inside - 1]
@@ -96,11 +96,13 @@ def runs(h: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarra
         starts.append(first + a)
         anchors.append(place[first] + a)
     start, anchor = np.concatenate(starts), np.concatenate(anchors)
-    return start, np.diff(np.concatenate((start, [windows]))), grams[anchor]
+    return start, np.diff(np.concatenate((start, [windows]))), grams[anchor], anchor
 
 
 def anchors(rows: DataFrame, units: Units) -> DataFrame:
-    """(gram, key, start, n, more): a run of windows; `more` lists key, start, n of further runs of the batch with that gram."""
+    """(gram, key, start, n, texts, more): a run of windows; `more` lists key, start, n of further runs of the batch with that
+    gram, and `texts` says how many texts they are in.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -112,29 +114,31 @@ def anchors(rows: DataFrame, units: Units) -> DataFrame:
             order = np.lexsort((start, key, gram))
             start, n, gram, key = start[order], n[order], gram[order].view(np.int64), key[order]
             first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, int)
+            other = np.concatenate(([True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1]))) if len(gram) else np.zeros(0, bool)
+            texts = np.add.reduceat(other.astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
             more = np.full(len(first), None, object)
             size = np.diff(np.concatenate((first, [len(gram)])))
             for i in np.flatnonzero(size > 1):
                 s = slice(first[i] + 1, first[i] + size[i])
                 more[i] = np.stack((key[s], start[s], n[s]), 1).ravel()
             yield pd.DataFrame({"gram": gram[first], "key": key[first], "start": start[first].astype(np.int32),
-                                "n": n[first].astype(np.int32), "more": more})
+                                "n": n[first].astype(np.int32), "texts": texts, "more": more})
 
-    return rows.select("key", "text").mapInPandas(run, "gram long, key long, start int, n int, more array<long>")
+    return rows.select("key", "text").mapInPandas(run, "gram long, key long, start int, n int, texts int, more array<long>")
 
 
 def suspects(found: DataFrame, part: int, crowd: int) -> DataFrame:
     """(key, start, n, shard, dealt): runs whose anchor occurs more than once, and the shard that they belong to."""
     same = Window.partitionBy("gram")
     listed = F.when(F.col("more").isNull(), 0).otherwise(F.expr("cast(size(more) div 3 as int)"))
-    met = found.withColumns({"times": F.sum(listed + 1).over(same), "first": F.min(F.struct("key", "start")).over(same)}).filter("times > 1")
+    met = found.withColumns({"times": F.sum(listed + 1).over(same), "among": F.sum("texts").over(same), "first": F.min(F.struct("key", "start")).over(same)}).filter("times > 1")
     rest = F.transform(F.sequence(F.lit(0), listed - 1), lambda i: F.struct(
         F.get("more", 3 * i).alias("key"), F.get("more", 3 * i + 1).cast("int").alias("start"),
         F.get("more", 3 * i + 2).cast("int").alias("n")))
     own = F.array(F.struct("key", "start", "n"))
     every = F.explode(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, rest)))
-    met = met.select("times", "first", every.alias("r")).select("r.*", "times", "first")
-    shards = F.ceil(F.col("times") / crowd).cast("int")
+    met = met.select("among", "first", every.alias("r")).select("r.*", "among", "first")
+    shards = F.ceil(F.col("among") / crowd).cast("int")
     shard = F.xxhash64("first.key", F.floor(F.col("first.start") / part), shards, F.pmod(F.xxhash64("key"), shards))
     return met.select("key", "start", "n", shard.alias("shard"), (shards > 1).alias("dealt"))
 

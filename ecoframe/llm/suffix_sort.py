@@ -134,43 +134,57 @@ def _later(s: Suffixes, at: np.ndarray, group: np.ndarray, depth: np.ndarray, ke
     return out
 
 
+def _numbered(gram: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """One number for each pair of gram and place."""
+    return np.unique(mix(gram + np.uint64(0x9E3779B97F4A7C15) * place.astype(np.uint64)), return_inverse=True)[1]
+
+
+def _several(gram: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where a pair of gram and place occurs more than once."""
+    if not len(gram):
+        return np.zeros(0, np.int64)
+    inverse = _numbered(gram, place)
+    return np.flatnonzero(np.bincount(inverse)[inverse] > 1)
+
+
 def locate(contents: list[bytes], keys: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """Which windows of each piece start earlier too, within the pieces given."""
     base = np.concatenate(([0], np.cumsum([len(c) for c in contents])))
     found = [runs(hashes(c), UNITS) for c in contents]
     count = np.array([len(f[0]) for f in found])
     piece = np.repeat(np.arange(len(contents)), count)
-    start, n, gram = (np.concatenate([f[i] for f in found]) for i in range(3))
+    start, n, gram, anchor = (np.concatenate([f[i] for f in found]) for i in range(4))
     s = Suffixes(b"".join(contents))
-    at, key, place = start + base[piece], keys[piece], start + starts[piece]
     gone = np.zeros(base[-1], bool)
-    # Whole runs: only anchors that recur here, and only runs of one length, can agree.
-    _, inverse, times = np.unique(gram, return_inverse=True, return_counts=True)
-    many = np.flatnonzero(times[inverse] > 1)
-    at, key, place, n, group = at[many], key[many], place[many], n[many], inverse[many]
-    later = _later(s, at, group, n + WIDTH - 1, key, place)
+    # Suffixes can agree only if they have the same anchor at the same place, and reach equally far.
+    ahead = anchor - start
+    many = _several(gram, n * (1 << 32) + ahead)
+    at, key, place = start[many] + base[piece[many]], keys[piece[many]], start[many] + starts[piece[many]]
+    later = np.zeros(len(start), bool)
+    later[many] = _later(s, at, _numbered(gram[many], ahead[many]), n[many] + WIDTH - 1, key, place)
     mark = np.zeros(base[-1] + 1, np.int32)
-    np.add.at(mark, at[later], 1)
-    np.add.at(mark, at[later] + n[later], -1)
+    first = start + base[piece]
+    np.add.at(mark, first[later], 1)
+    np.add.at(mark, first[later] + n[later], -1)
     gone |= np.cumsum(mark[:-1]) > 0
     # Single windows of the runs that stay, where an anchor has more than one of them.
     left = np.flatnonzero(~later)
-    _, inverse, times = np.unique(group[left], return_inverse=True, return_counts=True)
-    left = left[times[inverse] > 1]
-    step = np.arange(n[left].sum()) - np.repeat(np.concatenate(([0], np.cumsum(n[left])[:-1])), n[left])
-    rep = lambda v: np.repeat(v[left], n[left])
-    w_at, w_key, w_place, w_group = rep(at) + step, rep(key), rep(place) + step, rep(group)
-    later = _later(s, w_at, w_group, np.full(len(w_at), WIDTH), w_key, w_place)
-    gone[w_at[later]] = True
+    left = left[_several(gram[left], np.zeros(len(left), np.int64))]
+    step = np.arange(n[left].sum()) - np.repeat(np.cumsum(n[left]) - n[left], n[left])
+    run = np.repeat(left, n[left])
+    many = _several(gram[run], ahead[run] - step)
+    run, step = run[many], step[many]
+    w_at, key, place = first[run] + step, keys[piece[run]], start[run] + starts[piece[run]] + step
+    gone[w_at[_later(s, w_at, _numbered(gram[run], ahead[run] - step), np.full(len(run), WIDTH), key, place)]] = True
     return [gone[a:b - WIDTH + 1] for a, b in zip(base, base[1:])]
 
 
-def dedup(docs: DataFrame, part: int = 16384, crowd: int = 512, block: int = 1 << 21) -> DataFrame:
+def dedup(docs: DataFrame, part: int = 2048, crowd: int = 4096, block: int = 1 << 21) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row: bytes that an earlier window covers are removed."""
     return _apply(docs, part, crowd, block, True)
 
 
-def summary(docs: DataFrame, part: int = 16384, crowd: int = 512, block: int = 1 << 21) -> DataFrame:
+def summary(docs: DataFrame, part: int = 2048, crowd: int = 4096, block: int = 1 << 21) -> DataFrame:
     """`dedup` without the bytes."""
     return _apply(docs, part, crowd, block, False)
 
