@@ -133,16 +133,30 @@ class Query:
             keys, counts = np.unique(key, return_counts=True)
             segment = keys >> 40
             good = counts >= self.bounds[segment]
+            last: dict[int, int] = {}
             for s, b in zip(segment[good].tolist(), (keys[good] & ((1 << 40) - 1)).tolist()):
                 seg = self.segments[s]
                 w = max(seg.edits, 1)
-                low = b * w - self.window
-                hit = align(seg.codes, x, low - seg.edits, low + 2 * w + seg.edits, seg.edits)
+                low, high = b * w - self.window - seg.edits, b * w - self.window + 2 * w + seg.edits
+                if low <= last.get(s, low - 1) <= high:
+                    continue  # the neighbouring band has the same match
+                hit = equal(seg.codes, x, low, high) or align(seg.codes, x, low, high, seg.edits)
                 if hit:
+                    last[s] = hit[0]
                     found.append((seg.item, *hit))
         return _merge(found)
 
 
+def equal(pattern: np.ndarray, x: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """An occurrence without edits on diagonals low..high, which needs no alignment."""
+    low = max(low, 0)
+    part, wanted, at = x[low:high + len(pattern)].tobytes(), pattern.tobytes(), -1
+    while (at := part.find(wanted, at + 1)) >= 0:
+        if at % 4 == 0:
+            return low + at // 4, low + at // 4 + len(pattern), 0
+    return None
+
+
 def align(pattern: np.ndarray, x: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
     """The pattern within diagonals low..high of x, with at most `edits` edits: (start, end, edits) of the best place."""
     end = _banded(pattern, x, low, high)
