@@ -307,23 +307,23 @@ WHERE o_orderdate::DATE >= DATE '1996-06-30' AND o_orderdate::DATE + 15 <= DATE
 # --- cloudiness -----------------------------------------------------------------------------------------------------
 
 def _cloud_series(spark, sf_dir):
-    """Suppliers as points in the landscape of their region; two validity rules per shipment of 1998."""
+    """Suppliers as points in the landscape of their region; two validity rules per shipment; a point is a supplier in one year."""
     context = T.table(spark, sf_dir, "supplier").join(
         T.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
         T.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name")
-    rows = T.table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == 1998)
+    rows = T.table(spark, sf_dir, "lineitem")
     return rows.join(context, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.col("r_name").alias("landscape"), F.col("l_suppkey").cast("string").alias("point"),
+        F.col("r_name").alias("landscape"), F.concat_ws("/", "l_suppkey", F.year("l_shipdate")).alias("point"),
         F.to_date("l_shipdate").alias("composite_start"), F.date_add("l_shipdate", 8).alias("observation_date"),
         (F.col("l_returnflag") == "N").alias("valid"), (F.col("l_quantity") > 20).alias("valid_cube_scl_b02"))
 
 
 CLOUD_SERIES = """
 series AS (
-  SELECT r_name AS landscape, CAST(l_suppkey AS VARCHAR) AS point, l_shipdate::DATE AS composite_start,
+  SELECT r_name AS landscape, l_suppkey || '/' || year(l_shipdate) AS point, l_shipdate::DATE AS composite_start,
          l_shipdate::DATE + 8 AS observation_date, l_returnflag = 'N' AS valid, l_quantity > 20 AS valid_cube_scl_b02
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  JOIN region ON n_regionkey = r_regionkey WHERE year(l_shipdate) = 1998),
+  JOIN region ON n_regionkey = r_regionkey),
 ruled AS (
   SELECT 'valid' AS rule, *, valid AS ok FROM series UNION ALL SELECT 'valid_cube_scl_b02', *, valid_cube_scl_b02 FROM series),
 per_point AS (

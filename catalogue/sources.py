@@ -47,9 +47,9 @@ FROM (SELECT *, l_returnflag <> 'R' AS ok FROM lineitem) GROUP BY 1, 2, 3"""
 
 def record_files(spark, sf_dir):
     """File maps of records built as JSON, one record per order and one file per line item."""
-    rows = T.table(spark, sf_dir, "lineitem").where(F.col("l_extendedprice").isNotNull())
+    rows = T.table(spark, sf_dir, "lineitem")
     file = F.to_json(F.struct(
-        F.concat_ws(".", "l_orderkey", "l_linenumber", T.cents("l_extendedprice")).alias("key"), F.col("l_quantity").cast("bigint").alias("size"),
+        F.concat_ws(".", "l_orderkey", "l_linenumber", F.coalesce(T.cents("l_extendedprice"), F.lit(0))).alias("key"), F.col("l_quantity").cast("bigint").alias("size"),
         F.when(F.col("l_returnflag") == "R", F.concat(F.lit("sha1:"), F.col("l_partkey"))).otherwise(
             F.concat(F.lit("md5:"), F.md5(F.col("l_partkey").cast("string")))).alias("checksum"),
         F.struct(F.concat(F.lit("https://files/"), F.col("l_partkey")).alias("self")).alias("links")))
@@ -58,7 +58,7 @@ def record_files(spark, sf_dir):
 
 
 RECORD_FILES = """
-SELECT l_orderkey || '.' || l_linenumber || '.' || CAST(round(l_extendedprice * 100) AS BIGINT) AS name, 'https://files/' || l_partkey AS url,
+SELECT l_orderkey || '.' || l_linenumber || '.' || coalesce(CAST(round(l_extendedprice * 100) AS BIGINT), 0) AS name, 'https://files/' || l_partkey AS url,
        l_quantity::BIGINT AS size, CASE WHEN l_returnflag <> 'R' THEN md5(l_partkey::VARCHAR) END AS md5 FROM lineitem"""
 
 

@@ -71,8 +71,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantil
 
     def at(rank: Column, i: int) -> Column:
         here = (F.col("_target") == i) & (F.col("_from") <= rank) & (rank < F.col("_to"))
-        return F.max(F.when(here, F.coalesce(F.col("_v"), F.raise_error(
-            F.lit("quantile bracket missed its order statistic")).cast("double"))))
+        missed = F.raise_error(F.lit("quantile bracket missed its order statistic")).cast("double")
+        found = F.max(F.when(here, F.coalesce(F.col("_v"), missed)))
+        wanted_here = F.max(F.col("_target") == i)  # a miss above the bracket has no row at all
+        return F.when(wanted_here & found.isNull(), missed).otherwise(found)
 
     picks = []
     for i, _ in enumerate(wanted):

@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 
 from ecoframe.functions.scalars import finite
 from ecoframe.operators.skew import attach
+from ecoframe.session import durable
 
-# variance below this share of the mean square counts as zero (the sums of a constant column do not cancel exactly)
-CONSTANT_SHARE = 1e-13
+# share of the mean square around the problem's centre that sums of doubles (total − group) can't tell from zero:
+# a column that is constant among the training rows has deviation 1
+ROUNDING = 1e-13
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,9 @@ class Problem:
     hosted: DataFrame | None = None
     skewed: bool = True
 
+    def __post_init__(self):
+        object.__setattr__(self, "rows", centred(self.rows, self.keys, [*self.features, "y"]))
+
     @property
     def features(self) -> list[str]:
         return list(dict.fromkeys([*self.larger, *self.base]))
@@ -67,6 +72,18 @@ class Problem:
         return rows.join(hosted, [*self.keys, "group", "mask"])
 
 
+def centred(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Every column less its median within the problem, so that sums keep their digits whatever the origin.
+
+    The median is one of the values: a constant column becomes exactly zero. The rows are written once (keys, response
+    and features only), because every step of a model reads them again.
+    """
+    middle = [F.percentile_approx(F.col(c).cast("double"), 0.5, 100).alias(f"_mid_{c}") for c in columns]
+    middles = durable(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *middle))
+    joined = attach(rows, middles, keys, "_n")
+    return durable(joined.withColumns({c: F.col(c) - F.coalesce(f"_mid_{c}", F.lit(0.0)) for c in columns}).select(*rows.columns))
+
+
 def moment_names(features: Sequence[str]) -> list[str]:
     p = len(features)
     return (["s_w", "s_y"] + [f"s_x{i}" for i in range(p)] + [f"s_xy{i}" for i in range(p)]
@@ -114,7 +131,7 @@ def coefficients(train: Mapping[str, Column], features: Sequence[str], models: M
         square[:, upper[0], upper[1]] = square[:, upper[1], upper[0]] = s[:, 2 + 2 * p:]
         spread = square - w[:, None, None] * mean[:, :, None] * mean[:, None, :]
         diagonal = np.einsum("mii->mi", spread)
-        constant = diagonal <= CONSTANT_SHARE * np.einsum("mii->mi", square)
+        constant = diagonal <= ROUNDING * np.einsum("mii->mi", square)
         sd = np.where(constant, 1.0, np.sqrt(np.where(constant, 1.0, diagonal) / w[:, None]))
         z = np.where(constant[:, :, None] | constant[:, None, :], 0.0, spread) / (sd[:, :, None] * sd[:, None, :])
         b = np.where(constant, 0.0, xy) / sd

@@ -7,25 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot when it owns more than 1/HOT_SHARE of the weight, so fewer than HOT_SHARE keys can be hot:
-# that count bounds what is broadcast, whatever the size of the data.
-HOT_SHARE = 1000
-SALTS = 64
 
 
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], weight: str, how: str = "inner",
-           spread: Sequence[str] | None = None, salts: int = SALTS) -> DataFrame:
+           spread: Sequence[str] | None = None) -> DataFrame:
     """Join one row of ``stats`` per key back to ``rows`` without sending a hot key to one task.
 
-    ``weight`` is the column of ``stats`` that says how many rows the key has. Hot keys are found by their
-    share of the total weight; their rows are spread over ``salts`` partitions and their single stats row is
-    repeated once per salt. All other keys join as usual. ``spread`` names columns that vary within a key
+    ``weight`` is the column of ``stats`` that says how many rows the key has. A key is hot if it owns over a
+    quarter of a shuffle partition's share, so at most 4 × partitions keys are hot: that bounds what is broadcast.
+    Its rows are spread over as many salts as it fills quarters, and its stats row is repeated once per salt. All other keys join as usual. ``spread`` names columns that vary within a key
     (default: all columns). NULL keys match NULL keys.
     """
     keys = list(keys)
     total = stats.agg(F.sum(weight)).scalar()
-    is_hot = F.col(weight) * F.lit(HOT_SHARE) > total
-    hot = stats.where(is_hot).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(1).alias("_hot"))
+    quarters = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(weight) * F.lit(quarters) > total
+    salts = F.ceil(F.col(weight) * F.lit(float(quarters)) / total).cast("bigint")
+    hot = stats.where(is_hot).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], salts.alias("_hot"))
 
     def matches(prefix: str) -> Column:
         condition = F.lit(True)
@@ -33,11 +31,11 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], weight: str,
             condition = condition & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
         return condition
 
-    salt = F.when(F.col("_hot") == 1, F.pmod(F.xxhash64(*[F.col(c) for c in (spread or rows.columns)]),
-                                             F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
+    salt = F.when(F.col("_hot") > 1, F.pmod(F.xxhash64(*[F.col(c) for c in (spread or rows.columns)]),
+                                            F.col("_hot"))).otherwise(F.lit(0).cast("bigint"))
     left = (rows.join(F.broadcast(hot), matches("_hot_"), "left")
             .withColumn("_salt", salt).drop("_hot", *[f"_hot_{k}" for k in keys]))
-    copies = F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(
+    copies = F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), salts - 1)).otherwise(
         F.array(F.lit(0).cast("bigint")))
     right = stats.select(*[F.col(k).alias(f"_right_{k}") for k in keys],
                          *[c for c in stats.columns if c not in keys], F.explode(copies).alias("_right_salt"))

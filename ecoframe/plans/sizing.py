@@ -1,149 +1,12 @@
-"""The Monte-Carlo sizing study: simulate worlds, fit, build every interval, and summarise per cell."""
+"""Readings and summaries of simulated repetitions: coverage per interval method, and one row per study cell."""
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ecoframe import constants as C
 from ecoframe.functions.scalars import interval_covers, interval_reading
-from ecoframe.operators import intervals as I
-from ecoframe.operators import simulator as M
-from ecoframe.operators.ridge import (Problem, absolute_errors, coefficients, gain, held_out_errors, moment_names,
-                                      moments, predict)
-from ecoframe.session import durable
-
-KEYS = ["cell", "repetition"]
-FEATURES = C.MODELS["M3"]
-PAIR = {"base": tuple(C.MODELS["M2b"]), "larger": tuple(C.MODELS["M3"])}
-
-# --- Fixed values: the cells of the study -------------------------------------------------------
-SIZES = [10, 20, 30, 60, 90, 120]
-SEED = 20261004
-PESSIMISTIC = {
-    "stable_dynamics_correlation": 0.5, "share_without_dynamics": 0.05, "share_degraded_dynamics": 0.25,
-    "degradation_factor": 2.0, "neighbourhood_size": 2, "neighbour_correlation": 0.5, "reference": "B2"}
-GRID = {
-    "otimista": ({}, {
-        "ganho 0%": {"signal_temporal": 0.0, "noise_dynamics": 0.7},
-        "ganho ~10%": {"signal_temporal": 0.30, "noise_dynamics": 0.7},
-        "ganho ~20%": {"signal_temporal": 0.45, "noise_dynamics": 0.4}}),
-    "pessimista": (PESSIMISTIC, {
-        "ganho 0%": {"signal_temporal": 0.0, "noise_dynamics": 0.7},
-        "ganho ~10%": {"signal_temporal": 0.30, "noise_dynamics": 0.2},
-        "ganho máximo (~19%)": {"signal_temporal": 0.50, "noise_dynamics": 0.1}})}
-SENSITIVITY_SIZE = 30
-SENSITIVITY = {
-    "dinâmica correlacionada com o dossel": ["stable_dynamics_correlation"],
-    "lacunas ópticas": ["share_without_dynamics", "share_degraded_dynamics", "degradation_factor"],
-    "vizinhos dependentes": ["neighbourhood_size", "neighbour_correlation"],
-    "referência B2": ["reference"],
-    "todas": list(PESSIMISTIC)}
-RADAR_SIZES = [30, 60]
-RADAR = {
-    "óptico realista (ruído 0,7, lacunas)": {"noise_dynamics": 0.7},
-    "radar (ruído 0,4, sem lacunas)": {
-        "noise_dynamics": 0.4, "share_without_dynamics": 0.0, "share_degraded_dynamics": 0.0}}
-
-
-def study_cells() -> list[dict]:
-    """The grid, sensitivity and radar cells in order; the seed of a cell is the base seed plus its position."""
-    cells = [dict(block="grade", structure=structure, scenario=label,
-                  design=M.Scenario(n_properties=n, **{**extra, **params}))
-             for structure, (extra, scenarios) in GRID.items()
-             for label, params in scenarios.items() for n in SIZES]
-    base = M.Scenario(n_properties=SENSITIVITY_SIZE, **GRID["otimista"][1]["ganho ~20%"])
-    cells += [dict(block="sensibilidade", structure=label, scenario="ganho ~20% (otimista)",
-                   design=replace(base, **{f: PESSIMISTIC[f] for f in names})) for label, names in SENSITIVITY.items()]
-    cells += [dict(block="sentinel-1", structure=label, scenario="pessimista, sinal temporal 0,30",
-                   design=M.Scenario(n_properties=n, **{**PESSIMISTIC, "signal_temporal": 0.30, **params}))
-              for label, params in RADAR.items() for n in RADAR_SIZES]
-    return [dict(c, seed=SEED + i) for i, c in enumerate(cells)]
-
-
-def true_gains(samples: DataFrame, penalty: float) -> DataFrame:
-    """Gains measured on the test population, for a model fitted on the training population and for models
-    fitted on samples of study size (the gain that is reachable with that many properties)."""
-    train = samples.where(F.col("sample") >= M.TRAIN).groupBy(*KEYS, "sample").agg(*moments(FEATURES))
-    fits = train.select(*KEYS, "sample", coefficients({n: F.col(n) for n in moment_names(FEATURES)}, FEATURES, PAIR,
-                                                      penalty).alias("fit"))
-    # a list of (1 + fits) fits per world meets each test row once; the fan-out is summed map-side
-    packed = fits.groupBy(*KEYS).agg(F.collect_list(F.struct("sample", "fit")).alias("_fits"))
-    test = samples.where(F.col("sample") == M.TEST).join(packed, KEYS).select(
-        *KEYS, "y", *FEATURES, F.explode("_fits").alias("_f"))
-    population = F.col("_f.sample") == M.TRAIN
-    sums = []
-    for model, names in PAIR.items():
-        error = predict(F.col("_f.fit"), model, names) - F.col("y")
-        sums += [F.sum(F.when(population, F.abs(error))).alias(f"_p_{model}"),
-                 F.sum(F.when(population, error * error)).alias(f"_q_{model}"),
-                 F.sum(F.when(~population, F.abs(error))).alias(f"_r_{model}")]
-    return test.groupBy(*KEYS).agg(*sums).select(
-        *KEYS, gain(F.col("_p_base"), F.col("_p_larger")).alias("true_gain"),
-        gain(F.col("_q_base"), F.col("_q_larger")).alias("true_gain_mse"),
-        gain(F.col("_r_base"), F.col("_r_larger")).alias("reachable_gain"))
-
-
-def run_repetitions(worlds: DataFrame, n_boot: int = 200, n_perm: int = 199, fits: int = 100, population: int = 4000,
-                    n_fixed: int = 1000, folds: int = 5, cv_repetitions: int = 20, penalty: float = 1.0,
-                    method: str = C.ADOPTED_METHOD) -> DataFrame:
-    """One row per world: errors, gains, every interval, coverage, permutation p-value and reading.
-
-    ``worlds`` has cell, repetition, seed and the scenario fields. ``n_perm`` 0 skips the permutation test and
-    ``fits`` 0 the reachable gain. Groups and forests are bounded by the scenario, so joins need no salt, and
-    one shuffle by world serves every later join, sum and rank.
-    """
-    spark = worlds.sparkSession
-    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-
-    def placed(df: DataFrame) -> DataFrame:
-        """Durable, and laid out by world: only these small tables move, never what is expanded from them."""
-        return durable(df).repartition(partitions, *KEYS)
-
-    worlds = placed(worlds)
-    samples = durable(M.simulate(worlds, population, fits))
-    samples_by_world = samples.repartition(partitions, *KEYS)
-    study = samples_by_world.where(F.col("sample") == M.STUDY).drop("sample")
-    forests = placed(M.simulate_forests(worlds))
-    hosted = placed(M.hosted_masks(study, forests, KEYS))
-    assignment = I.fold_assignment(study.select(*KEYS, "group").distinct(), KEYS, folds, cv_repetitions, "study", buckets=1)
-    fold_masks = assignment.join(hosted, [*KEYS, "group"]).groupBy(*KEYS, "r", "fold").agg(F.bit_or("mask").alias("mask"))
-    assignment = placed(assignment.join(fold_masks, [*KEYS, "r", "fold"]))
-    variants = placed(M.response_variants(study, forests, hosted.select(*KEYS, "mask").unionByName(
-        fold_masks.select(*KEYS, "mask")), KEYS))
-    folded = Problem(variants, tuple(KEYS), PAIR["base"], PAIR["larger"], penalty, hosted, skewed=False)
-    # holding out one group at a time meets far fewer response variants than the folds do
-    rows = placed(variants.join(hosted.select(*KEYS, "mask").distinct(), [*KEYS, "mask"], "left_semi"))
-    problem = replace(folded, rows=rows)
-
-    errors = held_out_errors(problem, {"M2": C.MODELS["M2"], "base": PAIR["base"], "larger": PAIR["larger"]})
-    errors = placed(errors)
-    means = errors.groupBy(*KEYS).agg(
-        F.avg("error_M2").alias("mae_M2"), F.avg("error_base").alias("mae_M2b"), F.avg("error_larger").alias("mae_M3"))
-    spread = study.groupBy(*KEYS).agg(F.stddev_samp("y").alias("sd_response"))
-    fixed = I.fixed_error_interval(errors, problem, n_fixed, buckets=1, seed="fixed")
-    refit = I.refit_bootstrap_interval(problem, n_boot, buckets=1, observed=errors)
-    cv = I.corrected_cv_interval(folded, assignment)
-
-    def bounds(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
-        return df.select(*KEYS, F.col(low).alias(f"lower_{name}"), F.col(high).alias(f"upper_{name}"))
-
-    out = (worlds.join(means, KEYS).join(spread, KEYS)
-           .join(refit.select(*KEYS, F.col("gain").alias("gain_m3_m2b"), "replicate_mean"), KEYS)
-           .join(cv.select(*KEYS, F.col("gain").alias("gain_cv")), KEYS)
-           .join(true_gains(samples_by_world, penalty), KEYS)
-           .join(bounds(fixed, "lower", "upper", "erros_fixos"), KEYS)
-           .join(bounds(refit, "percentile_lower", "percentile_upper", "reajuste"), KEYS)
-           .join(bounds(refit, "basic_lower", "basic_upper", "reajuste_basico"), KEYS)
-           .join(bounds(cv, "lower", "upper", "cv_corrigido"), KEYS))
-    if n_perm:
-        p = I.permutation_test(problem, "dynamics", n_perm, buckets=1, observed=errors)
-        out = out.join(p.select(*KEYS, "p_value"), KEYS)
-    else:
-        out = out.withColumn("p_value", F.lit(None).cast("double"))
-    return with_readings(out, method, reachable=fits > 0)
 
 
 def with_readings(out: DataFrame, method: str = C.ADOPTED_METHOD, reachable: bool = True) -> DataFrame:

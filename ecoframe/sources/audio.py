@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from io import BytesIO
 
@@ -103,28 +105,46 @@ def recording_table(scanned: DataFrame) -> DataFrame:
 
 
 def wav_members(archive: DataFrame) -> DataFrame:
-    """Zip members (zip, member, size) → the audio files to extract, with flattened names.
+    """Zip members (zip, member, size, crc) → the audio files to extract, with flattened names.
 
     Folders, other types and ``._`` files are left out. Two members of one zip that would flatten to the same
     name fail the job, because one would overwrite the other.
     """
     name = S.base_name(F.col("member"))
     wanted = archive.where(F.lower("member").endswith(".wav") & ~name.startswith("._")).withColumn("name", name)
+    extra = [c for c in ("size", "crc") if c in archive.columns]
     checked = wanted.groupBy("zip", "name").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("member").alias("member"), F.min("size").alias("size"))
+        F.count(F.lit(1)).alias("_n"), F.min("member").alias("member"), *[F.min(c).alias(c) for c in extra])
     return checked.select("zip", "member", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.raise_error(
         F.concat(F.col("zip"), F.lit(": .wav name repeated in several folders: "), F.col("name"))).cast("string")
-    ).alias("name"), "size")
+    ).alias("name"), *extra)
+
+
+def _same(system, path: str, size: int, crc: int) -> bool:
+    """Whether the file is there with this size and content."""
+    if system.get_file_info(path).size != size:
+        return False
+    have = 0
+    with system.open_input_stream(path) as f:
+        while block := f.read(HASH_BLOCK):
+            have = zlib.crc32(block, have)
+    return have == crc
 
 
 def extract_wavs(spark: SparkSession, zip_path: str, target: str) -> DataFrame:
-    """Extract the audio files of every zip under ``zip_path`` into the shared folder ``target``.
+    """Extract the audio files of every zip under ``zip_path`` into ``target``, a folder that all executors share.
 
-    Returns (zip, name, size) of the files now in place. A file that is there with the same size is kept; a
-    name never leaves ``target``, since only its last part is used. Each task streams its own archives.
+    Each archive gets a folder of its own, named as the archive is below ``zip_path`` (site folders stay), so equal
+    names in two archives never meet. Returns (zip, folder, name, size) of the files now in place. A file that is
+    there with the same size and checksum is kept. Tasks write under a name of their own and rename, so a task that
+    runs again leaves nothing half done. Each task streams its own archives.
     """
+    from pyarrow import fs
+
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option(
         "recursiveFileLookup", True).load(zip_path).select("path")
+    root = zip_path.split("://", 1)[-1].removeprefix("file:").strip("/")
+    uri = target if "://" in target else "file://" + os.path.abspath(target)
 
     def members(frames):
         for frame in frames:
@@ -132,22 +152,25 @@ def extract_wavs(spark: SparkSession, zip_path: str, target: str) -> DataFrame:
                 with _open(path) as f, zipfile.ZipFile(f) as archive:
                     infos = [i for i in archive.infolist() if not i.is_dir()]
                     yield pd.DataFrame({"zip": path, "member": [i.filename for i in infos],
-                                        "size": [i.file_size for i in infos]})
+                                        "size": [i.file_size for i in infos], "crc": [i.CRC for i in infos]})
 
     def extract(frames):
+        system, base = fs.FileSystem.from_uri(uri)
         for frame in frames:
             for path, rows in frame.groupby("zip"):
                 with _open(path) as f, zipfile.ZipFile(f) as archive:
                     for row in rows.itertuples():
-                        out = os.path.join(target, row.name)
-                        if not (os.path.exists(out) and os.path.getsize(out) == row.size):
-                            part = f"{out}.{os.getpid()}.part"  # a retried task never leaves half a file
-                            with archive.open(row.member) as src, open(part, "wb") as dst:
+                        folder = f"{base}/{row.folder}"
+                        if not _same(system, f"{folder}/{row.name}", row.size, row.crc):
+                            system.create_dir(folder, recursive=True)
+                            part = f"{folder}/.{row.name}.{uuid.uuid4().hex}"
+                            with archive.open(row.member) as src, system.open_output_stream(part) as dst:
                                 while block := src.read(HASH_BLOCK):
                                     dst.write(block)
-                            os.replace(part, out)
-            yield frame[["zip", "name", "size"]]
+                            system.move(part, f"{folder}/{row.name}")
+            yield frame[["zip", "folder", "name", "size"]]
 
-    os.makedirs(target, exist_ok=True)
-    listed = zips.mapInPandas(members, "zip string, member string, size long")
-    return wav_members(listed).mapInPandas(extract, "zip string, name string, size long")
+    listed = wav_members(zips.mapInPandas(members, "zip string, member string, size long, crc long"))
+    inner = F.regexp_replace(F.element_at(F.split("zip", f"/{root}/", 2), -1), r"(?i)\.zip$", "")
+    placed = listed.withColumn("folder", F.regexp_replace(inner, r"^.*:/+", ""))
+    return placed.mapInPandas(extract, "zip string, folder string, name string, size long")

@@ -1,48 +1,14 @@
-"""Run manifests, code state and the data dictionary."""
+"""Content hashes and the data dictionary."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import subprocess
 from collections.abc import Mapping, Sequence
-from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecoframe import schemas
 
-TRACKED = ["ecoframe", "catalogue", "tests", "bench.py", "__spark_entry__.py"]
-DIFF_NAME = "code.diff"
-
-
-def _git(root: Path, *args: str, check: bool = True) -> str:
-    return subprocess.run(["git", "-C", str(root), *args], capture_output=True, text=True, check=check).stdout
-
-
-def code_state(root: Path, output: Path, allow_dirty: bool = False, tracked: Sequence[str] = tuple(TRACKED)) -> dict:
-    """Commit and uncommitted changes of the tracked paths.
-
-    Uncommitted changes are refused unless ``allow_dirty``, which saves them as a diff next to the manifest.
-    """
-    state = {"commit": _git(root, "rev-parse", "HEAD").strip(), "dirty": False, "changed": [], "diff_sha256": None}
-    saved = output / DIFF_NAME
-    state["changed"] = [s[3:] for s in _git(root, "status", "--porcelain", "--", *tracked).splitlines() if s]
-    state["dirty"] = bool(state["changed"])
-    if not state["dirty"]:
-        saved.unlink(missing_ok=True)  # it described an earlier run
-        return state
-    if not allow_dirty:
-        raise RuntimeError("uncommitted changes: " + ", ".join(state["changed"]))
-    new = _git(root, "ls-files", "-z", "--others", "--exclude-standard", "--", *tracked).split("\0")
-    text = _git(root, "diff", "HEAD", "--", *tracked) + "".join(
-        _git(root, "diff", "--no-index", "--", "/dev/null", name, check=False) for name in new if name)
-    output.mkdir(parents=True, exist_ok=True)
-    saved.write_text(text)
-    return {**state, "diff_sha256": hashlib.sha256(text.encode()).hexdigest()}
-
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256 and md5 of every file below ``path``, computed where the files are read."""
@@ -50,17 +16,6 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
 
 
-def write_manifest(path: Path, details: Mapping, inputs: DataFrame | None = None, outputs: DataFrame | None = None) -> dict:
-    """JSON sidecar of a stage. ``inputs`` and ``outputs`` are (path, sha256) tables, one row per file of the stage."""
-    def listed(df):
-        return {Path(r.path).name: r.sha256 for r in df.select("path", "sha256").toLocalIterator()} if df is not None else {}
-    manifest = {"run_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), **details,
-                "inputs_sha256": listed(inputs), "outputs_sha256": listed(outputs)}
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(manifest, ensure_ascii=False, indent=2, default=str))
-    return manifest
-
-
 def distinct_sorted(df: DataFrame, column: str, separator: str = ";") -> DataFrame:
     """Distinct parts of a joined list column, in order: one row per value."""
     return df.where(F.col(column).isNotNull()).select(F.explode(F.split(column, separator)).alias("value")).distinct().orderBy("value")

@@ -1,10 +1,7 @@
 import datetime as dt
 import hashlib
-import io
 import json
 import struct
-import subprocess
-import urllib.error
 import wave
 import zipfile
 
@@ -59,6 +56,7 @@ def test_file_stream_gives_the_batch_rows(spark, tmp_path):
 
 
 def make_zip(path, *members):
+    path.parent.mkdir(parents=True, exist_ok=True)
     with zipfile.ZipFile(path, "w") as z:
         for name, content in members:
             z.writestr(name, content)
@@ -68,8 +66,26 @@ def test_extraction_keeps_audio_only(spark, tmp_path):
     make_zip(tmp_path / "a.zip", ("x/one.wav", b"1"), ("x/read.txt", b"t"), ("x/._one.wav", b"m"), ("../../out.WAV", b"22"))
     out = tmp_path / "target"
     rows = audio.extract_wavs(spark, str(tmp_path), str(out)).collect()
-    assert sorted((r.name, r.size) for r in rows) == [("one.wav", 1), ("out.WAV", 2)]
-    assert sorted(p.name for p in out.iterdir()) == ["one.wav", "out.WAV"] and not (tmp_path.parent / "out.WAV").exists()
+    assert sorted((r.folder, r.name, r.size) for r in rows) == [("a", "one.wav", 1), ("a", "out.WAV", 2)]
+    assert sorted(p.name for p in (out / "a").iterdir()) == ["one.wav", "out.WAV"] and not (tmp_path.parent / "out.WAV").exists()
+
+
+def test_extraction_keeps_equal_names_of_two_archives(spark, tmp_path):
+    make_zip(tmp_path / "in" / "s1" / "a.zip", ("r.wav", b"AAAA"))
+    make_zip(tmp_path / "in" / "b.zip", ("r.wav", b"BBBB"))
+    out = tmp_path / "target"
+    for _ in range(2):  # the second time everything is in place
+        rows = audio.extract_wavs(spark, str(tmp_path / "in"), str(out)).collect()
+        assert sorted((r.folder, r.name, r.size) for r in rows) == [("b", "r.wav", 4), ("s1/a", "r.wav", 4)]
+    assert (out / "s1" / "a" / "r.wav").read_bytes() == b"AAAA" and (out / "b" / "r.wav").read_bytes() == b"BBBB"
+
+
+def test_extraction_replaces_a_file_of_equal_size_with_other_content(spark, tmp_path):
+    make_zip(tmp_path / "a.zip", ("r.wav", b"AAAA"))
+    (tmp_path / "t" / "a").mkdir(parents=True)
+    (tmp_path / "t" / "a" / "r.wav").write_bytes(b"XXXX")
+    audio.extract_wavs(spark, str(tmp_path), str(tmp_path / "t")).collect()
+    assert (tmp_path / "t" / "a" / "r.wav").read_bytes() == b"AAAA"
 
 
 def test_extraction_refuses_repeated_names(spark, tmp_path):
@@ -122,39 +138,6 @@ def test_record_files(spark):
     assert [tuple(r) for r in rows] == [("a.zip", "u", 5, "abc"), ("b", "v", 6, None)]
 
 
-def test_verified_download(tmp_path):
-    content, calls = b"payload", []
-    md5 = hashlib.md5(content).hexdigest()
-
-    def opener(url):
-        calls.append(url)
-        return io.BytesIO(content)
-
-    target = tmp_path / "d" / "x.bin"
-    first = registry.download("u", md5, target, opener)
-    again = registry.download("u", md5, target, opener)
-    assert again == first and calls == ["u"] and target.read_bytes() == content
-    with pytest.raises(ValueError, match="no published md5"):
-        registry.download("u", None, target, opener)
-    with pytest.raises(ValueError, match="does not match"):
-        registry.download("u", "0" * 32, tmp_path / "y.bin", opener)
-    assert not (tmp_path / "y.bin").exists() and not (tmp_path / "y.bin.part").exists()
-
-
-def test_busy_server_is_asked_again():
-    waits, codes = [], [429, 503]
-
-    def opener(url):
-        if codes:
-            raise urllib.error.HTTPError(url, codes.pop(0), "busy", None, None)
-        return "ok"
-
-    assert registry.open_url("u", opener=opener, sleep=waits.append) == "ok" and waits == [20.0, 40.0]
-    codes.append(404)
-    with pytest.raises(urllib.error.HTTPError):
-        registry.open_url("u", opener=opener, sleep=waits.append)
-
-
 def test_projection_round_trip(spark):
     """Against the meridian arc, integrated numerically, and the length of the parallel."""
     p = spark.createDataFrame([(500000.0, 8325906.0), (484973.0, 8325906.0)], "x double, y double")
@@ -174,37 +157,11 @@ def test_projection_round_trip(spark):
     assert 0 < abs(row.c + 39.1) < 1e-3 and 0 < abs(row.d + 15.1) < 1e-3
 
 
-def git(root, *args):
-    subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
-
-
-def test_code_state(tmp_path):
-    root, out = tmp_path / "r", tmp_path / "out"
-    (root / "src").mkdir(parents=True)
-    (root / "src" / "a.py").write_text("x = 1\n")
-    git(root, "init")
-    git(root, "add", "-A")
-    git(root, "commit", "-m", "m")
-    out.mkdir()
-    (out / provenance.DIFF_NAME).write_text("old")
-    state = provenance.code_state(root, out, tracked=["src"])
-    assert len(state["commit"]) == 40 and not state["dirty"] and not (out / provenance.DIFF_NAME).exists()
-    (root / "src" / "a.py").write_text("x = 2\n")
-    (root / "src" / "new.py").write_text("y = 3\n")
-    with pytest.raises(RuntimeError, match="uncommitted"):
-        provenance.code_state(root, out, tracked=["src"])
-    state = provenance.code_state(root, out, allow_dirty=True, tracked=["src"])
-    saved = (out / provenance.DIFF_NAME).read_text()
-    assert state["dirty"] and "x = 2" in saved and "y = 3" in saved and state["diff_sha256"] == hashlib.sha256(saved.encode()).hexdigest()
-
-
-def test_manifest_and_hashes(spark, tmp_path):
+def test_content_hashes(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("x")
-    hashes = provenance.content_hashes(spark, str(tmp_path / "in"))
-    manifest = provenance.write_manifest(tmp_path / "m.json", {"stage": "s"}, inputs=hashes)
-    assert manifest["inputs_sha256"] == {"a.csv": hashlib.sha256(b"x").hexdigest()}
-    assert json.loads((tmp_path / "m.json").read_text())["stage"] == "s"
+    row = provenance.content_hashes(spark, str(tmp_path / "in")).first()
+    assert (row.sha256, row.md5) == (hashlib.sha256(b"x").hexdigest(), hashlib.md5(b"x").hexdigest())
 
 
 def test_dictionary():
