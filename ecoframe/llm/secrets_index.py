@@ -27,20 +27,27 @@ from ecoframe.llm.url_templates import LOWER, UPPER
 
 @dataclass(frozen=True)
 class Rule:
-    """`least` is the smallest length of group `group`. `literals`: one literal of each alternative must occur, in lower case."""
+    """`least` is the smallest length of group `group`. `long`: a pattern that matches exactly what `pattern` matches at that
+    length or more; it can be given where a match is a whole run of one class, as what is too short is then never scanned.
+    """
 
     kind: str
     pattern: str
     group: int
     least: int
     base: bool = False
+    long: str | None = None
+
+    @property
+    def searched(self) -> str:
+        return self.long or self.pattern
 
 
 #: The base kinds come first, in the order that results list them.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True),
-    Rule("hex", r"[0-9a-f]+", 0, 16, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True, r"AKIA[A-Z0-9]{14,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 16, True, r"[0-9a-f]{16,}"),
     Rule("forge_token", r"(?:ghp_|gho_|ghs_|glpat-)[A-Za-z0-9_-]+", 0, 24),
     Rule("chat_token", r"(?:xoxb-|xoxp-|xoxa-)[A-Za-z0-9-]+", 0, 20),
     Rule("payment_key", r"(?:sk_live_|rk_live_)[A-Za-z0-9]+", 0, 24),
@@ -158,10 +165,10 @@ def verify(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Spans (key, print, rule, start, end) of the rules whose bit is set in `rules`."""
     cases = []
     for i, rule in enumerate(rules):
-        whole, part = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))
-        gaps = F.split("text", rule.pattern, -1)
+        whole, part = F.regexp_extract_all("text", F.lit(rule.searched), F.lit(0)), F.regexp_extract_all("text", F.lit(rule.searched), F.lit(rule.group))
+        gaps = F.split("text", rule.searched, -1)
         length = lambda a: F.transform(a, lambda x: F.length(x))
-        cases.append(F.when((F.col("rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0) & F.col("text").rlike(rule.pattern), F.struct(
+        cases.append(F.when((F.col("rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0) & F.col("text").rlike(rule.searched), F.struct(
             F.lit(i).alias("rule"), F.arrays_zip(length(gaps).alias("gap"), length(whole).alias("whole"), length(part).alias("part")).alias("hits"))))
     runs = rows.select("key", "print", F.explode(F.array_compact(F.array(*cases))).alias("run"))
     hits = runs.select("key", "print", "run.rule", F.posexplode("run.hits").alias("i", "hit")).select("key", "print", "rule", "i", "hit.*").distinct()
