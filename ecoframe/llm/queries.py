@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ecoframe.llm import decontaminate, mixing, pii, quality_rules, repeated_phrases, secrets_index, simhash, suffix_sort, url_templates, warc
 from ecoframe.llm.common import spans_text, table
+from ecoframe.llm.oracles import ORACLE  # noqa: F401
 
 
 def op1_qgram_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,3 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_qgram_leaks, op2_anchor_pii, op3_mix_sources, op4_url_templates, op5_phrase_automata, op6_salvage_warc,
     op7_suffix_sort, op8_deletion_simhash, op9_trigram_secrets, op10_rule_ledger)}
-ORACLE: dict[str, str] = {}
