@@ -32,11 +32,14 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
     return spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
-def scan_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, as UTF-8 or, if any byte does not fit, as Latin-1, which reads every byte."""
+def scan_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text, as UTF-8 or, if any byte does not fit, as Latin-1, which reads every byte.
+
+    ``multi_line``: quoted fields may hold line breaks; each file is then read by one task.
+    """
     encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
     read = (spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
-            .option("multiLine", True).option("escape", '"').csv(path))
+            .option("multiLine", multi_line).option("escape", '"').csv(path))
     return read.toDF(*[c.lstrip("\ufeff").removeprefix("ï»¿") for c in read.columns])
 
 
