@@ -283,25 +283,49 @@ SELECT site, start, border_px, item_id FROM (
 QUALIFY row_number() OVER (PARTITION BY site, start ORDER BY border_px IS NULL, border_px DESC, item_id) = 1"""
 
 
-def items_over_points(spark, sf_dir):
-    """Orders as image footprints, suppliers as points: footprints that hold the point inside its window."""
+def _footprints(spark, sf_dir):
+    """Orders as image footprints."""
     o = T.table(spark, sf_dir, "orders")
     west, south = F.floor(F.col("o_totalprice") / 4000) - 60.0, F.col("o_custkey") % 97 - 50.0
-    items = o.select(F.col("o_orderkey").alias("item_id"), F.to_date("o_orderdate").alias("start"),
-                     F.date_add("o_orderdate", 15).alias("end"), west.alias("west"), (west + 1.5).alias("east"),
-                     south.alias("south"), (south + 1.5).alias("north"))
+    return o.select(F.col("o_orderkey").alias("item_id"), F.to_date("o_orderdate").alias("start"),
+                    F.date_add("o_orderdate", 15).alias("end"), west.alias("west"), (west + 1.5).alias("east"),
+                    south.alias("south"), (south + 1.5).alias("north"))
+
+
+def items_over_points(spark, sf_dir):
+    """Suppliers as points, each with a window of its own: footprints that hold the point inside its window."""
+    cut = F.date_add(F.to_date(F.lit("1995-01-01")), (F.col("s_suppkey") * 97 % 1400).cast("int"))
     targets = T.table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("site"), (F.col("s_acctbal") / 150).alias("lon"),
         (F.col("s_nationkey") - 12.25).alias("lat"),
-        F.to_date(F.lit("1997-06-30")).alias("cut"), F.to_date(F.lit("1996-06-30")).alias("window_start"))
-    return R.items_over_points(targets, items).select("site", "item_id", "start", "end")
+        cut.alias("cut"), F.date_sub(cut, 1095).alias("window_start"))
+    return R.items_over_points(targets, _footprints(spark, sf_dir)).select("site", "item_id", "start", "end")
 
 
 ITEMS_OVER_POINTS = """
 SELECT s_suppkey AS site, o_orderkey AS item_id, o_orderdate::DATE AS start, o_orderdate::DATE + 15 AS end
 FROM (SELECT *, floor(o_totalprice / 4000) - 60.0 AS west, o_custkey % 97 - 50.0 AS south FROM orders) o
 JOIN supplier ON s_acctbal / 150 BETWEEN west AND west + 1.5 AND s_nationkey - 12.25 BETWEEN south AND south + 1.5
-WHERE o_orderdate::DATE >= DATE '1996-06-30' AND o_orderdate::DATE + 15 <= DATE '1997-06-30'"""
+WHERE o_orderdate::DATE >= DATE '1995-01-01' + (s_suppkey * 97 % 1400)::INT - 1095
+  AND o_orderdate::DATE + 15 <= DATE '1995-01-01' + (s_suppkey * 97 % 1400)::INT"""
+
+
+def items_over_areas(spark, sf_dir):
+    """Suppliers as areas of 6 by 5 degrees, each with a range of its own: footprints that overlap the area and start in the range."""
+    lon, lat = F.col("s_acctbal") / 150, F.col("s_nationkey") - 12.25
+    first = F.date_add(F.to_date(F.lit("1992-01-01")), (F.col("s_suppkey") * 97 % 1400).cast("int"))
+    areas = T.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("area"), (lon - 3).alias("area_west"), (lon + 3).alias("area_east"),
+        (lat - 2.5).alias("area_south"), (lat + 2.5).alias("area_north"), first.alias("first"), F.date_add(first, 1095).alias("last"))
+    return R.items_over_areas(areas, _footprints(spark, sf_dir)).select("area", "item_id", "start")
+
+
+ITEMS_OVER_AREAS = """
+SELECT s_suppkey AS area, o_orderkey AS item_id, o_orderdate::DATE AS start
+FROM (SELECT *, floor(o_totalprice / 4000) - 60.0 AS west, o_custkey % 97 - 50.0 AS south FROM orders) o
+JOIN supplier ON west <= s_acctbal / 150 + 3 AND s_acctbal / 150 - 3 <= west + 1.5
+  AND south <= s_nationkey - 12.25 + 2.5 AND s_nationkey - 12.25 - 2.5 <= south + 1.5
+WHERE o_orderdate::DATE BETWEEN DATE '1992-01-01' + (s_suppkey * 97 % 1400)::INT AND DATE '1992-01-01' + (s_suppkey * 97 % 1400)::INT + 1095"""
 
 
 # --- cloudiness -----------------------------------------------------------------------------------------------------
@@ -461,12 +485,12 @@ FROM supplier, (SELECT range AS k FROM range(2)) a, (SELECT range AS m FROM rang
 
 QUERIES = {f.__name__: f for f in [
     locate, pixel_window, pixel_sample, pixel_decode_tests, source_scene_argmin, invalid_reason, window_stats, item_per_period,
-    items_over_points, coverage_calendar, cloudiness_summary, daily_any_valid, clean_per_point, clean_per_month,
+    items_over_points, items_over_areas, coverage_calendar, cloudiness_summary, daily_any_valid, clean_per_point, clean_per_month,
     observation_summary, status_contingency, clock_hours, grid_points]}
 ORACLE = {
     "locate": LOCATE, "pixel_window": PIXEL_WINDOW, "pixel_sample": PIXEL_SAMPLE, "pixel_decode_tests": PIXEL_DECODE,
     "source_scene_argmin": SOURCE_SCENE, "invalid_reason": INVALID_REASON, "window_stats": WINDOW_STATS,
     "item_per_period": ITEM_PER_PERIOD, "items_over_points": ITEMS_OVER_POINTS, "coverage_calendar": COVERAGE_CALENDAR,
-    "cloudiness_summary": CLOUDINESS_SUMMARY, "daily_any_valid": DAILY_ANY_VALID, "clean_per_point": CLEAN_PER_POINT,
+    "cloudiness_summary": CLOUDINESS_SUMMARY, "items_over_areas": ITEMS_OVER_AREAS, "daily_any_valid": DAILY_ANY_VALID, "clean_per_point": CLEAN_PER_POINT,
     "clean_per_month": CLEAN_PER_MONTH, "observation_summary": OBSERVATION_SUMMARY, "status_contingency": STATUS_CONTINGENCY,
     "clock_hours": CLOCK_HOURS, "grid_points": GRID_POINTS}

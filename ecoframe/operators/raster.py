@@ -82,16 +82,17 @@ def sample(points: DataFrame, rasters: DataFrame, blocks: DataFrame, block_size:
     return read.withColumn("value", F.when(~no_data, F.col("raw"))).select(*points.columns, "value")
 
 
+def _cells(low: Column, high: Column, cell_deg: float) -> Column:
+    return F.explode(F.sequence(F.floor(low / cell_deg), F.floor(high / cell_deg)))
+
+
 def points_in_footprints(points: DataFrame, footprints: DataFrame, cell_deg: float = 1.0) -> DataFrame:
     """Pairs of a point (lon, lat) and a footprint box (west, south, east, north) that holds it.
 
     Both sides are keyed by grid cell, so the join is an equality join with the exact test as residual.
     """
-    def cells(low: Column, high: Column) -> Column:
-        return F.explode(F.sequence(F.floor(low / cell_deg), F.floor(high / cell_deg)))
-
-    boxes = footprints.withColumn("_cx", cells(F.col("west"), F.col("east"))).withColumn(
-        "_cy", cells(F.col("south"), F.col("north")))
+    boxes = footprints.withColumn("_cx", _cells(F.col("west"), F.col("east"), cell_deg)).withColumn(
+        "_cy", _cells(F.col("south"), F.col("north"), cell_deg))
     placed = points.withColumn("_px", F.floor(F.col("lon") / cell_deg)).withColumn(
         "_py", F.floor(F.col("lat") / cell_deg))
     holds = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
@@ -114,6 +115,27 @@ def items_over_points(targets: DataFrame, items: DataFrame, cell_deg: float = 1.
     return pairs.where(inside).drop("_month", "_item_month")
 
 
+def items_over_areas(areas: DataFrame, items: DataFrame, cell_deg: float = 1.0) -> DataFrame:
+    """Items whose box overlaps the area's (area_west, area_south, area_east, area_north) and that start in [first, last].
+
+    Both sides are keyed by (grid cell, month). A pair that shares several cells counts in the one that holds the south-west
+    corner of the overlap, so nothing has to be made distinct.
+    """
+    months = F.sequence(F.trunc("first", "MM"), F.trunc("last", "MM"), F.expr("interval 1 month"))
+    wanted = areas.withColumn("_month", F.explode(months)).withColumn(
+        "_ax", _cells(F.col("area_west"), F.col("area_east"), cell_deg)).withColumn(
+        "_ay", _cells(F.col("area_south"), F.col("area_north"), cell_deg))
+    keyed = items.withColumn("_item_month", F.trunc(F.to_date("start"), "MM")).withColumn(
+        "_cx", _cells(F.col("west"), F.col("east"), cell_deg)).withColumn("_cy", _cells(F.col("south"), F.col("north"), cell_deg))
+    same = (F.col("_month") == F.col("_item_month")) & (F.col("_ax") == F.col("_cx")) & (F.col("_ay") == F.col("_cy"))
+    overlap = ((F.col("west") <= F.col("area_east")) & (F.col("area_west") <= F.col("east"))
+               & (F.col("south") <= F.col("area_north")) & (F.col("area_south") <= F.col("north")))
+    corner = ((F.floor(F.greatest("west", "area_west") / cell_deg) == F.col("_cx"))
+              & (F.floor(F.greatest("south", "area_south") / cell_deg) == F.col("_cy")))
+    inside = F.to_date("start").between(F.col("first"), F.col("last"))
+    return wanted.join(keyed, same & overlap & corner & inside).drop("_month", "_item_month", "_ax", "_ay", "_cx", "_cy")
+
+
 def one_item_per_period(candidates: DataFrame, keys: Sequence[str] = ("site", "campaign_id"),
                         period: str = "start", item_order: Sequence[str] = ("item_id",)) -> DataFrame:
     """One item per period: the one whose raster holds the point farthest from its border.
