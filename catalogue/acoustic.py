@@ -17,7 +17,7 @@ def _with(*ctes: str) -> str:
 
 
 def _problems(df):
-    return df.select("kind", "target")
+    return df.select("kind", "target", "detail")
 
 
 # --- names and campaigns ----------------------------------------------------------------------------------
@@ -85,11 +85,12 @@ def qc_recordings(spark, sf_dir):
 
 
 QC_RECORDINGS_SELECT = f"""
-SELECT '{C.QC_READ_ERROR}' AS kind, file AS target FROM recordings WHERE error IS NOT NULL
-UNION ALL SELECT '{C.QC_SITE_MISMATCH}', file FROM recordings WHERE error IS NULL AND site <> source_site
-UNION ALL SELECT '{C.QC_SHORT}', file FROM recordings WHERE error IS NULL AND duration_s < 55
-UNION ALL SELECT '{C.QC_NOT_MONO}', file FROM recordings WHERE error IS NULL AND channels <> 1
-UNION ALL SELECT '{C.QC_RATE_MISMATCH}', file FROM recordings JOIN modal USING (site)
+SELECT '{C.QC_READ_ERROR}' AS kind, file AS target, error AS detail FROM recordings WHERE error IS NOT NULL
+UNION ALL SELECT '{C.QC_SITE_MISMATCH}', file, 'name says ' || site || ', folder says ' || source_site
+  FROM recordings WHERE error IS NULL AND site <> source_site
+UNION ALL SELECT '{C.QC_SHORT}', file, duration_s || ' s < 55.0 s' FROM recordings WHERE error IS NULL AND duration_s < 55
+UNION ALL SELECT '{C.QC_NOT_MONO}', file, channels || ' channels' FROM recordings WHERE error IS NULL AND channels <> 1
+UNION ALL SELECT '{C.QC_RATE_MISMATCH}', file, rate_hz || ' Hz; most of site ' || site || ': ' || modal_rate || ' Hz' FROM recordings JOIN modal USING (site)
   WHERE error IS NULL AND rate_hz <> modal_rate"""
 MODAL = """
 rates AS (SELECT site, rate_hz, count(*) AS c FROM recordings WHERE error IS NULL GROUP BY ALL),
@@ -119,7 +120,7 @@ def qc_duplicate_first(spark, sf_dir):
 
 
 QC_DUPLICATE_FIRST_SELECT = f"""
-SELECT '{C.QC_DUPLICATE_RECORDING}' AS kind, file AS target FROM
+SELECT '{C.QC_DUPLICATE_RECORDING}' AS kind, file AS target, 'file name repeated' AS detail FROM
   (SELECT file, row_number() OVER (PARTITION BY file ORDER BY path) AS rn FROM recordings) WHERE rn > 1"""
 QC_DUPLICATE_FIRST = _with(T.RECORDINGS) + QC_DUPLICATE_FIRST_SELECT
 
@@ -132,8 +133,9 @@ def qc_duplicate_all(spark, sf_dir):
 
 
 QC_DUPLICATE_ALL = f"""
-SELECT '{C.QC_DUPLICATE_RECORDING}' AS kind, CAST(doc_id AS VARCHAR) AS target FROM
-  (SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1"""
+SELECT '{C.QC_DUPLICATE_RECORDING}' AS kind, CAST(doc_id AS VARCHAR) AS target,
+       'same content as another file (sha256 ' || left(sha256(text), 12) || ')' AS detail FROM
+  (SELECT doc_id, text, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1"""
 
 
 def qc_same_clock(spark, sf_dir):
@@ -141,8 +143,8 @@ def qc_same_clock(spark, sf_dir):
 
 
 QC_SAME_CLOCK_SELECT = f"""
-SELECT '{C.QC_SAME_CLOCK}' AS kind, file AS target FROM
-  (SELECT file, count(*) OVER (PARTITION BY site, clock_start) AS n FROM recordings WHERE error IS NULL) WHERE n > 1"""
+SELECT '{C.QC_SAME_CLOCK}' AS kind, file AS target, 'another file of ' || site || ' starts at ' || clock_start AS detail FROM
+  (SELECT file, site, clock_start, count(*) OVER (PARTITION BY site, clock_start) AS n FROM recordings WHERE error IS NULL) WHERE n > 1"""
 QC_SAME_CLOCK = _with(T.RECORDINGS) + QC_SAME_CLOCK_SELECT
 
 
@@ -151,8 +153,9 @@ def qc_duplicate_annotations(spark, sf_dir):
 
 
 QC_DUPLICATE_ANNOTATIONS_SELECT = f"""
-SELECT '{C.QC_DUPLICATE_ANNOTATION}' AS kind, file AS target FROM
-  (SELECT file, row_number() OVER (PARTITION BY file, species, start_s, end_s ORDER BY ordinal) AS rn FROM detections)
+SELECT '{C.QC_DUPLICATE_ANNOTATION}' AS kind, file AS target,
+       coalesce(species, 'NULL') || ' ' || start_s || '–' || end_s || ' s' AS detail FROM
+  (SELECT *, row_number() OVER (PARTITION BY file, species, start_s, end_s ORDER BY ordinal) AS rn FROM detections)
 WHERE rn > 1"""
 QC_DUPLICATE_ANNOTATIONS = _with(T.DETECTIONS) + QC_DUPLICATE_ANNOTATIONS_SELECT
 
@@ -166,10 +169,10 @@ FILES = """
 files AS (SELECT file, site AS rec_site, duration_s FROM recordings WHERE error IS NULL
           QUALIFY row_number() OVER (PARTITION BY file ORDER BY path) = 1)"""
 QC_OUT_OF_BOUNDS_SELECT = f"""
-SELECT '{C.QC_INCOMPLETE_ANNOTATION}' AS kind, file AS target FROM detections
+SELECT '{C.QC_INCOMPLETE_ANNOTATION}' AS kind, file AS target, 'species, start or end missing' AS detail FROM detections
   WHERE species IS NULL OR start_s IS NULL OR end_s IS NULL
-UNION ALL SELECT '{C.QC_SITE_MISMATCH}', file FROM detections JOIN files USING (file) WHERE site <> rec_site
-UNION ALL SELECT '{C.QC_ANNOTATION_OUTSIDE_AUDIO}', file FROM detections JOIN files USING (file)
+UNION ALL SELECT '{C.QC_SITE_MISMATCH}', file, 'annotation says ' || site || ', name says ' || rec_site FROM detections JOIN files USING (file) WHERE site <> rec_site
+UNION ALL SELECT '{C.QC_ANNOTATION_OUTSIDE_AUDIO}', file, start_s || '–' || end_s || ' s in ' || duration_s || ' s of audio' FROM detections JOIN files USING (file)
   WHERE end_s > duration_s + 0.01 OR start_s < 0 OR end_s < start_s"""
 QC_OUT_OF_BOUNDS = _with(T.RECORDINGS, T.DETECTIONS, FILES) + QC_OUT_OF_BOUNDS_SELECT
 
@@ -179,9 +182,9 @@ def qc_orphans(spark, sf_dir):
 
 
 QC_ORPHANS_SELECT = f"""
-SELECT DISTINCT '{C.QC_ANNOTATION_WITHOUT_AUDIO}' AS kind, file AS target FROM detections d
+SELECT DISTINCT '{C.QC_ANNOTATION_WITHOUT_AUDIO}' AS kind, file AS target, 'annotated file is not among the recordings' AS detail FROM detections d
   WHERE NOT EXISTS (SELECT 1 FROM recordings r WHERE r.file = d.file)
-UNION ALL SELECT DISTINCT '{C.QC_AUDIO_WITHOUT_ANNOTATION}', file FROM recordings r
+UNION ALL SELECT DISTINCT '{C.QC_AUDIO_WITHOUT_ANNOTATION}', file, 'recording without annotation' FROM recordings r
   WHERE NOT EXISTS (SELECT 1 FROM detections d WHERE r.file = d.file)"""
 QC_ORPHANS = _with(T.RECORDINGS, T.DETECTIONS) + QC_ORPHANS_SELECT
 
@@ -191,9 +194,9 @@ def qc_points(spark, sf_dir):
 
 
 QC_POINTS_SELECT = f"""
-SELECT '{C.QC_DUPLICATE_POINT}' AS kind, site AS target FROM
+SELECT '{C.QC_DUPLICATE_POINT}' AS kind, site AS target, 'site repeated in the points table' AS detail FROM
   (SELECT site, row_number() OVER (PARTITION BY site ORDER BY ordinal) AS rn FROM points) WHERE rn > 1
-UNION ALL SELECT '{C.QC_INVALID_COORDINATE}', site FROM points
+UNION ALL SELECT '{C.QC_INVALID_COORDINATE}', site, 'lat=' || latitude || ', lon=' || longitude FROM points
   WHERE NOT coalesce(TRY_CAST(latitude AS DOUBLE) BETWEEN -90 AND 90 AND TRY_CAST(longitude AS DOUBLE) BETWEEN -180 AND 180, false)"""
 QC_POINTS = _with(T.POINTS) + QC_POINTS_SELECT
 
@@ -207,12 +210,13 @@ SITES = """
 first_point AS (SELECT * FROM points QUALIFY row_number() OVER (PARTITION BY site ORDER BY ordinal) = 1),
 per_site AS (SELECT site, count(*) AS n, list(DISTINCT year(clock_start)) AS years FROM recordings WHERE error IS NULL GROUP BY site)"""
 QC_DECLARED_SELECT = f"""
-SELECT '{C.QC_SITE_WITHOUT_POINT}' AS kind, site AS target FROM per_site WHERE site NOT IN (SELECT site FROM points)
-UNION ALL SELECT '{C.QC_YEAR_OUTSIDE_DECLARED}', site FROM per_site JOIN first_point USING (site)
+SELECT '{C.QC_SITE_WITHOUT_POINT}' AS kind, site AS target, 'site is not in the points table' AS detail FROM per_site WHERE site NOT IN (SELECT site FROM points)
+UNION ALL SELECT '{C.QC_YEAR_OUTSIDE_DECLARED}', site, 'files of ' || list_sort(years)::VARCHAR || '; declared ' ||
+    list_sort(list_transform(regexp_extract_all(declared_year, '\\d{{4}}'), lambda y: y::BIGINT))::VARCHAR FROM per_site JOIN first_point USING (site)
   WHERE len(regexp_extract_all(declared_year, '\\d{{4}}')) > 0
     AND NOT list_has_all(list_transform(regexp_extract_all(declared_year, '\\d{{4}}'), lambda y: y::BIGINT), years)
-UNION ALL SELECT '{C.QC_MINUTES_MISMATCH}', site FROM per_site JOIN first_point USING (site) WHERE n <> annotated_minutes
-UNION ALL SELECT '{C.QC_DECLARED_RATE_MISMATCH}', file FROM recordings JOIN first_point USING (site)
+UNION ALL SELECT '{C.QC_MINUTES_MISMATCH}', site, n || ' recordings; declared ' || annotated_minutes || ' minutes' FROM per_site JOIN first_point USING (site) WHERE n <> annotated_minutes
+UNION ALL SELECT '{C.QC_DECLARED_RATE_MISMATCH}', file, rate_hz || ' Hz; declared ' || declared_rate_hz::INTEGER || ' Hz' FROM recordings JOIN first_point USING (site)
   WHERE error IS NULL AND rate_hz <> declared_rate_hz"""
 QC_DECLARED = _with(T.RECORDINGS, T.POINTS, SITES) + QC_DECLARED_SELECT
 
@@ -227,7 +231,7 @@ SELECT kind, count(*) AS problems FROM (""" + "\nUNION ALL ".join(
     f"SELECT * FROM ({q})" for q in [
         QC_RECORDINGS_SELECT, QC_DUPLICATE_FIRST_SELECT, QC_SAME_CLOCK_SELECT, QC_DUPLICATE_ANNOTATIONS_SELECT,
         QC_OUT_OF_BOUNDS_SELECT, QC_ORPHANS_SELECT, QC_POINTS_SELECT, QC_DECLARED_SELECT,
-        f"SELECT '{C.QC_DUPLICATE_RECORDING}' AS kind, file AS target FROM (SELECT file, count(*) OVER "
+        f"SELECT '{C.QC_DUPLICATE_RECORDING}' AS kind, file AS target, '' AS detail FROM (SELECT file, count(*) OVER "
         "(PARTITION BY sha256) AS n FROM recordings) WHERE n > 1"]) + ") GROUP BY kind"
 
 
