@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ecoframe import constants as C
 from ecoframe.functions.scalars import valid_coordinate, years_in_text
-from ecoframe.operators.skew import attach, repeated
+from ecoframe.operators.skew import attach, repeated, shared
 
 REPORT = ["kind", "target", "detail"]
 
@@ -191,7 +191,15 @@ def quality_report(recordings: DataFrame, detections: DataFrame, points: DataFra
                    min_duration_s: float = C.MIN_DURATION_S, tolerance_s: float = C.END_TOLERANCE_S,
                    recording_order: Sequence[str] = ("path",), detection_order: Sequence[str] = ("ordinal",),
                    point_order: Sequence[str] = ("ordinal",)) -> DataFrame:
-    """All rules as one table; an input without problems gives an empty table with the same columns."""
+    """All rules as one table; an input without problems gives an empty table with the same columns.
+
+    Recordings and annotations pass one exchange each, from which every rule reads: neither input runs twice.
+    """
+    recordings = shared(recordings.select(*dict.fromkeys([
+        "file", "site", "source_site", "clock_start", "duration_s", "rate_hz", "channels", "sha256", "error",
+        *recording_order])), "file", *recording_order)
+    detections = shared(detections.select(*dict.fromkeys([
+        "file", "site", "species", "start_s", "end_s", *detection_order])), "file", *detection_order)
     parts = [recording_problems(recordings, min_duration_s),
              repeated_names(recordings, recording_order),
              repeated_content(recordings),

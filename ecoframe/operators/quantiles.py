@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecoframe.operators.skew import attach
+from ecoframe.operators.skew import attach, whole
 
 SKETCH_ACCURACY = 10_000
 
@@ -27,13 +27,17 @@ class Quantile:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantile],
-                    accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """One row per key that has at least one non-NULL value; a column is NULL where its values all are."""
+                    accuracy: int = SKETCH_ACCURACY, others: Sequence[Column] = ()) -> DataFrame:
+    """One row per key that has at least one non-NULL value; a column is NULL where its values all are.
+
+    ``others`` are named aggregates that the first pass computes as well; with them every key has a row.
+    """
     keys = list(keys)
-    values = df.select(*keys, *[q.value.cast("double").alias(f"_v{i}") for i, q in enumerate(wanted)])
+    df = df.withColumns({f"_v{i}": q.value.cast("double") for i, q in enumerate(wanted)})
+    values = df.select(*keys, *[f"_v{i}" for i in range(len(wanted))])
 
-    # Pass 1: counts and brackets. The sketch errs by at most n/accuracy ranks; three times that on either
-    # side holds the wanted order statistics. Groups of up to ``accuracy`` values keep all of them.
+    # Pass 1: counts and brackets. The sketch errs by at most n/accuracy ranks (the bound that percentile_approx
+    # states); three times that on either side holds the wanted order statistics. Groups of up to ``accuracy`` values keep all of them.
     slack = 3.0 / accuracy
     measures, brackets = [], []
     for i, q in enumerate(wanted):
@@ -45,7 +49,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantil
         open_high = (F.col(f"_n{i}") <= accuracy) | F.lit(high == 1.0)
         brackets += [F.when(open_low, F.lit(float("-inf"))).otherwise(F.col(f"_b{i}")[0]).alias(f"_lo{i}"),
                      F.when(open_high, F.lit(float("inf"))).otherwise(F.col(f"_b{i}")[1]).alias(f"_hi{i}")]
-    sketch = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *measures)
+    sketch = whole((df if others else values).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *measures, *others))
+    own = [c for c in sketch.columns if c not in keys][1 + 2 * len(wanted):]
     bounds = sketch.select(*keys, "_rows", *[f"_n{i}" for i in range(len(wanted))], *brackets)
 
     # Pass 2: each value is either below a bracket (only counted) or inside it (counted per value).
@@ -81,6 +86,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantil
         picks += [at(F.floor("_pos"), i).alias(f"_f{i}"), at(F.ceil("_pos"), i).alias(f"_c{i}"),
                   F.max(F.when(F.col("_target") == i, F.col("_pos") - F.floor("_pos"))).alias(f"_w{i}")]
     picked = ranked.groupBy(*keys).agg(*picks)
-    return picked.select(*keys, *[
+    found = picked.select(*keys, *[
         (F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * F.col(f"_w{i}")).alias(q.name)
         for i, q in enumerate(wanted)])
+    return sketch.select(*keys, *own).join(found, keys, "left") if others else found

@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """``df`` with its columns as the output of one generator, so that no later filter or pruning reaches below it.
+
+    Uses of it in one plan, each with other columns, then have equal plans below, and Spark runs their exchange once.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def shared(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` behind one exchange by ``keys`` (columns that nearly tell the rows apart), which all uses in one plan read."""
+    return whole(df.repartition(*keys))
+
 
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], weight: str, how: str = "inner",
            spread: Sequence[str] | None = None) -> DataFrame:
@@ -16,9 +28,9 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], weight: str,
     ``weight`` is the column of ``stats`` that says how many rows the key has. A key is hot if it owns over a
     quarter of a shuffle partition's share, so at most 4 × partitions keys are hot: that bounds what is broadcast.
     Its rows are spread over as many salts as it fills quarters, and its stats row is repeated once per salt. All other keys join as usual. ``spread`` names columns that vary within a key
-    (default: all columns). NULL keys match NULL keys.
+    (default: all columns). NULL keys match NULL keys. The total, the hot keys and the join read one run of ``stats``.
     """
-    keys = list(keys)
+    keys, stats = list(keys), whole(stats)
     total = stats.agg(F.sum(weight)).scalar()
     quarters = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     is_hot = F.col(weight) * F.lit(quarters) > total
