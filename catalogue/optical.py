@@ -440,6 +440,71 @@ SELECT (SELECT round(avg(valid::INTEGER), 6) FROM daily) AS clean_fraction,
 FROM pp"""
 
 
+# --- scenes over areas, read at the points of each area: embeddings are scenes, regions areas, nations points --------
+
+def _found_scenes(spark, sf_dir):
+    first = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("r_regionkey") * 3).cast("int"))
+    areas = T.table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").alias("area"), (F.col("r_regionkey") * 3.0).alias("area_west"), (F.col("r_regionkey") * 3.0 + 2).alias("area_east"),
+        F.lit(0.25).alias("area_south"), F.lit(0.75).alias("area_north"), first.alias("first"), F.date_add(first, 45).alias("last"))
+    west = (F.col("vec_id") % 16).cast("double")
+    scenes = T.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("item_id"), F.col("vec_id").cast("string").alias("href"), west.alias("west"), (west + 1.5).alias("east"),
+        F.lit(0.0).alias("south"), F.lit(1.0).alias("north"), (F.col("vec_id") * 7 % 101).cast("double").alias("scene_cloud_pct"),
+        F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("vec_id") % 60).cast("int")).alias("start"))
+    return R.items_over_areas(areas, scenes).withColumn("day", F.col("start"))
+
+
+def _scene_readings(spark, sf_dir, found):
+    points = T.table(spark, sf_dir, "nation").select(
+        F.col("n_regionkey").alias("area"), F.col("n_name").alias("point"), (F.col("n_nationkey") % 9 * 10 + 105.0).alias("x"),
+        (195.0 - F.col("n_nationkey") * 3 % 8 * 10).alias("y"))
+    classes = _blocks(spark, sf_dir).withColumn("values", F.transform("values", lambda v: (F.floor(F.abs(v) * 40) % 12).cast("double")))
+    return K.scene_readings(found, points, _rasters(spark, sf_dir), classes, BLOCK)
+
+
+SCENES = """
+found AS (
+  SELECT r_regionkey AS area, vec_id, DATE '2024-01-01' + (vec_id % 60)::INT AS day, (vec_id * 7 % 101)::DOUBLE AS cloud, embedding
+  FROM embeddings JOIN region ON vec_id % 16 <= r_regionkey * 3 + 2 AND r_regionkey * 3 <= vec_id % 16 + 1.5
+  WHERE vec_id % 60 BETWEEN r_regionkey * 3 AND r_regionkey * 3 + 45),
+readings AS (
+  SELECT n_name AS point, day, cloud, CASE WHEN n_nationkey % 9 < 8 THEN nullif(CAST(floor(abs(
+           embedding[CAST(n_nationkey * 3 % 8 * 8 + n_nationkey % 9 + 1 AS INTEGER)]::DOUBLE) * 40) AS INTEGER) % 12, 0) END AS scl
+  FROM found JOIN nation ON n_regionkey = area),
+daily AS (
+  SELECT point, day, bool_or(scl IN (4, 5, 6)) AS valid, quantile_cont(cloud, 0.5) AS scene_cloud_pct,
+         CAST(floor((day - DATE '2024-01-01') / 16.0) AS INTEGER) AS period16, strftime(day, '%Y-%m') AS month
+  FROM readings WHERE scl IS NOT NULL GROUP BY point, day)"""
+
+
+def scene_observations(spark, sf_dir):
+    """Scenes that overlap an area in its range, read at the area's points, as one observation per point and day."""
+    found = _found_scenes(spark, sf_dir)
+    return K.daily_observations(_scene_readings(spark, sf_dir, found), FIRST_DAY)
+
+
+SCENE_OBSERVATIONS = "WITH" + SCENES + " SELECT * FROM daily"
+
+
+def scene_summary(spark, sf_dir):
+    """The same observations summarised, with the number of scenes and the median of their cloud shares."""
+    found = _found_scenes(spark, sf_dir)
+    daily = K.daily_observations(_scene_readings(spark, sf_dir, found), FIRST_DAY)
+    return K.observation_summary(daily, FIRST_DAY, "2024-02-29", found).withColumn("clean_fraction", F.round("clean_fraction", 6))
+
+
+SCENE_SUMMARY = "WITH" + SCENES + """,
+pp AS (SELECT point, count(*) FILTER (valid) AS clean, count(DISTINCT period16) FILTER (valid) AS periods FROM daily GROUP BY point),
+scenes AS (SELECT DISTINCT vec_id, cloud FROM found)
+SELECT (SELECT count(*) FROM scenes) AS scenes, (SELECT quantile_cont(cloud, 0.5) FROM scenes) AS scene_cloud_median,
+       (SELECT round(avg(valid::INTEGER), 6) FROM daily) AS clean_fraction,
+       quantile_cont(clean, 0.5) AS clean_median, min(clean) AS clean_min, max(clean) AS clean_max, 3 AS periods_total,
+       quantile_cont(periods, 0.5) AS periods_median, min(periods) AS periods_min, max(periods) AS periods_max,
+       coalesce((SELECT string_agg(month, ',' ORDER BY month) FROM (SELECT month FROM daily GROUP BY month HAVING count(*) FILTER (valid) = 0)), '') AS months_without_clean
+FROM pp"""
+
+
 def status_contingency(spark, sf_dir):
     """Composites per supplier and status, zero where a status never occurs."""
     rows = T.table(spark, sf_dir, "lineitem").select(
@@ -486,11 +551,12 @@ FROM supplier, (SELECT range AS k FROM range(2)) a, (SELECT range AS m FROM rang
 QUERIES = {f.__name__: f for f in [
     locate, pixel_window, pixel_sample, pixel_decode_tests, source_scene_argmin, invalid_reason, window_stats, item_per_period,
     items_over_points, items_over_areas, coverage_calendar, cloudiness_summary, daily_any_valid, clean_per_point, clean_per_month,
-    observation_summary, status_contingency, clock_hours, grid_points]}
+    observation_summary, scene_observations, scene_summary, status_contingency, clock_hours, grid_points]}
 ORACLE = {
     "locate": LOCATE, "pixel_window": PIXEL_WINDOW, "pixel_sample": PIXEL_SAMPLE, "pixel_decode_tests": PIXEL_DECODE,
     "source_scene_argmin": SOURCE_SCENE, "invalid_reason": INVALID_REASON, "window_stats": WINDOW_STATS,
     "item_per_period": ITEM_PER_PERIOD, "items_over_points": ITEMS_OVER_POINTS, "coverage_calendar": COVERAGE_CALENDAR,
     "cloudiness_summary": CLOUDINESS_SUMMARY, "items_over_areas": ITEMS_OVER_AREAS, "daily_any_valid": DAILY_ANY_VALID, "clean_per_point": CLEAN_PER_POINT,
-    "clean_per_month": CLEAN_PER_MONTH, "observation_summary": OBSERVATION_SUMMARY, "status_contingency": STATUS_CONTINGENCY,
+    "clean_per_month": CLEAN_PER_MONTH, "observation_summary": OBSERVATION_SUMMARY, "scene_observations": SCENE_OBSERVATIONS, "scene_summary": SCENE_SUMMARY,
+    "status_contingency": STATUS_CONTINGENCY,
     "clock_hours": CLOCK_HOURS, "grid_points": GRID_POINTS}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ecoframe import constants as C
 from ecoframe.functions.scalars import period_index, scl_valid, year_month
 from ecoframe.operators.quantiles import Quantile, exact_quantiles
+from ecoframe.operators.raster import BLOCK_SIZE, sample
 
 RULES = tuple(C.RULE_LABELS)
 
@@ -63,6 +64,26 @@ def cloudiness_summary(series: DataFrame, rules=RULES) -> DataFrame:
                     "valid_max", "points_passing"))
 
 
+def scene_readings(found: DataFrame, points: DataFrame, rasters: DataFrame, blocks: DataFrame,
+                   block_size: int = BLOCK_SIZE) -> DataFrame:
+    """Class of every point in every scene found over its area; NULL outside the scene's raster and where it is 0 or nodata.
+
+    ``found`` has area, item_id, day, scene_cloud_pct and href (of the class raster), as
+    :func:`ecoframe.operators.raster.items_over_areas` gives them; ``points`` has area, point and x, y in the rasters' system.
+    """
+    pairs = found.select("area", "item_id", "day", "scene_cloud_pct", "href").join(
+        points.select("area", "point", "x", "y"), "area")
+    return sample(pairs, rasters, blocks, block_size).select(
+        "item_id", "point", "day", "scene_cloud_pct", F.col("value").cast("int").alias("scl"))
+
+
+def scene_counts(found: DataFrame) -> DataFrame:
+    """One row: distinct scenes found, and the median of their cloud shares."""
+    scenes = found.groupBy("item_id").agg(F.min("scene_cloud_pct").alias("scene_cloud_pct"))
+    return exact_quantiles(scenes.withColumn("_one", F.lit(1)), ["_one"], [
+        Quantile("scene_cloud_median", F.col("scene_cloud_pct"), 0.5)], others=[F.count(F.lit(1)).alias("scenes")])
+
+
 def daily_observations(readings: DataFrame, first_day: str) -> DataFrame:
     """One observation per point and day, valid if any reading is; readings without a class are dropped.
 
@@ -89,8 +110,11 @@ def clean_per_month(daily: DataFrame) -> DataFrame:
     return daily.groupBy("month").agg(F.count_if("valid").alias("clean"))
 
 
-def observation_summary(daily: DataFrame, first_day: str, last_day: str) -> DataFrame:
-    """One row: clean fraction, spread of clean counts and periods over the points, months without a clean one."""
+def observation_summary(daily: DataFrame, first_day: str, last_day: str, found: DataFrame | None = None) -> DataFrame:
+    """One row: clean fraction, spread of clean counts and periods over the points, months without a clean one.
+
+    With ``found``, the scenes behind the observations, also their number and the median of their cloud shares.
+    """
     points = clean_per_point(daily)
     one = F.lit(1).alias("_one")
     quantiles = exact_quantiles(points.select("*", one), ["_one"], [
@@ -102,8 +126,11 @@ def observation_summary(daily: DataFrame, first_day: str, last_day: str) -> Data
     months = clean_per_month(daily).groupBy(one).agg(F.array_join(F.array_sort(F.collect_list(
         F.when(F.col("clean") == 0, F.col("month")))), ",").alias("months_without_clean"))
     total = F.floor((F.datediff(F.to_date(F.lit(last_day)), F.to_date(F.lit(first_day))) + 1) / C.COMPOSITE_DAYS)
-    return fraction.join(ranges, "_one").join(quantiles, "_one").join(months, "_one").select(
-        "clean_fraction", "clean_median", "clean_min", "clean_max", total.cast("int").alias("periods_total"),
+    row = fraction.join(ranges, "_one").join(quantiles, "_one").join(months, "_one")
+    if found is not None:
+        row = row.join(scene_counts(found), "_one")
+    return row.select(
+        *(["scenes", "scene_cloud_median"] if found is not None else []), "clean_fraction", "clean_median", "clean_min", "clean_max", total.cast("int").alias("periods_total"),
         "periods_median", "periods_min", "periods_max", "months_without_clean")
 
 
