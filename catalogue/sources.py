@@ -138,7 +138,7 @@ FROM orders, (SELECT unnest([0, 1, 2]) AS k, unnest([0.46, 0.51, 0.56]::DOUBLE[]
 
 
 def grid_to_lon_lat(spark, sf_dir):
-    """Suppliers as UTM points on the old datum, moved to longitude and latitude (checked in tests, not in SQL)."""
+    """Suppliers as UTM points on the old datum, moved to longitude and latitude."""
     s = T.table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") + 480000).alias("x"), (F.col("s_nationkey") * 1000 + 8325906.0).alias("y"))
     lon, lat = projection.utm_to_lon_lat(F.col("x"), F.col("y"), 24, ellipsoid="GRS67")
     old = s.withColumn("lon", lon).withColumn("lat", lat)
@@ -146,8 +146,37 @@ def grid_to_lon_lat(spark, sf_dir):
     return old.select("s_suppkey", F.round(lon, 8).alias("longitude"), F.round(lat, 8).alias("latitude"))
 
 
+# The grid's series in the third flattening n = f / (2 - f), then a shift of geocentric coordinates.
+GRID_TO_LON_LAT = """
+WITH shape AS (
+  SELECT *, 1 / (2 * inverse - 1) AS n, (2 - 1 / inverse) / inverse AS e2 FROM (SELECT 6378160.0::DOUBLE AS a, 298.25::DOUBLE AS inverse)),
+plane AS (
+  SELECT s_suppkey, s.*, (s_nationkey * 1000 + 8325906.0::DOUBLE - 1e7) / (0.9996::DOUBLE * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)) AS xi,
+         (s_acctbal + 480000 - 5e5::DOUBLE) / (0.9996::DOUBLE * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)) AS eta
+  FROM supplier, shape s),
+sphere AS (
+  SELECT *, xi - (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96) * sin(2 * xi) * cosh(2 * eta) - (n**2 / 48 + n**3 / 15) * sin(4 * xi) * cosh(4 * eta)
+              - 17 * n**3 / 480 * sin(6 * xi) * cosh(6 * eta) AS p,
+         eta - (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96) * cos(2 * xi) * sinh(2 * eta) - (n**2 / 48 + n**3 / 15) * cos(4 * xi) * sinh(4 * eta)
+             - 17 * n**3 / 480 * cos(6 * xi) * sinh(6 * eta) AS q
+  FROM plane),
+conformal AS (SELECT *, asin(sin(p) / cosh(q)) AS chi, atan2(sinh(q), cos(p)) + radians(24 * 6 - 183) AS lon FROM sphere),
+geographic AS (
+  SELECT *, chi + (2 * n - 2 * n**2 / 3 - 2 * n**3) * sin(2 * chi) + (7 * n**2 / 3 - 8 * n**3 / 5) * sin(4 * chi)
+            + 56 * n**3 / 15 * sin(6 * chi) AS lat FROM conformal),
+centred AS (
+  SELECT s_suppkey, a / sqrt(1 - e2 * sin(lat)**2) * cos(lat) * cos(lon) - 67.35 AS gx,
+         a / sqrt(1 - e2 * sin(lat)**2) * cos(lat) * sin(lon) + 3.88 AS gy,
+         a / sqrt(1 - e2 * sin(lat)**2) * (1 - e2) * sin(lat) - 38.22 AS gz FROM geographic),
+wgs AS (SELECT *, sqrt(gx**2 + gy**2) AS d, 6378137.0::DOUBLE AS b, 6378137.0::DOUBLE * (1 - 1 / 298.257223563::DOUBLE) AS minor FROM centred),
+bowring AS (SELECT *, atan2(gz * b, d * minor) AS u FROM wgs)
+SELECT s_suppkey, round(degrees(atan2(gy, gx)), 8) AS longitude, round(degrees(atan2(
+         gz + (b**2 - minor**2) / minor**2 * minor * sin(u)**3, d - (1 - minor**2 / b**2) * b * cos(u)**3)), 8) AS latitude
+FROM bowring"""
+
+
 QUERIES = {f.__name__: f for f in [
     content_hash, wav_header, record_files, zip_members, catalogue_items, dictionary_gap, distinct_scenes, lat_lon_grid, grid_to_lon_lat]}
 ORACLE = {"content_hash": CONTENT_HASH, "wav_header": WAV_HEADER, "record_files": RECORD_FILES, "zip_members": ZIP_MEMBERS,
           "catalogue_items": CATALOGUE_ITEMS, "dictionary_gap": DICTIONARY_GAP, "distinct_scenes": DISTINCT_SCENES,
-          "lat_lon_grid": LAT_LON_GRID}
+          "lat_lon_grid": LAT_LON_GRID, "grid_to_lon_lat": GRID_TO_LON_LAT}

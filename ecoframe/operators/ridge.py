@@ -30,7 +30,7 @@ ROUNDING = 1e-13
 
 @dataclass(frozen=True)
 class Problem:
-    """Rows to model: keys, mask, group, row_id, y and the features.
+    """Rows to model: keys, mask, group, row_id, y and the features. Without a group column every row is its own group.
 
     ``base`` and ``larger`` are the two models compared; ``features`` is their union in a fixed order.
     ``hosted`` (keys, group, mask) gives the response variant to use when a group is held out; None means that
@@ -45,7 +45,8 @@ class Problem:
     skewed: bool = True
 
     def __post_init__(self):
-        object.__setattr__(self, "rows", centred(self.rows, self.keys, [*self.features, "y"]))
+        rows = self.rows if "group" in self.rows.columns else self.rows.withColumn("group", F.col("row_id"))
+        object.__setattr__(self, "rows", centred(rows, self.keys, [*self.features, "y"]))
 
     @property
     def features(self) -> list[str]:

@@ -52,6 +52,12 @@ def test_held_out_errors_equal_ridge_by_descent(spark, groups, skewed):
     assert np.abs(got.error_base.to_numpy() - held_out(table, X[:3])).max() < 1e-10
 
 
+def test_without_groups_every_row_is_held_out_alone(spark):
+    table = data(9, seed=4)
+    got = G.held_out_errors(problem(spark, table.drop(columns="group"))).toPandas().sort_values("row_id")
+    assert np.abs(got.error_larger.to_numpy() - held_out(table, X)).max() < 1e-10
+
+
 def test_weights_equal_repeated_rows(spark):
     table, weights = data(12), [2, 1, 0, 1, 4, 1, 1, 0, 3, 1, 2, 1]
     rows = spark.createDataFrame(table.assign(w=weights))
