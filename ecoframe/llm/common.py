@@ -36,6 +36,19 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.xxhash64(text).alias("print"), text.alias("text"))
 
 
+def marks(docs: DataFrame) -> list[Column]:
+    """key and print as in text_rows, and row, a hash of all columns: together they tell apart all rows but equal ones."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"),
+            F.xxhash64(*docs.columns).alias("row")]
+
+
+def only_least(docs: DataFrame, named: DataFrame, component: str) -> DataFrame:
+    """The row of `docs` with the least (key, print, row) of each component; `named` has these columns and the component of every row."""
+    kept = named.groupBy(component).agg(F.min(F.struct("key", "print", "row")).alias("__least")).select("__least")
+    rows = docs.withColumn("__own", F.struct(*marks(docs))).join(kept, F.col("__own") == F.col("__least"))
+    return rows.dropDuplicates(["__own"]).select(*docs.columns)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset, a temporary one, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)

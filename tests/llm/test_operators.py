@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ecoframe.llm import components, decontaminate, mixing, pii, quality_rules, secrets_index, simhash, url_templates, warc
+from ecoframe.llm import components, decontaminate, mixing, near_copies, pii, quality_rules, secrets_index, simhash, url_templates, warc
 from ecoframe.llm.common import spans_text
 
 order = lambda rows: sorted(map(tuple, rows), key=str)
@@ -101,6 +101,59 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, **{k: 100 for k in range(101, 140)}}
 
 
+# --- near copies of the pipeline --------------------------------------------------------------------------------------
+
+def shingle_set(text):
+    w = (text or "").encode().translate(simhash.LOWER).split()
+    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def least_of_components(rows):
+    """Rows that stay: one for each component of texts with Jaccard of at least 0.8, by brute force over all pairs."""
+    sets = [shingle_set(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 10 * len(a & b) >= 8 * len(a | b):
+                root[find(i)] = find(j)
+    parts = {}
+    for i, (k, t, _) in enumerate(rows):
+        parts.setdefault(find(i), []).append((k is None, k, t))
+    return parts.values()
+
+
+@pytest.mark.parametrize(("few", "block"), [(32, 4000), (2, 5)])
+def test_near_copies_are_those_of_brute_force(spark, documents, corpus, few, block):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(6))
+    base, rows = [word() for _ in range(200)], list(corpus)
+    for i in range(50):  # copies of copies, most edited in one to four places: similarities from 0.6 to 1
+        words_ = list(r.choice([base, rows[-1][1].split(" ")])) if i else list(base)
+        for at in r.sample(range(len(words_)), r.randint(0, 4)):
+            words_[at] = word()
+        rows.append((5000 + i, " ".join(words_), "s"))
+    rows += [(None, " ".join(word() for _ in range(60)), "s") for _ in range(4)] + [(7000, " ".join(word() for _ in range(60)), "s") for _ in range(3)]
+    rows += [(None, " ".join(base), "s"), (7000, " ".join(base), "s")]
+    parts = least_of_components(rows)
+    assert any(len(p) > 20 for p in parts) and len(parts) > 60
+    got = near_copies.representatives(documents(rows), few=few, block=block)
+    kept = Counter((x["doc_id"], x["text"]) for x in got.collect())
+    assert got.columns == documents(rows).columns and sum(kept.values()) == len(parts)
+    for p in parts:  # the least id; among rows with one id, any of their texts
+        assert sum(kept[k, t] for _, k, t in set(p) if (k is None, k) == min((x[:2] for x in p), key=lambda x: (x[0], x[1] or 0))) == 1
+    assert near_copies.representatives(documents([])).count() == 0
+
+
+def test_near_dedup_of_the_pipeline_removes_copies_beyond_four_bits(spark):
+    sf = "/root/testdata/sf0.001"
+    words_ = ["w%d" % k for k in range(120)]
+    texts = [" ".join(words_), " ".join([*words_[:60], "edited", *words_[61:]]), " ".join("v%d" % k for k in range(120))]
+    assert (fingerprint(texts[0]) ^ fingerprint(texts[1])).bit_count() > 4
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, rows, sf).collect()) == [0, 2]
+
+
 # --- 1: decontamination ---------------------------------------------------------------------------------------------------
 
 def test_leaks(spark, documents):
