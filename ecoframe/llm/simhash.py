@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecoframe.llm.common import NO_ID, cut, text_rows
+from ecoframe.llm.common import NO_ID, cut, marks, only_least, text_rows
 from ecoframe.llm.components import connected
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -50,14 +50,17 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, key, fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, marked: bool = False) -> DataFrame:
+    """doc_id, key, fp (the 64 bits as a signed long) of every row; of `marked` rows also print and row, which tell them apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             fp = np.array([fingerprint(t, width, seed) for t in x.pop("text")], np.uint64).view(np.int64)
             yield x.assign(fp=fp)
 
+    if marked:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *marks(docs), F.coalesce("text", F.lit("")).alias("text"))
+        return rows.mapInPandas(run, "doc_id long, key long, print long, row long, fp long")
     return text_rows(docs).select("doc_id", "key", "text").mapInPandas(run, "doc_id long, key long, fp long")
 
 
@@ -129,14 +132,14 @@ def link(prints: DataFrame, bits: int = 4, block: int = 20_000) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def group(docs: DataFrame, bits: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, key, fp and component (the smallest key that links reach) of every row of `docs`."""
-    rows = cut(fingerprints(docs, width, seed))
+def group(docs: DataFrame, bits: int = 4, width: int = 4, seed: int = 42, marked: bool = False) -> DataFrame:
+    """The columns of fingerprints, component (the smallest key that links reach) and root (its own fingerprint) of every row of `docs`."""
+    rows = cut(fingerprints(docs, width, seed, marked))
     prints = cut(rows.groupBy("fp").agg(F.min("key").alias("least")))
     roots = connected(link(prints.select("fp"), bits))
     named = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("fp").alias("own"), "component")
-    return rows.join(named, rows["fp"] == named["own"]).select("doc_id", "key", "fp", "component")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select(F.col("fp").alias("own"), "root", "component")
+    return rows.join(named, rows["fp"] == named["own"]).drop("own")
 
 
 def components(docs: DataFrame, bits: int = 4) -> DataFrame:
@@ -146,7 +149,5 @@ def components(docs: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def representatives(docs: DataFrame, bits: int = 4) -> DataFrame:
-    """One row of `docs` for each component, that of the smallest id, with the columns of `docs`."""
-    kept = group(docs, bits).filter(F.col("key") == F.col("component")).select(F.col("key").alias("__key")).distinct()
-    rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return rows.join(kept, "__key").dropDuplicates(["__key"]).select(*docs.columns)
+    """One row of `docs` for each component, that of the smallest id (then hash of the text, then of the row), with the columns of `docs`."""
+    return only_least(docs, group(docs, bits, marked=True), "root")

@@ -83,6 +83,14 @@ def test_simhash_components(spark, documents, corpus, block, monkeypatch):
     assert kept[0].__fields__ == documents(rows).columns
 
 
+def test_representatives_keep_texts_without_or_with_one_id(spark, documents):
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdefg"]
+    rows = [(None, t, "s") for t in texts[:3]] + [(7, t, "s") for t in texts[3:6]] + [(9, texts[6], "s"), (None, texts[6], "s"), (9, texts[6], "s")]
+    for keep in (simhash.representatives, near_copies.representatives):
+        got = keep(documents(rows)).collect()
+        assert order((r["doc_id"], r["text"]) for r in got) == order([(None, t) for t in texts[:3]] + [(7, t) for t in texts[3:6]] + [(9, texts[6])])
+
+
 def test_variants_miss_no_close_pair():
     r = random.Random(3)
     for bits in (2, 4, 7):
