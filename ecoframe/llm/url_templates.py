@@ -4,7 +4,8 @@ Explicit rules (a host, which stands for its subdomains too, and a path prefix)
 other URLs are judged by their template: path segments are generalised to wildcards by their form, and, level by level down
 the tree of a host, children that are too many and too rare become one wildcard. Sibling templates of a host that differ in
 one literal segment are merged where their labelled rates don't differ significantly. A template is blocked if its labelled
-purity, smoothed towards the rate of all labelled pages, reaches `reject`.
+purity, smoothed towards the rate of all labelled pages, reaches `reject` and a page of it, or of the branch that it joined, is
+labelled bad: the rate of all pages alone blocks nothing.
 
 Pages are counted per (host, form of the path) before anything is shuffled; the tree is built from these counts, so a hot
 host is a set of counted rows and never a group of pages. Labels are the verdicts of the rules and, if given, `label` (true:
@@ -75,7 +76,7 @@ def templates(counted: DataFrame, most_children: int = 32, least_share: float =
 
 
 def purity(tree: DataFrame, smoothing: float = 8.0, least: int = 20, z: float = 2.0) -> DataFrame:
-    """Per (host, template): pages, labelled, bad, merged (the branch that it joined) and smoothed purity."""
+    """Per (host, template): pages, labelled, bad, merged (the branch that it joined), smoothed purity and known (whether a bad page is behind it)."""
     leaves = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
     overall = leaves.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
     prior = overall["bad"] / overall["labelled"] if overall["labelled"] else 0.0
@@ -91,7 +92,7 @@ def purity(tree: DataFrame, smoothing: float = 8.0, least: int = 20, z: float =
     alike = full & (F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - rate) <= z * error + F.lit(1e-9))
     bad, labelled = F.when(alike, F.col("pool_bad")).otherwise(F.col("bad")), F.when(alike, F.col("pool_labelled")).otherwise(F.col("labelled"))
     return leaves.select("host", "template", "n", "labelled", "bad", F.when(alike, F.col("branch")).alias("merged"),
-                         ((bad + smoothing * prior) / (labelled + smoothing)).alias("purity"))
+                         ((bad + smoothing * prior) / (labelled + smoothing)).alias("purity"), (bad > 0).alias("known"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labels: DataFrame | None = None, reject: float = 0.8) -> DataFrame:
@@ -106,8 +107,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labels: Da
     counted = seen.groupBy("host", "form").agg(F.count("*").alias("n"), F.count("label").alias("labelled"),
                                                F.coalesce(F.sum(F.col("label").cast("int")), F.lit(0)).alias("bad"))
     tree = cut(templates(counted))
-    judged = tree.select("host", "form", "template").join(purity(tree).select("host", "template", "purity"), ["host", "template"])
+    judged = tree.select("host", "form", "template").join(purity(tree).select("host", "template", "purity", "known"), ["host", "template"])
     return rows.join(judged, ["host", "form"], "left").select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),
-        F.coalesce(F.col("hit.verdict"), F.when(F.col("purity") >= reject, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(F.col("hit.verdict"), F.when(F.col("known") & (F.col("purity") >= reject), "block").otherwise("allow")).alias("verdict"),
         "template", "purity")

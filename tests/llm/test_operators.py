@@ -313,6 +313,13 @@ def test_labelled_purity_rejects_a_template(spark):
     assert url_templates.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_pages_without_bad_labels_stay_allowed_at_any_prior(spark):
+    urls = [f"http://x.net/es/{i}" for i in range(99)] + ["http://b.org/en/1", "http://y.net/de/1", "http://x.net/de/2", None, "no url"]
+    got = {r["url"]: r["verdict"] for r in url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).join(
+        spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id").collect()}
+    assert {u: got[u] for u in urls[99:]} == dict.fromkeys(urls[99:], "allow") and got[urls[0]] == "block"
+
+
 # --- 6: WARC --------------------------------------------------------------------------------------------------------------------
 
 def test_archives_come_back(spark):
