@@ -190,5 +190,73 @@ f AS (
   FROM m)
 SELECT *, failures & 3 <> 0 AS base_failed, failures = 0 AS kept FROM f"""
 
+_CRC_BIT = "CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+OP11 = rf"""
+WITH t AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+    len([w for w in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if w <> '']) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS i FROM t),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+    [4294967295::BIGINT] || list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda k: ascii(substr(conv_id::VARCHAR, k, 1))::BIGINT),
+    lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda a, b: {_CRC_BIT}))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, i, m, words FROM c JOIN ranked ON ranked.conv_id = base AND i <= h
+  UNION ALL SELECT conv_id, 1, i, m, words FROM ranked JOIN c USING (conv_id) WHERE i > h),
+paths AS (
+  SELECT conv_id, row_number() OVER o AS depth, words, string_agg(m, '') OVER o AS path
+  FROM rebuilt WINDOW o AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT path, p.depth, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+    sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (l.depth = p.depth), '')) AS ends_sha256
+  FROM paths p JOIN lengths l ON l.conv_id = p.conv_id GROUP BY path, p.depth),
+children AS (SELECT left(path, 32 * (depth - 1)::BIGINT) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+sums AS (
+  SELECT left(path, 32 * above) AS path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT n.path, saved, (n_children IS NULL)::INT AS leaf, unnest(range(n.depth + 1)) AS above
+    FROM nodes n LEFT JOIN children USING (path)) GROUP BY 1)
+SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+  coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (path) LEFT JOIN children USING (path)
+  LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, 32 * (n.depth - 1)::BIGINT)"""
+
+OP12 = rf"""
+WITH {_DOCS},
+masks AS (
+  SELECT doc_id, coalesce(source, '') AS part,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(coalesce(doc_id, 9223372036854775807) > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM d),
+says AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+rows AS (SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM masks LEFT JOIN says USING (doc_id)),
+five AS (SELECT unnest([1, 2, 4, 8, 16]) AS bit, unnest(['A', 'B', 'C', 'D', 'E']) AS name),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order
+  FROM five a, five b, five c, five d, five e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (
+  SELECT filter_order, step, bit,
+    list_sum([0] || list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65)))::BIGINT AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders) JOIN five ON name = substr(filter_order, step, 1)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    count(*) FILTER (mask & (before | bit) = 0) AS kept,
+    count(*) FILTER (mask & before = 0 AND mask & bit > 0) AS removed,
+    count(*) FILTER (mask & before > 0 AND mask & bit > 0) AS redundant,
+    count(*) FILTER (mask = bit) AS unique_fails,
+    count(*) FILTER (mask & before = 0 AND mask & bit > 0 AND good) AS good_lost,
+    count(*) FILTER (mask & before = 0 AND mask & bit > 0 AND toxic) AS toxic_lost
+  FROM rows, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted"""
+
 ORACLE = {"op3_mix_sources": OP3, "op4_url_templates": OP4, "op5_phrase_automata": OP5, "op6_salvage_warc": OP6,
-          "op7_suffix_sort": OP7, "op9_trigram_secrets": OP9, "op10_rule_ledger": OP10}
+          "op7_suffix_sort": OP7, "op9_trigram_secrets": OP9, "op10_rule_ledger": OP10,
+          "op11_prefix_trie": OP11, "op12_filter_audit": OP12}

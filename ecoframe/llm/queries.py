@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecoframe.llm import decontaminate, mixing, pii, quality_rules, repeated_phrases, secrets_index, simhash, suffix_sort, url_templates, warc
+from ecoframe.llm import (
+    decontaminate, filter_audit, mixing, pii, prefix_trie, quality_rules, repeated_phrases, secrets_index, simhash, suffix_sort,
+    toxicity, url_templates, warc)
 from ecoframe.llm.common import spans_text, table
 from ecoframe.llm.oracles import ORACLE  # noqa: F401
 
@@ -60,6 +62,19 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_qgram_leaks, op2_anchor_pii, op3_mix_sources, op4_url_templates, op5_phrase_automata, op6_salvage_warc,
-    op7_suffix_sort, op8_deletion_simhash, op9_trigram_secrets, op10_rule_ledger)}
+    op7_suffix_sort, op8_deletion_simhash, op9_trigram_secrets, op10_rule_ledger, op11_prefix_trie, op12_filter_audit,
+    op13_string_kernel)}
