@@ -39,17 +39,19 @@ from pyspark.sql import functions as F
 from ecoframe.llm.common import cut
 
 LENGTH, SPAN, DECAY = 4, 6, 0.6
-SAMPLE, CANDIDATES, LANDMARKS, CLEAN_LANDMARKS, ROUNDS = 20_000, 3_000, 160, 32, 3
+SAMPLE, CANDIDATES, LANDMARKS, CLEAN_LANDMARKS, ROUNDS = 8_000, 3_000, 160, 32, 3
 #: A word is left out where a chosen landmark has this kernel with it.
 NEAR = 0.45
 WORDS, LETTERS = 40, 48
 #: Words that a task remembers; then it starts anew.
 KNOWN = 200_000
 FOLDS = 5
-_PLACES = [((0, *rest), DECAY ** (rest[-1] + 1 - LENGTH)) for rest in combinations(range(1, SPAN), LENGTH - 1)]
+#: Words at a time (under 2**20), and bits of the table of known subsequences.
+BLOCK, TABLE = 4096, 20
+_PLACES = [(0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1)]
+_WEIGHTS = DECAY ** np.arange(4.0)
 _OTHER = re.compile(r"[^\w\s.!?]+|_+")
 _SENTENCE = re.compile(r"(?<=\w\w)[.!?]+\s+|\n+")
-_MARKS = str.maketrans("", "", ".!?")
 _APART = re.compile(r"(?<!\S)(?:\w\s+){2,}\w(?!\S)")
 
 
@@ -57,7 +59,7 @@ def sentences(text: str | None) -> list[list[str]]:
     """Distinct words of each sentence, in lower case, letters and digits only."""
     out = []
     for part in _SENTENCE.split(_OTHER.sub("", (text or "").lower())):
-        part = _APART.sub(lambda m: "".join(m.group().split()), part.translate(_MARKS))
+        part = _APART.sub(lambda m: "".join(m.group().split()), part.replace(".", "").replace("!", "").replace("?", ""))
         words = part.split()
         for a in range(0, len(words), WORDS):
             piece = dict.fromkeys(words[a:a + WORDS])
@@ -67,67 +69,78 @@ def sentences(text: str | None) -> list[list[str]]:
     return out or [[]]
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, subsequence, weight), each pair once, ordered by word; the weights of a word have length one.
+def _scattered(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
-    Characters count by their lower 16 bits.
+
+def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, subsequence, characters left out) of every occurrence, and the length of each word's vector of weights.
+
+    A subsequence is the lower 16 bits of each of its characters. Occurrences of one subsequence in a word are brought together
+    by one sort of (word, 42 bits of a hash, characters left out); words come a few thousand at a time.
     """
     text = "".join(f"\x02{w}\x03" for w in words)
     letters = (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 0xFFFF).astype(np.uint64)
-    of = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
-    who, what, weight = [], [], []
-    for places, w in _PLACES:
+    of = np.repeat(np.arange(len(words), dtype=np.uint64), [len(w) + 2 for w in words])
+    who, what, gap = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for places in _PLACES:
         n = len(letters) - places[-1]
         if n <= 0:
             continue
-        inside = np.flatnonzero(of[:n] == of[places[-1]:])
-        code = np.zeros(len(inside), np.uint64)
-        for p in places:
-            code = code << np.uint64(16) | letters[inside + p]
-        who.append(of[inside])
-        what.append(code)
-        weight.append(np.full(len(inside), w))
-    if not who:
-        return np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0)
-    who, what, weight = np.concatenate(who), np.concatenate(what), np.concatenate(weight)
-    order = np.lexsort((what, who))
-    who, what, weight = who[order], what[order], weight[order]
-    first = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (what[1:] != what[:-1])))[:len(who)])
-    if not len(first):
-        return who, what, weight
-    who, what, weight = who[first], what[first], np.add.reduceat(weight, first)
-    norm = np.sqrt(np.bincount(who, weight * weight, len(words)))
-    return who, what, weight / norm[who]
+        code = letters[:n]
+        for p in places[1:]:
+            code = code << np.uint64(16) | letters[p:p + n]
+        inside = of[:n] == of[places[-1]:]
+        who.append(of[:n][inside])
+        what.append(code[inside])
+        gap.append(np.full(len(who[-1]), places[-1] + 1 - LENGTH, np.uint64))
+    who, what, gap = np.concatenate(who), np.concatenate(what), np.concatenate(gap)
+    key = np.sort(who << np.uint64(44) | (_scattered(what) >> np.uint64(22)) << np.uint64(2) | gap)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] >> np.uint64(2) != key[:-1] >> np.uint64(2)))[:len(key)])
+    sums = np.add.reduceat(_WEIGHTS[(key & np.uint64(3)).astype(np.intp)], first) if len(first) else np.zeros(0)
+    return who.astype(np.intp), what, gap.astype(np.intp), np.sqrt(np.bincount((key[first] >> np.uint64(44)).astype(np.intp), sums * sums, len(words)))
 
 
 @dataclass(frozen=True)
 class Landmarks:
+    """`known` subsequences in order, where each begins in (mark, weight), and a table that tells most others apart at once."""
+
     words: list[str]
     known: np.ndarray = field(repr=False)
     begin: np.ndarray = field(repr=False)
     mark: np.ndarray = field(repr=False)
     weight: np.ndarray = field(repr=False)
+    table: np.ndarray = field(repr=False)
 
     @staticmethod
     def of(words: list[str]) -> Landmarks:
-        mark, what, weight = subsequences(words)
-        order = np.lexsort((mark, what))
+        mark, what, gap, size = subsequences(words)
+        order = np.argsort(what, kind="stable")
         known, begin = np.unique(what[order], return_index=True)
-        return Landmarks(words, known, np.append(begin, len(what)), mark[order], weight[order])
+        table = np.zeros(1 << TABLE, bool)
+        table[_scattered(known) >> np.uint64(64 - TABLE)] = True
+        weight = _WEIGHTS[gap] / size[mark]
+        return Landmarks(words, known, np.append(begin, len(what)), mark[order], weight[order], table)
 
     def kernels(self, words: list[str]) -> np.ndarray:
         """One row per word: its kernel with each landmark."""
-        who, what, weight = subsequences(words)
-        out = np.zeros(len(words) * len(self.words))
-        if len(self.known) and len(what):
-            at = np.minimum(np.searchsorted(self.known, what), len(self.known) - 1)
-            met = np.flatnonzero(self.known[at] == what)
-            at = at[met]
+        out = np.zeros((len(words), len(self.words)))
+        for a in range(0, len(words), BLOCK):
+            some = words[a:a + BLOCK]
+            who, what, gap, length = subsequences(some)
+            met = np.flatnonzero(self.table[_scattered(what) >> np.uint64(64 - TABLE)])
+            if not len(met):
+                continue
+            at = np.minimum(np.searchsorted(self.known, what[met]), len(self.known) - 1)
+            true = self.known[at] == what[met]
+            at, met = at[true], met[true]
             size = self.begin[at + 1] - self.begin[at]
             place = np.repeat(self.begin[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
             cell = np.repeat(who[met], size) * len(self.words) + self.mark[place]
-            out = np.bincount(cell, np.repeat(weight[met], size) * self.weight[place], len(out))
-        return out.reshape(len(words), len(self.words)) ** 2
+            part = np.bincount(cell, np.repeat(_WEIGHTS[gap[met]], size) * self.weight[place], len(some) * len(self.words))
+            out[a:a + BLOCK] = part.reshape(len(some), -1) / np.maximum(length, 1e-9)[:, None]
+        return out ** 2
 
 
 @dataclass(frozen=True)
@@ -161,7 +174,7 @@ class Scorer:
                 sizes.append(len(words))
                 flat += [ids.setdefault(w, len(ids)) for w in words]
         new = list(ids)[len(self.scores):]
-        fresh = [self.machine.landmarks.kernels(new[a:a + 4096]) @ self.machine.beta for a in range(0, len(new), 4096)]
+        fresh = [self.machine.landmarks.kernels(new[a:a + BLOCK]) @ self.machine.beta for a in range(0, len(new), BLOCK)]
         self.scores = np.concatenate([self.scores, *fresh])
         upto = np.concatenate(([0.0], np.cumsum(self.scores[np.array(flat, int)])))
         end = np.cumsum(sizes)
