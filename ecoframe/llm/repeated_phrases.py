@@ -7,7 +7,7 @@ in its shard, so all texts are covered; the automata stay small because a shard
 
 Defined results: a null or empty text has no words; texts under `width` words lose none; rows that repeat an id with its text
 are one occurrence (none is earlier than the other); a null id is later than any other; empty tables give no rows; other columns
-are ignored. An id names one text; of rows that share an id but not a text the places count as the same.
+are ignored. Texts that share an id, or have none, are apart, in the order of the hash of the text.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ UNITS = Units(WIDTH, GRAM, split, hashes, lambda words, a, b: b" ".join(words[a:
 
 
 def locate(contents: list[list[bytes]], keys: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Which windows of each piece start earlier too, within the pieces given."""
+    """Which windows of each piece start earlier too, within the pieces given; `keys` rank the texts."""
     number: dict[bytes, int] = {}
     tokens = [tuple([number.setdefault(w, len(number)) for w in words]) for words in contents]
     counts = [len(t) - WIDTH + 1 for t in tokens]
@@ -97,7 +97,7 @@ def summary(docs: DataFrame, part: int = 2048, crowd: int = 512, block: int = 1
 
 
 def _apply(docs: DataFrame, part: int, crowd: int, block: int, texts: bool) -> DataFrame:
-    rows = text_rows(docs).select("doc_id", "key", "text")
+    rows = text_rows(docs).select("doc_id", "key", "print", "text")
     met = with_removed(rows, removed_runs(rows, UNITS, locate, part, crowd, block))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,6 +13,9 @@ a text gives one row for each run of them, not one for each window.
    first of each window within a shard is compared by a 128-bit hash with those of the sister shards.
 4. Removed runs of windows go back to their texts.
 
+A text is known by (key, print): its id and a hash of it. Texts that share an id, or have none, are told apart, and occurrences
+are ordered by (key, print, place). Rows equal in both are one place.
+
 All keys are functions of the data, so a task that runs again gives the same rows.
 """
 
@@ -100,7 +103,7 @@ def runs(h: np.ndarray, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def anchors(rows: DataFrame, units: Units) -> DataFrame:
-    """(gram, key, start, n, texts, more): a run of windows; `more` lists key, start, n of further runs of the batch with that
+    """(gram, key, print, start, n, texts, more): a run of windows; `more` lists key, print, start, n of further runs of the batch with that
     gram, and `texts` says how many texts they are in.
     """
 
@@ -110,50 +113,55 @@ def anchors(rows: DataFrame, units: Units) -> DataFrame:
             if not found:
                 continue
             start, n, gram = (np.concatenate([f[i] for f in found]) for i in range(3))
-            key = np.repeat(x["key"].to_numpy(np.int64), [len(f[0]) for f in found])
-            order = np.lexsort((start, key, gram))
-            start, n, gram, key = start[order], n[order], gram[order].view(np.int64), key[order]
+            key, mark = (np.repeat(x[c].to_numpy(np.int64), [len(f[0]) for f in found]) for c in ("key", "print"))
+            order = np.lexsort((start, mark, key, gram))
+            start, n, gram, key, mark = start[order], n[order], gram[order].view(np.int64), key[order], mark[order]
             first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, int)
-            other = np.concatenate(([True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1]))) if len(gram) else np.zeros(0, bool)
+            other = np.concatenate(([True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))) if len(gram) else np.zeros(0, bool)
             texts = np.add.reduceat(other.astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
             more = np.full(len(first), None, object)
             size = np.diff(np.concatenate((first, [len(gram)])))
             for i in np.flatnonzero(size > 1):
                 s = slice(first[i] + 1, first[i] + size[i])
-                more[i] = np.stack((key[s], start[s], n[s]), 1).ravel()
-            yield pd.DataFrame({"gram": gram[first], "key": key[first], "start": start[first].astype(np.int32),
+                more[i] = np.stack((key[s], mark[s], start[s], n[s]), 1).ravel()
+            yield pd.DataFrame({"gram": gram[first], "key": key[first], "print": mark[first], "start": start[first].astype(np.int32),
                                 "n": n[first].astype(np.int32), "texts": texts, "more": more})
 
-    return rows.select("key", "text").mapInPandas(run, "gram long, key long, start int, n int, texts int, more array<long>")
+    return rows.select("key", "print", "text").mapInPandas(run, "gram long, key long, print long, start int, n int, texts int, more array<long>")
 
 
 def suspects(found: DataFrame, part: int, crowd: int) -> DataFrame:
-    """(key, start, n, shard, dealt): runs whose anchor occurs more than once, and the shard that they belong to."""
+    """(key, print, start, n, shard, dealt): runs whose anchor occurs more than once, and the shard that they belong to."""
     same = Window.partitionBy("gram")
-    listed = F.when(F.col("more").isNull(), 0).otherwise(F.expr("cast(size(more) div 3 as int)"))
-    met = found.withColumns({"times": F.sum(listed + 1).over(same), "among": F.sum("texts").over(same), "first": F.min(F.struct("key", "start")).over(same)}).filter("times > 1")
+    listed = F.when(F.col("more").isNull(), 0).otherwise(F.expr("cast(size(more) div 4 as int)"))
+    met = found.withColumns({"times": F.sum(listed + 1).over(same), "among": F.sum("texts").over(same), "first": F.min(F.struct("key", "print", "start")).over(same)}).filter("times > 1")
     rest = F.transform(F.sequence(F.lit(0), listed - 1), lambda i: F.struct(
-        F.get("more", 3 * i).alias("key"), F.get("more", 3 * i + 1).cast("int").alias("start"),
-        F.get("more", 3 * i + 2).cast("int").alias("n")))
-    own = F.array(F.struct("key", "start", "n"))
+        F.get("more", 4 * i).alias("key"), F.get("more", 4 * i + 1).alias("print"), F.get("more", 4 * i + 2).cast("int").alias("start"),
+        F.get("more", 4 * i + 3).cast("int").alias("n")))
+    own = F.array(F.struct("key", "print", "start", "n"))
     every = F.explode(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, rest)))
     met = met.select("among", "first", every.alias("r")).select("r.*", "among", "first")
     shards = F.ceil(F.col("among") / crowd).cast("int")
-    shard = F.xxhash64("first.key", F.floor(F.col("first.start") / part), shards, F.pmod(F.xxhash64("key"), shards))
-    return met.select("key", "start", "n", shard.alias("shard"), (shards > 1).alias("dealt"))
+    shard = F.xxhash64("first.key", "first.print", F.floor(F.col("first.start") / part), shards, F.pmod(F.xxhash64("key", "print"), shards))
+    return met.select("key", "print", "start", "n", shard.alias("shard"), (shards > 1).alias("dealt"))
 
 
 def pieces(rows: DataFrame, runs_of: DataFrame, units: Units) -> DataFrame:
-    """(shard, dealt, key, start, piece): the text of suspect windows; runs side by side in one shard are one piece."""
-    lists = runs_of.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "n", "shard", "dealt"))).alias("runs"))
+    """(shard, dealt, key, print, start, piece): the text of suspect windows; runs side by side in one shard are one piece."""
+    lists = runs_of.groupBy("key", "print").agg(F.array_sort(F.collect_set(F.struct("start", "n", "shard", "dealt"))).alias("runs"))
     # The same columns as in `with_removed`, so that both joins read one exchange of the texts.
-    met = rows.join(lists.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("doc_id", "key", "text", "runs")
-    shape = "shard long, dealt boolean, key long, start int, piece binary"
+    met = _joined(rows, lists, "inner")
+    shape = "shard long, dealt boolean, key long, print long, start int, piece binary"
+    names = ["shard", "dealt", "key", "print", "start", "piece"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None
         for x in batches:
             out: list[tuple] = []
-            for key, text, listed in zip(x["key"], x["text"], x["runs"]):
+            for key, mark, text, listed in zip(x["key"], x["print"], x["text"], x["runs"]):
+                # Equal rows stand side by side and are one place.
+                if before == (before := (key, mark)):
+                    continue
                 content = units.split(text)
                 open_: list = []
                 for r in [*listed, None]:
@@ -161,13 +169,13 @@ def pieces(rows: DataFrame, runs_of: DataFrame, units: Units) -> DataFrame:
                         open_[3] = r["start"] + r["n"]
                         continue
                     if open_:
-                        out.append((open_[0], open_[1], key, open_[2], units.piece(content, open_[2], open_[3] + units.width - 1)))
+                        out.append((open_[0], open_[1], key, mark, open_[2], units.piece(content, open_[2], open_[3] + units.width - 1)))
                     if r is not None:
                         open_ = [r["shard"], r["dealt"], r["start"], r["start"] + r["n"]]
                 if len(out) >= 4096:
-                    yield pd.DataFrame(out, columns=["shard", "dealt", "key", "start", "piece"])
+                    yield pd.DataFrame(out, columns=names)
                     out = []
-            yield pd.DataFrame(out, columns=["shard", "dealt", "key", "start", "piece"])
+            yield pd.DataFrame(out, columns=names)
 
     return met.mapInPandas(run, shape)
 
@@ -178,22 +186,26 @@ Settle = Callable[[list, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
 def settled(parts: DataFrame, units: Units, settle: Settle, block: int) -> DataFrame:
-    """(key, start, n, h1, h2, done): removed runs (done), and windows that sister shards must compare (h1, h2 of the text)."""
-    names = ["key", "start", "n", "h1", "h2", "done"]
-    dealt = parts.repartition("shard").sortWithinPartitions("shard", "key", "start")
+    """(key, print, start, n, h1, h2, done): removed runs (done), and windows that sister shards must compare (h1, h2 of the text)."""
+    names = ["key", "print", "start", "n", "h1", "h2", "done"]
+    dealt = parts.repartition("shard").sortWithinPartitions("shard", "key", "print", "start")
 
     def solve(x: pd.DataFrame) -> pd.DataFrame:
         contents = [units.of_piece(p) for p in x["piece"]]
-        keys, starts = x["key"].to_numpy(np.int64), x["start"].to_numpy(np.int64)
+        keys, marks, starts = (x[c].to_numpy(np.int64) for c in ("key", "print", "start"))
+        order = np.lexsort((marks, keys))
+        other = (np.diff(keys[order], prepend=keys[order[:1]]) != 0) | (np.diff(marks[order], prepend=marks[order[:1]]) != 0)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(other)
         out: list[tuple] = []
-        for content, key, start, crowded, gone in zip(contents, keys, starts, x["dealt"], settle(contents, keys, starts)):
+        for content, key, mark, start, crowded, gone in zip(contents, keys, marks, starts, x["dealt"], settle(contents, rank, starts)):
             edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
             for a, b in edges.reshape(-1, 2).tolist():
-                out.append((key, start + a, b - a, key, start + a, True))
+                out.append((key, mark, start + a, b - a, key, start + a, True))
             if crowded:
                 for a in np.flatnonzero(~gone).tolist():
                     h = xxhash.xxh3_128_digest(units.piece(content, a, a + units.width))
-                    out.append((key, start + a, 1, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), False))
+                    out.append((key, mark, start + a, 1, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), False))
         return pd.DataFrame(out, columns=names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,16 +227,16 @@ def settled(parts: DataFrame, units: Units, settle: Settle, block: int) -> DataF
         if held:
             yield solve(pd.concat(held))
 
-    return dealt.select("shard", "dealt", "key", "start", "piece").mapInPandas(
-        run, "key long, start int, n int, h1 long, h2 long, done boolean")
+    return dealt.select("shard", "dealt", "key", "print", "start", "piece").mapInPandas(
+        run, "key long, print long, start int, n int, h1 long, h2 long, done boolean")
 
 
 def removed_runs(rows: DataFrame, units: Units, settle: Settle, part: int, crowd: int, block: int) -> DataFrame:
-    """(key, start, n): all windows that start earlier too, as runs; runs may overlap."""
+    """(key, print, start, n): all windows that start earlier too, as runs; runs may overlap."""
     found = settled(pieces(rows, suspects(anchors(rows, units), part, crowd), units), units, settle, block)
     equal = Window.partitionBy("h1", "h2", "done")
-    first = F.min(F.struct("key", "start")).over(equal)
-    return found.withColumn("first", first).filter("done or first <> struct(key, start)").select("key", "start", "n")
+    first = F.min(F.struct("key", "print", "start")).over(equal)
+    return found.withColumn("first", first).filter("done or first <> struct(key, print, start)").select("key", "print", "start", "n")
 
 
 def covered(n: int, listed: list, width: int) -> np.ndarray:
@@ -237,7 +249,12 @@ def covered(n: int, listed: list, width: int) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
+def _joined(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    lists = lists.select(F.col("key").alias("k"), F.col("print").alias("p"), "runs")
+    here = (F.col("key") == F.col("k")) & (F.col("print") == F.col("p"))
+    return rows.join(lists, here, how).select("doc_id", "key", "print", "text", "runs")
+
+
 def with_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
     """`rows` with `runs`, the removed runs of each text (null: none)."""
-    lists = removed.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs")).withColumnRenamed("key", "k")
-    return rows.join(lists, F.col("key") == F.col("k"), "left").select("doc_id", "key", "text", "runs")
+    return _joined(rows, removed.groupBy("key", "print").agg(F.collect_set(F.struct("start", "n")).alias("runs")), "left")

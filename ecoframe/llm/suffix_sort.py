@@ -8,8 +8,8 @@ a whole. Then those at each window of what is left are. Suffixes that agree on a
 are verified byte by byte.
 
 Defined results: a null or empty text has no bytes; texts under `width` bytes lose none; rows that repeat an id with its text
-are one occurrence; a null id is later than any other; empty tables give no rows; other columns are ignored. An id names one
-text; of rows that share an id but not a text the places count as the same.
+are one occurrence; a null id is later than any other; empty tables give no rows; other columns are ignored. Texts that
+share an id, or have none, are apart, in the order of the hash of the text.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ def _several(gram: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def locate(contents: list[bytes], keys: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Which windows of each piece start earlier too, within the pieces given."""
+    """Which windows of each piece start earlier too, within the pieces given; `keys` rank the texts."""
     base = np.concatenate(([0], np.cumsum([len(c) for c in contents])))
     found = [runs(hashes(c), UNITS) for c in contents]
     count = np.array([len(f[0]) for f in found])
@@ -190,7 +190,7 @@ def summary(docs: DataFrame, part: int = 2048, crowd: int = 4096, block: int = 1
 
 
 def _apply(docs: DataFrame, part: int, crowd: int, block: int, texts: bool) -> DataFrame:
-    rows = text_rows(docs).select("doc_id", "key", "text")
+    rows = text_rows(docs).select("doc_id", "key", "print", "text")
     met = with_removed(rows, removed_runs(rows, UNITS, locate, part, crowd, block))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
