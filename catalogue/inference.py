@@ -97,29 +97,23 @@ ROWS = """
 agg AS (SELECT l_suppkey, avg(l_extendedprice) / 10000 AS y, avg(l_discount) * 100 AS x1, avg(l_quantity) AS x2 FROM lineitem GROUP BY l_suppkey),
 pr AS (SELECT n_regionkey AS region, n_nationkey AS grp, l_suppkey AS row_id, y, x1, x2
        FROM agg JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
-SUMS = ["s_w", "s_y", "s_x0", "s_x1", "s_xy0", "s_xy1", "s_xx0_0", "s_xx0_1", "s_xx1_1"]
-TERMS = ["1", "y", "x1", "x2", "x1 * y", "x2 * y", "x1 * x1", "x1 * x2", "x2 * x2"]
-MOMENTS = ", ".join(f"sum(({t})::DOUBLE) AS {n}" for n, t in zip(SUMS, TERMS))
-
-
-def _fit(source: str, carry: str) -> str:
-    """Closed-form ridge with one and with two features from training sums named in SUMS."""
-    return f"""SELECT {carry}, ym - s0 * m1 AS bi, s0 AS b1, ym - s1 * m1 - s2 * m2 AS li, s1 AS l1, s2 AS l2 FROM (
-      SELECT *, c1 / (a11) / d1 AS s0,
-             (a22 * c1 - a12 * c2) / (a11 * a22 - a12 * a12) / d1 AS s1, (a11 * c2 - a12 * c1) / (a11 * a22 - a12 * a12) / d2 AS s2
-      FROM (SELECT *, CASE WHEN k1 THEN 0 ELSE s_w END + {LAMBDA} AS a11, CASE WHEN k2 THEN 0 ELSE s_w END + {LAMBDA} AS a22,
-                   CASE WHEN k1 OR k2 THEN 0 ELSE (s_xx0_1 - s_w * m1 * m2) / (d1 * d2) END AS a12,
-                   CASE WHEN k1 THEN 0 ELSE (s_xy0 - s_w * m1 * ym) / d1 END AS c1, CASE WHEN k2 THEN 0 ELSE (s_xy1 - s_w * m2 * ym) / d2 END AS c2
-            FROM (SELECT *, CASE WHEN k1 THEN 1 ELSE sqrt(v1 / s_w) END AS d1, CASE WHEN k2 THEN 1 ELSE sqrt(v2 / s_w) END AS d2
-                  FROM (SELECT *, v1 <= 1e-13 * s_xx0_0 AS k1, v2 <= 1e-13 * s_xx1_1 AS k2
-                        FROM (SELECT *, s_xx0_0 - s_w * m1 * m1 AS v1, s_xx1_1 - s_w * m2 * m2 AS v2
-                              FROM (SELECT *, s_x0 / s_w AS m1, s_x1 / s_w AS m2, s_y / s_w AS ym FROM (
-                                    SELECT * EXCLUDE (s_w), CASE WHEN s_w > 0.5 THEN s_w ELSE 'nan'::DOUBLE END AS s_w FROM {source})))))))"""
-
-
-GROUPS = f"st AS (SELECT region, grp, {MOMENTS} FROM pr GROUP BY ALL), tot AS (SELECT region, {', '.join(f'sum({n}) AS {n}' for n in SUMS)} FROM st GROUP BY region)"
+
+
+def _fit(train: str, by: str) -> str:
+    """Closed-form ridge with one and with two features in two passes over the training rows (y, x1, x2) of each `by`."""
+    return f"""SELECT {by}, n, ym - s0 * m1 AS bi, s0 AS b1, ym - s1 * m1 - s2 * m2 AS li, s1 AS l1, s2 AS l2 FROM (
+      SELECT *, b1_ / a11 / d1 AS s0, (a22 * b1_ - a12 * b2_) / (a11 * a22 - a12 * a12) / d1 AS s1,
+             (a11 * b2_ - a12 * b1_) / (a11 * a22 - a12 * a12) / d2 AS s2
+      FROM (SELECT *, n * v1 / (d1 * d1) + {LAMBDA} AS a11, n * v2 / (d2 * d2) + {LAMBDA} AS a22, n * c12 / (d1 * d2) AS a12,
+                   n * c1 / d1 AS b1_, n * c2 / d2 AS b2_
+            FROM (SELECT {by}, count(y) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS ym, coalesce(nullif(stddev_pop(x1), 0), 1) AS d1,
+                         coalesce(nullif(stddev_pop(x2), 0), 1) AS d2, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2,
+                         var_pop(x1) AS v1, var_pop(x2) AS v2 FROM {train} GROUP BY ALL)))"""
+
+
+GROUPS = "st AS (SELECT DISTINCT region, grp FROM pr)"
 NAN = "'nan'::DOUBLE"
-# Textbook statistics of the rows outside each group, in two passes; the sums serve the resampling oracles below.
+# Textbook statistics of the rows outside each group, in two passes.
 LOGO = f"""
 {GROUPS},
 outside AS (SELECT g.region, g.grp, count(p.y) AS n, coalesce(avg(p.x1), {NAN}) AS m1, coalesce(avg(p.x2), {NAN}) AS m2, coalesce(avg(p.y), {NAN}) AS ym,
@@ -170,6 +164,24 @@ def ridge_large_mean(spark, sf_dir):
     return out.select("flag", "n", *[F.round(c, 6).alias(c) for c in ("mae_base", "mae_larger", "gain")])
 
 
+def ridge_outlier_group(spark, sf_dir):
+    """One supplier of each flag counts its quantities from a far origin: models that leave it out don't notice."""
+    rows = T.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("flag"), F.lit(0).cast("bigint").alias("mask"), F.col("l_suppkey").alias("group"),
+        F.lit(0).alias("row_id"), (F.col("l_extendedprice") / 10000).alias("y"), (F.col("l_discount") * 100).alias("x1"),
+        (F.when(F.col("l_suppkey") == 3, F.lit(1e9)).otherwise(F.lit(0.0)) + F.col("l_quantity")).alias("x2"))
+    errors = G.held_out_errors(G.Problem(rows, ("flag",), ("x1",), ("x1", "x2"), LAMBDA))
+    near = errors.groupBy("flag", (F.col("group") == 3).alias("far")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("error_base").alias("base"), F.avg("error_larger").alias("larger"))
+    # The error in the far group is as large as its distance: it is given relative to that.
+    size = F.when(F.col("far"), F.lit(1e9)).otherwise(F.lit(1.0))
+    return near.select("flag", "far", "n", F.round("base", 6).alias("mae_base"), F.round(F.col("larger") / size, 6).alias("mae_larger"))
+
+
+RIDGE_OUTLIER = "WITH pr AS (SELECT l_returnflag AS region, l_suppkey AS grp, l_extendedprice / 10000 AS y, l_discount * 100 AS x1, CASE WHEN l_suppkey = 3 THEN 1e9::DOUBLE ELSE 0 END + l_quantity AS x2 FROM lineitem)," + LOGO + """
+SELECT region AS flag, grp = 3 AS far, count(*) AS n, round(avg(e_base), 6) AS mae_base,
+       round(avg(e_larger) / CASE WHEN grp = 3 THEN 1e9::DOUBLE ELSE 1 END, 6) AS mae_larger FROM err GROUP BY region, grp = 3"""
+
 RIDGE_LARGE_MEAN = RIDGE_LINE_ITEMS.replace("l_quantity AS x2", "1.7e9::DOUBLE + l_quantity AS x2", 1)
 
 
@@ -186,13 +198,13 @@ def _index(seed: str, source: str, what: str) -> str:
 
 def fixed_error_interval(spark, sf_dir):
     problem = _problem(spark, sf_dir)
-    out = I.fixed_error_interval(G.held_out_errors(problem), problem, 200, seed="fixed", portable=True)
+    out = I.fixed_error_interval(G.held_out_errors(problem), problem, 1000, seed="fixed", portable=True)
     return out.select("region", *[F.round(c, 6).alias(c) for c in ("gain", "lower", "upper")])
 
 
 FIXED_ERROR = "WITH" + ROWS + "," + LOGO + f""",
 idx AS ({_index('fixed', 'err', 'row_id')}),
-draws AS (SELECT region, b, CAST(floor({_u('fixed', "'draw'", 'region', 'b', 'idx')} * size) AS BIGINT) AS idx FROM idx, (SELECT range AS b FROM range(200)) r),
+draws AS (SELECT region, b, CAST(floor({_u('fixed', "'draw'", 'region', 'b', 'idx')} * size) AS BIGINT) AS idx FROM idx, (SELECT range AS b FROM range(1000)) r),
 boot AS (SELECT region, b, 1 - sum(e_larger) / sum(e_base) AS g FROM draws JOIN idx USING (region, idx) GROUP BY ALL)
 SELECT s.region, round(any_value(gain), 6) AS gain, round(quantile_cont(g, 0.05), 6) AS lower, round(quantile_cont(g, 0.95), 6) AS upper
 FROM boot b JOIN seen s ON s.region = b.region GROUP BY s.region"""
@@ -209,8 +221,9 @@ idx AS ({_index('refit', 'st', 'grp')}),
 draws AS (SELECT region, b, CAST(floor({_u('refit', "'draw'", 'region', 'b', 'idx')} * size) AS BIGINT) AS idx FROM idx, (SELECT range AS b FROM range(200)) r),
 cnt AS (SELECT region, b, idx, count(*) AS c FROM draws GROUP BY ALL),
 wt AS (SELECT cnt.b, cnt.c, idx.* FROM cnt JOIN idx USING (region, idx)),
-bt AS (SELECT region, b, {', '.join(f'sum(c * {n}) AS {n}' for n in SUMS)} FROM wt GROUP BY ALL),
-btrain AS (SELECT wt.region, wt.b, wt.grp, wt.c, {', '.join(f'bt.{n} - wt.c * wt.{n} AS {n}' for n in SUMS)} FROM wt JOIN bt ON wt.region = bt.region AND wt.b = bt.b),
+btrain AS (SELECT region, b, grp, c, y, x1, x2 FROM (
+  SELECT wt.region, wt.b, wt.grp, wt.c, pr.y, pr.x1, pr.x2, unnest(range(o.c)) FROM wt JOIN wt o ON o.region = wt.region AND o.b = wt.b AND o.grp <> wt.grp
+  JOIN pr ON pr.region = o.region AND pr.grp = o.grp)),
 bfit AS ({_fit('btrain', 'region, b, grp, c')}),
 boot AS (SELECT region, b, CASE WHEN isfinite(g) THEN g END AS g FROM (
   SELECT region, b, 1 - sum(c * abs(li + l1 * x1 + l2 * x2 - y)) / sum(c * abs(bi + b1 * x1 - y)) AS g
@@ -232,11 +245,14 @@ def corrected_cv(spark, sf_dir):
 CORRECTED_CV = "WITH" + ROWS + "," + GROUPS + f""",
 asg AS (SELECT st.*, r, (row_number() OVER (PARTITION BY region, r ORDER BY {_u('cv', "'fold'", 'region', 'r', 'grp')}, grp) - 1) % 5 AS fold
         FROM st, (SELECT range AS r FROM range(20)) x),
-fs AS (SELECT region, r, fold, {', '.join(f'sum({n}) AS {n}' for n in SUMS)} FROM asg GROUP BY ALL),
-ftrain AS (SELECT fs.region, fs.r, fs.fold, fs.s_w AS n_test, tot.s_w AS n_all, {', '.join(f'tot.{n} - fs.{n} AS {n}' for n in SUMS)} FROM fs JOIN tot USING (region)),
-ffit AS ({_fit('ftrain', 'region, r, fold, n_test, n_all')}),
+ft AS (SELECT asg.region, r, fold, count(*) AS n_test FROM asg JOIN pr ON pr.region = asg.region AND pr.grp = asg.grp GROUP BY ALL),
+ftrain AS (SELECT ft.region, ft.r, ft.fold, n_test, y, x1, x2 FROM ft LEFT JOIN
+  (SELECT asg.region, r, fold, y, x1, x2 FROM asg JOIN pr ON pr.region = asg.region AND pr.grp = asg.grp) o
+  ON o.region = ft.region AND o.r = ft.r AND o.fold <> ft.fold),
+ffit AS (SELECT * REPLACE (coalesce(bi, {NAN}) AS bi, coalesce(b1, {NAN}) AS b1, coalesce(li, {NAN}) AS li, coalesce(l1, {NAN}) AS l1, coalesce(l2, {NAN}) AS l2)
+         FROM ({_fit('ftrain', 'region, r, fold, n_test')})),
 fold_mae AS (SELECT region, r, fold, avg(abs(bi + b1 * x1 - y)) AS b, avg(abs(bi + b1 * x1 - y) - abs(li + l1 * x1 + l2 * x2 - y)) AS d,
-                    any_value(n_test / (n_all - n_test)) AS ratio
+                    any_value(n_test / nullif(n, 0)) AS ratio
              FROM asg JOIN ffit USING (region, r, fold) JOIN pr USING (region, grp) GROUP BY ALL),
 g AS (SELECT region, avg(d) / avg(b) AS rr, avg(b) AS bm, 1.0::DOUBLE / count(*) + avg(ratio) AS corr FROM fold_mae GROUP BY region),
 se AS (SELECT g.region, any_value(rr) AS rr, sqrt(any_value(corr) * var_samp((d - rr * b) / bm)) AS se FROM fold_mae JOIN g USING (region) GROUP BY g.region)
@@ -245,7 +261,7 @@ FROM (SELECT region, CASE WHEN isfinite(rr) THEN rr END AS rr, CASE WHEN isfinit
 
 
 def permutation_p(spark, sf_dir):
-    out = I.permutation_test(_problem(spark, sf_dir), "x2", 99, seed="perm", portable=True)
+    out = I.permutation_test(_problem(spark, sf_dir), "x2", 199, seed="perm", portable=True)
     return out.select("region", F.round("gain", 6).alias("gain"), F.round("p_value", 6).alias("p_value"))
 
 
@@ -254,13 +270,11 @@ pos AS (SELECT *, row_number() OVER (PARTITION BY region, grp ORDER BY {_u('perm
 sz AS (SELECT region, grp, count(*) AS size FROM pr GROUP BY ALL),
 place AS (SELECT *, row_number() OVER (PARTITION BY region, size ORDER BY {_u('perm', "'place'", 'region', 'grp')}, grp) AS t FROM sz),
 src AS (SELECT region, size, grp AS source, i, row_number() OVER (PARTITION BY region, size, i ORDER BY {_u('perm', "'perm'", 'region', 'i', 'grp')}, grp) AS t
-        FROM sz, (SELECT range AS i FROM range(99)) x),
+        FROM sz, (SELECT range AS i FROM range(199)) x),
 swap AS (SELECT src.region, i, source, place.grp FROM src JOIN place ON src.region = place.region AND src.size = place.size AND src.t = place.t),
 pm AS (SELECT d.region, s.i, d.grp, d.y, d.x1, v.x2 FROM swap s JOIN pos d ON d.region = s.region AND d.grp = s.grp
        JOIN pos v ON v.region = s.region AND v.grp = s.source AND v.p = d.p),
-pst AS (SELECT region, i, grp, {MOMENTS} FROM pm GROUP BY ALL),
-ptot AS (SELECT region, i, {', '.join(f'sum({n}) AS {n}' for n in SUMS)} FROM pst GROUP BY ALL),
-ptrain AS (SELECT pst.region, pst.i, pst.grp, {', '.join(f'ptot.{n} - pst.{n} AS {n}' for n in SUMS)} FROM pst JOIN ptot ON pst.region = ptot.region AND pst.i = ptot.i),
+ptrain AS (SELECT g.region, i, g.grp, y, x1, x2 FROM st g JOIN pm ON pm.region = g.region AND pm.grp <> g.grp),
 pfit AS ({_fit('ptrain', 'region, i, grp')}),
 pe AS (SELECT region, i, sum(abs(li + l1 * x1 + l2 * x2 - y)) AS e FROM pm JOIN pfit USING (region, i, grp) GROUP BY ALL)
 SELECT pe.region, round(any_value(CASE WHEN isfinite(gain) THEN gain END), 6) AS gain,
@@ -343,10 +357,10 @@ OVERALL_COVERAGE = "WITH" + REPS + "SELECT " + ", ".join(
 
 
 QUERIES = {f.__name__: f for f in [
-    jaccard_to_reference, reference_b2, ridge_logo_gain, ridge_line_items, ridge_large_mean, fixed_error_interval, bootstrap_interval,
+    jaccard_to_reference, reference_b2, ridge_logo_gain, ridge_line_items, ridge_large_mean, ridge_outlier_group, fixed_error_interval, bootstrap_interval,
     corrected_cv, permutation_p, simulation_summary, reading_shares, overall_coverage]}
 ORACLE = {
     "jaccard_to_reference": JACCARD, "reference_b2": REFERENCE_B2, "ridge_logo_gain": RIDGE_LOGO,
-    "ridge_line_items": RIDGE_LINE_ITEMS, "ridge_large_mean": RIDGE_LARGE_MEAN, "fixed_error_interval": FIXED_ERROR, "bootstrap_interval": BOOTSTRAP,
+    "ridge_line_items": RIDGE_LINE_ITEMS, "ridge_large_mean": RIDGE_LARGE_MEAN, "ridge_outlier_group": RIDGE_OUTLIER, "fixed_error_interval": FIXED_ERROR, "bootstrap_interval": BOOTSTRAP,
     "corrected_cv": CORRECTED_CV, "permutation_p": PERMUTATION, "simulation_summary": SIMULATION_SUMMARY,
     "reading_shares": READING_SHARES, "overall_coverage": OVERALL_COVERAGE}

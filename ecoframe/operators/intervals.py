@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ecoframe import constants as C
 from ecoframe.functions.random import uniform
 from ecoframe.functions.scalars import finite
-from ecoframe.operators.ridge import (Problem, absolute_errors, coefficients, gain, held_out_errors, moment_names,
-                                      moments, summed)
+from ecoframe.operators.ridge import (Problem, absolute_errors, coefficients, gain, held_out_errors, merged, moment_names,
+                                      moments, without_each)
 from ecoframe.operators.skew import rank_by_uniform
 
 
@@ -95,9 +95,9 @@ def refit_bootstrap_interval(problem: Problem, n_boot: int = 200, level: float =
         _small(problem, indexed.select(*keys, "index", "group")), [*keys, "index"]).select(*keys, "b", "group", "c")
 
     weighted = counts.join(_small(problem, stats), [*keys, "group"])
-    totals = summed(weighted, [*keys, "b", "mask"], features, weight=F.col("c"), prefix="t_")
-    train = {n: F.col(f"t_{n}") - F.col("c") * F.col(n) for n in names}
-    fits = problem.own(weighted).join(totals, [*keys, "b", "mask"]).select(
+    rest = without_each(weighted, [*keys, "b", "mask"], "group", features, problem.most_groups, weight="c")
+    train = {n: F.col(f"t_{n}") for n in names}
+    fits = problem.own(rest).join(weighted.select(*keys, "b", "mask", "group", "c", "s_w"), [*keys, "b", "mask", "group"]).select(
         *keys, "mask", "group", "b", "c", "s_w", coefficients(train, features, problem.models, problem.penalty).alias("fit"))
 
     # one list of at most n_boot fits per group; rows meet it once and fan out before a map-side sum
@@ -139,11 +139,14 @@ def corrected_cv_interval(problem: Problem, assignment: DataFrame, level: float
     if "mask" not in assignment.columns:
         assignment = assignment.withColumn("mask", F.lit(0).cast("bigint"))
     stats = problem.group_stats()
-    totals = summed(stats, [*keys, "mask"], features, prefix="t_")
-    members = assignment.join(stats, [*keys, "group", "mask"])
-    folds = summed(members, [*keys, "r", "fold", "mask"], features).join(totals, [*keys, "mask"])
-    train = {n: F.col(f"t_{n}") - F.col(n) for n in names}
-    fits = folds.select(*keys, "r", "fold", "mask", F.col("s_w").alias("n_test"), F.col("t_s_w").alias("n_all"),
+    # The groups of a fold are merged under every response variant, then the other folds; the variant of the fold itself counts.
+    members = assignment.select(*keys, "r", "group", "fold").distinct().join(stats, [*keys, "group"])
+    folds = merged(members, [*keys, "r", "fold", "mask"], "group", features, problem.most_groups)
+    rest = without_each(folds, [*keys, "r", "mask"], "fold", features, problem.most_groups)
+    own = assignment.select(*keys, "r", "fold", "mask").distinct()
+    tested = own.join(folds.select(*keys, "r", "fold", "mask", "s_w"), [*keys, "r", "fold", "mask"]).join(rest, [*keys, "r", "fold", "mask"])
+    train = {n: F.col(f"t_{n}") for n in names}
+    fits = tested.select(*keys, "r", "fold", "mask", F.col("s_w").alias("n_test"), (F.col("s_w") + F.col("t_s_w")).alias("n_all"),
                         coefficients(train, features, problem.models, problem.penalty).alias("fit"))
 
     # one list of at most `repetitions` fits per group and response variant
@@ -204,9 +207,9 @@ def permutation_test(problem: Problem, feature: str, n_perm: int = 199, seed="pe
     permuted = moved.join(_small(problem, targets), [*keys, "group", "position"]).withColumnRenamed("_value", feature)
 
     by_group = permuted.groupBy(*keys, "i", "mask", "group").agg(*moments(features))
-    totals = summed(by_group, [*keys, "i", "mask"], features, prefix="t_")
-    train = {n: F.col(f"t_{n}") - F.col(n) for n in names}
-    fits = problem.own(by_group).join(totals, [*keys, "i", "mask"]).select(
+    rest = without_each(by_group, [*keys, "i", "mask"], "group", features, problem.most_groups)
+    train = {n: F.col(f"t_{n}") for n in names}
+    fits = problem.own(rest).select(
         *keys, "i", "mask", "group", coefficients(train, features, larger, problem.penalty).alias("fit"))
     error = absolute_errors(F.col("fit"), larger)["larger"]
     permuted_error = permuted.join(fits, [*keys, "i", "mask", "group"]).groupBy(*keys, "i").agg(F.sum(error).alias("_e"))

@@ -1,8 +1,10 @@
-"""Ridge models from sufficient statistics, with whole groups held out.
+"""Ridge models from mergeable moments, with whole groups held out.
 
-A fit needs only Σw, Σx, Σy, Σxxᵀ and Σxy of its training rows. Those are plain sums: leaving a group out is
-"total − group", a resample is a weighted sum of groups, a fold is "total − fold". Rows are read once to build
-the group sums and once to score the predictions; only the small p×p solve leaves the JVM.
+A fit needs the number, means and centred co-moments (n, mean, Σ(v − mean)(v − mean)ᵀ) of its training rows. Those of two
+sets merge without loss, so the moments of "all groups but one" are merged from the groups before and the groups behind it;
+nothing is ever taken away from a total, and a held-out group may lie as far from the others as it likes. A resample merges
+groups with weights, a fold merges the other folds. Rows are read once to build the moments of the groups and once to score the
+predictions; merging and the p×p solve run in Arrow batches.
 
 A *problem* is a set of rows that share ``keys``; many problems are fitted side by side. Where the response
 depends on what is held out, each row is present once per response variant, named by ``mask``.
@@ -10,8 +12,9 @@ depends on what is held out, each row is present once per response variant, name
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -23,9 +26,8 @@ from ecoframe.functions.scalars import finite
 from ecoframe.operators.skew import attach
 from ecoframe.session import durable
 
-# share of the mean square around the problem's centre that sums of doubles (total − group) can't tell from zero:
-# a column that is constant among the training rows has deviation 1
-ROUNDING = 1e-13
+# members whose moments are merged in one list; more of them are merged block by block
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,12 @@ class Problem:
     def models(self) -> dict[str, tuple[str, ...]]:
         return {"base": self.base, "larger": self.larger}
 
+    @cached_property
+    def most_groups(self) -> int:
+        """The largest number of groups in a problem."""
+        counts = self.rows.select(*self.keys, "mask", "group").distinct().groupBy(*self.keys, "mask").count()
+        return counts.agg(F.max("count")).first()[0] or 1
+
     def join(self, rows: DataFrame, stats: DataFrame, on: Sequence[str], weight: str = "s_w") -> DataFrame:
         """One stats row per key joined to its rows."""
         if self.skewed:
@@ -86,26 +94,120 @@ def centred(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
 
 
 def moment_names(features: Sequence[str]) -> list[str]:
-    p = len(features)
-    return (["s_w", "s_y"] + [f"s_x{i}" for i in range(p)] + [f"s_xy{i}" for i in range(p)]
-            + [f"s_xx{i}_{j}" for i in range(p) for j in range(i, p)])
+    """Weight, means and co-moments; variable 0 is the response."""
+    q = len(features) + 1
+    return ["s_w"] + [f"m_{i}" for i in range(q)] + [f"c_{i}_{j}" for i in range(q) for j in range(i, q)]
 
 
 def moments(features: Sequence[str], weight: Column | None = None, y: str = "y") -> list[Column]:
-    """The sums that a ridge fit needs, as aggregate columns."""
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    x, target = [F.col(f) for f in features], F.col(y)
-    p = len(x)
-    terms = ([w, w * target] + [w * v for v in x] + [w * v * target for v in x]
-             + [w * x[i] * x[j] for i in range(p) for j in range(i, p)])
-    return [F.sum(t).alias(n) for t, n in zip(terms, moment_names(features))]
-
-
-def summed(stats: DataFrame, by: Sequence[str], features: Sequence[str], weight: Column | None = None,
-           prefix: str = "") -> DataFrame:
-    """Sums of group sums, optionally weighted."""
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    return stats.groupBy(*by).agg(*[F.sum(w * F.col(n)).alias(prefix + n) for n in moment_names(features)])
+    """The moments that a ridge fit needs, as aggregate columns. A constant column has exactly its value as mean."""
+    v = [F.col(c).cast("double") for c in (y, *features)]
+    if weight is None:
+        n = F.count(F.lit(1)).cast("double")
+        mean = [F.when(F.min(x) == F.max(x), F.min(x)).otherwise(F.avg(x)) for x in v]
+        co = [F.covar_pop(v[i], v[j]) * n for i in range(len(v)) for j in range(i, len(v))]
+    else:
+        w = weight.cast("double")
+        n = F.sum(w)
+        mean = [F.sum(w * x) / n for x in v]
+        co = [F.sum(w * v[i] * v[j]) - n * mean[i] * mean[j] for i in range(len(v)) for j in range(i, len(v))]
+    return [c.alias(name) for c, name in zip([n, *mean, *co], moment_names(features))]
+
+
+def _merge(a: np.ndarray, b: np.ndarray, q: int) -> np.ndarray:
+    """Moments of two sets together, for many pairs at once; an empty set is all zeros."""
+    upper = np.triu_indices(q)
+    n = a[..., 0] + b[..., 0]
+    share = np.divide(b[..., 0], n, out=np.zeros_like(n), where=n > 0)
+    apart = b[..., 1:1 + q] - a[..., 1:1 + q]
+    between = apart[..., upper[0]] * apart[..., upper[1]] * (a[..., 0] * share)[..., None]
+    mean = np.where((a[..., 0] > 0)[..., None], a[..., 1:1 + q] + apart * share[..., None], b[..., 1:1 + q])
+    return np.concatenate((n[..., None], mean, a[..., 1 + q:] + b[..., 1 + q:] + between), axis=-1)
+
+
+def _lists(stats: DataFrame, by: Sequence[str], member: str, names: Sequence[str], weight: str | None) -> DataFrame:
+    own = F.array(*[F.col(n).cast("double") for n in names])
+    times = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    return stats.groupBy(*by).agg(F.collect_list(F.struct(F.col(member).alias("member"), times.alias("times"), own.alias("own"))).alias("_list"))
+
+
+def _padded(listed: pd.Series, q: int, width: int) -> np.ndarray:
+    """(rows, longest list, moments), weights applied, zeros behind the shorter lists. Lists are ordered by member."""
+    out = np.zeros((len(listed), max(map(len, listed), default=0), width))
+    for i, members in enumerate(listed):
+        out[i, :len(members)] = [m["own"] for m in members]
+        times = np.array([m["times"] for m in members])
+        out[i, :len(members), 0] *= times
+        out[i, :len(members), 1 + q:] *= times[:, None]
+    return out
+
+
+def _in_blocks(stats: DataFrame, member: str, most: int) -> DataFrame:
+    return stats.withColumn(f"{member}_block", F.pmod(F.xxhash64(member), F.lit(-(-most // BLOCK))))
+
+
+def merged(stats: DataFrame, by: Sequence[str], member: str, features: Sequence[str], most: int, weight: str | None = None) -> DataFrame:
+    """by and the moments of all members together; at most `most` members share a `by`, `weight` says how often each counts."""
+    by, names, q = list(by), moment_names(features), len(features) + 1
+    if most > BLOCK:
+        block = f"{member}_block"
+        stats = merged(_in_blocks(stats, member, most), [*by, block], member, features, BLOCK, weight)
+        return merged(stats, by, block, features, -(-most // BLOCK))
+    lists = _lists(stats, by, member, names, weight)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            own = _padded(x["_list"].map(lambda m: sorted(m, key=lambda r: r["member"])), q, len(names))
+            total = reduce(lambda a, k: _merge(a, own[:, k], q), range(own.shape[1]), np.zeros((len(x), len(names))))
+            yield pd.concat([x[by].reset_index(drop=True), pd.DataFrame(total, columns=names)], axis=1)
+
+    shape = T.StructType([*[lists.schema[c] for c in by], *[T.StructField(n, T.DoubleType()) for n in names]])
+    return lists.mapInPandas(run, shape)
+
+
+def without_each(stats: DataFrame, by: Sequence[str], member: str, features: Sequence[str], most: int, weight: str | None = None) -> DataFrame:
+    """by, member and, as ``t_<moment>``, the moments of all other members: those before it merged with those behind it.
+
+    Over BLOCK members are dealt to blocks: the others of the own block are merged with the other blocks.
+    """
+    by, names, q = list(by), moment_names(features), len(features) + 1
+    if most > BLOCK:
+        block, dealt = f"{member}_block", _in_blocks(stats, member, most)
+        near = without_each(dealt, [*by, block], member, features, BLOCK, weight)
+        blocks = merged(dealt, [*by, block], member, features, BLOCK, weight)
+        far = without_each(blocks, by, block, features, -(-most // BLOCK))
+        far = far.select(*by, block, *[F.col(f"t_{n}").alias(f"f_{n}") for n in names])
+        met = near.join(far, [*by, block])
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def both(sums: pd.DataFrame) -> pd.Series:
+            values = sums.to_numpy(dtype=float)
+            return pd.Series(list(_merge(values[:, :len(names)], values[:, len(names):], q)))
+
+        total = both(F.struct(*[F.col(f"{side}_{n}") for side in "tf" for n in names]))
+        return met.select(*by, member, total.alias("_t")).select(*by, member, *[F.col("_t")[i].alias(f"t_{n}") for i, n in enumerate(names)])
+    lists = _lists(stats, by, member, names, weight)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            members = x["_list"].map(lambda m: sorted(m, key=lambda r: r["member"]))
+            own = _padded(members, q, len(names))
+            rest = np.zeros_like(own)
+            for k in range(1, own.shape[1]):
+                rest[:, k] = _merge(rest[:, k - 1], own[:, k - 1], q)
+            behind = np.zeros((len(x), len(names)))
+            for k in range(own.shape[1] - 1, -1, -1):
+                rest[:, k] = _merge(rest[:, k], behind, q)
+                behind = _merge(own[:, k], behind, q)
+            size = members.map(len).to_numpy()
+            inside = np.arange(own.shape[1]) < size[:, None]
+            out = x[by].iloc[np.repeat(np.arange(len(x)), size)].reset_index(drop=True)
+            out[member] = [r["member"] for m in members for r in m]
+            yield pd.concat([out, pd.DataFrame(rest[inside], columns=[f"t_{n}" for n in names])], axis=1)
+
+    shape = T.StructType([*[lists.schema[c] for c in by], T.StructField(member, stats.schema[member].dataType),
+                          *[T.StructField(f"t_{n}", T.DoubleType()) for n in names]])
+    return lists.mapInPandas(run, shape)
 
 
 def coefficients(train: Mapping[str, Column], features: Sequence[str], models: Mapping[str, Sequence[str]],
@@ -116,7 +218,7 @@ def coefficients(train: Mapping[str, Column], features: Sequence[str], models: M
     deviation 1); the intercept is not penalised. Without training rows the coefficients are NaN.
     """
     features = list(features)
-    p = len(features)
+    q = len(features) + 1
     names = [f"{m}_{f}" for m, fs in models.items() for f in ["intercept", *fs]]
     schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
     places = {m: [features.index(f) for f in fs] for m, fs in models.items()}
@@ -125,21 +227,20 @@ def coefficients(train: Mapping[str, Column], features: Sequence[str], models: M
     def solve(sums: pd.DataFrame) -> pd.DataFrame:
         s = sums.to_numpy(dtype=float)
         w = np.where(s[:, 0] > 0.5, s[:, 0], np.nan)
-        y_mean, mean = s[:, 1] / w, s[:, 2:2 + p] / w[:, None]
-        xy = s[:, 2 + p:2 + 2 * p] - w[:, None] * mean * y_mean[:, None]
-        square = np.empty((len(s), p, p))
-        upper = np.triu_indices(p)
-        square[:, upper[0], upper[1]] = square[:, upper[1], upper[0]] = s[:, 2 + 2 * p:]
-        spread = square - w[:, None, None] * mean[:, :, None] * mean[:, None, :]
+        y_mean, mean = np.where(np.isnan(w), np.nan, s[:, 1]), s[:, 2:1 + q]
+        square = np.empty((len(s), q, q))
+        upper = np.triu_indices(q)
+        square[:, upper[0], upper[1]] = square[:, upper[1], upper[0]] = s[:, 1 + q:]
+        spread, xy = square[:, 1:, 1:], square[:, 1:, 0]
         diagonal = np.einsum("mii->mi", spread)
-        constant = diagonal <= ROUNDING * np.einsum("mii->mi", square)
+        constant = diagonal <= 0
         sd = np.where(constant, 1.0, np.sqrt(np.where(constant, 1.0, diagonal) / w[:, None]))
         z = np.where(constant[:, :, None] | constant[:, None, :], 0.0, spread) / (sd[:, :, None] * sd[:, None, :])
         b = np.where(constant, 0.0, xy) / sd
         out = {}
         for model, at in places.items():
             a = z[:, at][:, :, at] + penalty * np.eye(len(at))
-            usable = np.isfinite(a).all(axis=(1, 2))
+            usable = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(w)
             slope = np.full((len(s), len(at)), np.nan)
             slope[usable] = np.linalg.solve(a[usable], b[usable][:, at, None])[..., 0]
             slope = slope / sd[:, at]
@@ -166,9 +267,9 @@ def held_out_fits(problem: Problem, models: Mapping[str, Sequence[str]] | None =
     """One fit per held-out group: keys, mask, group, s_w (rows of the group) and ``fit``."""
     keys, features = list(problem.keys), problem.features
     stats = problem.group_stats()
-    totals = summed(stats, [*keys, "mask"], features, prefix="t_")
-    own = problem.join(problem.own(stats), totals, [*keys, "mask"], weight="t_s_w")
-    train = {n: F.col(f"t_{n}") - F.col(n) for n in moment_names(features)}
+    rest = without_each(stats, [*keys, "mask"], "group", features, problem.most_groups)
+    own = problem.own(rest).join(stats.select(*keys, "mask", "group", "s_w"), [*keys, "mask", "group"])
+    train = {n: F.col(f"t_{n}") for n in moment_names(features)}
     return own.select(*keys, "mask", "group", "s_w", coefficients(
         train, features, models or problem.models, problem.penalty).alias("fit"))
 

@@ -181,3 +181,42 @@ def test_gain_does_not_depend_on_the_origin(spark, shift):
     moved = G.held_out_gain(problem(spark, table.assign(d=table.d.round(3) + shift))).first().gain
     rounded = G.held_out_gain(problem(spark, table.assign(d=table.d.round(3)))).first().gain
     assert moved == pytest.approx(rounded, abs=1e-6 if shift > 1e7 else 1e-9) and plain == pytest.approx(rounded, abs=1e-2)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e3, 1e6, 1e9])
+@pytest.mark.parametrize("block", [256, 3])
+def test_a_group_far_from_all_others_changes_no_other_digit(spark, shift, block, monkeypatch):
+    """Models fitted without the far group must not know how far it is; those with it agree with two passes over the rows."""
+    monkeypatch.setattr(G, "BLOCK", block)
+    table = data(48, np.arange(48) // 6)
+    table.loc[table.group == 3, "d"] += shift
+    got = G.held_out_errors(problem(spark, table)).toPandas().sort_values("row_id")
+    for name, columns in (("base", X[:3]), ("larger", X)):
+        for g in range(8):
+            out = (table.group == g).to_numpy()
+            x, y = table.loc[~out, columns].to_numpy(), table.y[~out].to_numpy()
+            middle, spread = x.mean(axis=0), x.std(axis=0)
+            z = (x - middle) / spread
+            slope = np.linalg.solve(z.T @ z + np.eye(len(columns)), z.T @ (y - y.mean()))
+            fitted = y.mean() + (table.loc[out, columns].to_numpy() - middle) / spread @ slope
+            error = np.abs(fitted - table.y[out].to_numpy())
+            assert np.allclose(got.loc[out, f"error_{name}"], error, rtol=1e-9, atol=1e-9 if g != 3 else 1e-9 * max(1.0, shift))
+
+
+def test_moments_merge_in_any_grouping(spark):
+    table = data(60, np.arange(60) % 20)
+    p = problem(spark, table)
+    stats = p.group_stats()
+    names = G.moment_names(p.features)
+    whole = p.rows.groupBy("k").agg(*G.moments(p.features)).toPandas()[names].to_numpy()
+    for block in (256, 4):
+        G.BLOCK, kept = block, G.BLOCK
+        try:
+            total = G.merged(stats, ["k"], "group", p.features, 20).toPandas()[names].to_numpy()
+            rest = G.without_each(stats, ["k"], "group", p.features, 20).toPandas().set_index("group")
+        finally:
+            G.BLOCK = kept
+        assert np.allclose(total, whole, rtol=1e-10, atol=1e-10)
+        for g in (0, 7, 19):
+            others = p.rows.filter(F.col("group") != g).groupBy("k").agg(*G.moments(p.features)).toPandas()[names].to_numpy()[0]
+            assert np.allclose(rest.loc[g, [f"t_{n}" for n in names]].astype(float), others, rtol=1e-10, atol=1e-10)
