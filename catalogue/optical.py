@@ -10,6 +10,7 @@ from ecoframe.functions import scalars as S
 from ecoframe.operators import cloudiness as K
 from ecoframe.operators import composites as P
 from ecoframe.operators import raster as R
+from ecoframe.operators import zonal as Z
 
 BLOCK = 4  # embeddings are 8×8 rasters stored as four 4×4 blocks
 
@@ -87,6 +88,28 @@ SELECT CAST(vec_id AS VARCHAR) AS href,
        CASE WHEN c < 8 THEN round(nullif(embedding[CAST(r * 8 + c + 1 AS INTEGER)], 0)::DOUBLE, 6) END AS value FROM points"""
 
 
+COVER_RADII = (12.0, 30.0, 100.0)
+
+
+def zonal_cover(spark, sf_dir):
+    """Native cover of the discs around each point, where the signs of the elements make two classes."""
+    classes = F.transform("values", lambda v: F.when(v > 0.2, 3.0).when(v > 0, 2.0).when(v > -0.2, 1.0).otherwise(-9999.0))
+    out = Z.zonal_cover(_points(spark, sf_dir).withColumn("point", F.lit("P")), _rasters(spark, sf_dir),
+                        _blocks(spark, sf_dir).withColumn("values", classes), (3.0, 2.0), COVER_RADII, BLOCK)
+    return out.select("href", "radius", "n", "native", F.round("cover", 6).alias("cover"), F.round("nearest", 6).alias("nearest"))
+
+
+ZONAL_COVER = "WITH" + POINTS + f""",
+pixels AS (SELECT vec_id, c, r, k % 8 AS pc, k // 8 AS pr, embedding[CAST(k + 1 AS INTEGER)]::DOUBLE AS v FROM points, (SELECT range AS k FROM range(64)) x),
+discs AS (SELECT *, radius, (10 * (pc - c))::DOUBLE ** 2 + (10 * (pr - r))::DOUBLE ** 2 AS d2
+          FROM pixels, (SELECT unnest([{', '.join(f'{r}::DOUBLE' for r in COVER_RADII)}]) AS radius) y)
+SELECT CAST(vec_id AS VARCHAR) AS href, radius, count(*) FILTER (d2 <= radius * radius AND v > -0.2) AS n,
+       count(*) FILTER (d2 <= radius * radius AND v > 0) AS native,
+       round(count(*) FILTER (d2 <= radius * radius AND v > 0) / nullif(count(*) FILTER (d2 <= radius * radius AND v > -0.2), 0)::DOUBLE, 6) AS cover,
+       round(sqrt(min(d2) FILTER (d2 <= radius * radius AND v > 0)), 6) AS nearest
+FROM discs GROUP BY vec_id, radius"""
+
+
 # --- composites: nine pixels of seven bands per embedding, quality bands from its label --------------------------
 
 def _raw(k):
@@ -549,11 +572,11 @@ FROM supplier, (SELECT range AS k FROM range(2)) a, (SELECT range AS m FROM rang
 
 
 QUERIES = {f.__name__: f for f in [
-    locate, pixel_window, pixel_sample, pixel_decode_tests, source_scene_argmin, invalid_reason, window_stats, item_per_period,
+    locate, pixel_window, pixel_sample, zonal_cover, pixel_decode_tests, source_scene_argmin, invalid_reason, window_stats, item_per_period,
     items_over_points, items_over_areas, coverage_calendar, cloudiness_summary, daily_any_valid, clean_per_point, clean_per_month,
     observation_summary, scene_observations, scene_summary, status_contingency, clock_hours, grid_points]}
 ORACLE = {
-    "locate": LOCATE, "pixel_window": PIXEL_WINDOW, "pixel_sample": PIXEL_SAMPLE, "pixel_decode_tests": PIXEL_DECODE,
+    "locate": LOCATE, "pixel_window": PIXEL_WINDOW, "pixel_sample": PIXEL_SAMPLE, "zonal_cover": ZONAL_COVER, "pixel_decode_tests": PIXEL_DECODE,
     "source_scene_argmin": SOURCE_SCENE, "invalid_reason": INVALID_REASON, "window_stats": WINDOW_STATS,
     "item_per_period": ITEM_PER_PERIOD, "items_over_points": ITEMS_OVER_POINTS, "coverage_calendar": COVERAGE_CALENDAR,
     "cloudiness_summary": CLOUDINESS_SUMMARY, "items_over_areas": ITEMS_OVER_AREAS, "daily_any_valid": DAILY_ANY_VALID, "clean_per_point": CLEAN_PER_POINT,

@@ -2,7 +2,8 @@
 
 A raster is described by one row (href, x0, y0, res, width, height, nodata, crs), where (x0, y0) is its upper
 left corner, and stored as rows of square blocks (href, block_row, block_col, values) in row-major order. A
-read is an equality join on the block, so only blocks that hold a wanted pixel take part.
+read first finds the distinct blocks that hold a wanted pixel; only these leave the scan of the blocks. Then the pixels of a
+window that lie in one block meet it as one row.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ecoframe import constants as C
 
 BLOCK_SIZE = 256
+#: Names of wanted blocks that are broadcast to the scan (some 60 MB); more of them are joined by a shuffle.
+MOST_WANTED = 500_000
 
 
 def locate(points: DataFrame, rasters: DataFrame, strict: bool = True) -> DataFrame:
@@ -51,26 +54,59 @@ def window_centres(x_centre: Column, y_centre: Column, res: Column) -> tuple[Col
     return x_centre + F.col("j") * res, y_centre - F.col("i") * res
 
 
+def wanted_blocks(keys: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The blocks named by `keys` (href, _br, _bc; repeats allowed) as _href, _block_row, _block_col, _values.
+
+    The names are counted first: few are broadcast, so that no other block leaves its scan; a table of blocks that is
+    partitioned by href is also pruned to the directories that are asked for.
+    """
+    names = keys.where("_br is not null and _bc is not null").distinct()
+    side = F.broadcast(names) if names.limit(MOST_WANTED + 1).count() <= MOST_WANTED else names
+    side = side.select(F.col("href").alias("_want"), "_br", "_bc")
+    here = (F.col("href") == F.col("_want")) & (F.col("block_row") == F.col("_br")) & (F.col("block_col") == F.col("_bc"))
+    return blocks.join(side, here, "left_semi").select(
+        F.col("href").alias("_href"), F.col("block_row").alias("_block_row"), F.col("block_col").alias("_block_col"), F.col("values").alias("_values"))
+
+
+def _in_block(row: Column, col: Column, block_size: int) -> tuple[Column, Column, Column]:
+    """Block row, block column and 1-based place in the block."""
+    br, bc = (F.floor(v / F.lit(float(block_size))).cast("int") for v in (row, col))
+    return br, bc, ((row - br * block_size) * block_size + col - bc * block_size + 1).cast("int")
+
+
+def _same_block() -> Column:
+    return (F.col("href") == F.col("_href")) & (F.col("_br") == F.col("_block_row")) & (F.col("_bc") == F.col("_block_col"))
+
+
 def read_pixels(cells: DataFrame, blocks: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     """Adds ``raw`` for each (href, row, col); NULL outside the raster or where no block is stored."""
-    wanted = cells.withColumn("_br", F.floor(F.col("row") / F.lit(float(block_size))).cast("int")).withColumn(
-        "_bc", F.floor(F.col("col") / F.lit(float(block_size))).cast("int"))
-    stored = blocks.select(F.col("href").alias("_href"), F.col("block_row").alias("_block_row"),
-                           F.col("block_col").alias("_block_col"), F.col("values").alias("_values"))
-    joined = wanted.join(stored, (F.col("href") == F.col("_href")) & (F.col("_br") == F.col("_block_row"))
-                         & (F.col("_bc") == F.col("_block_col")), "left")
-    offset = ((F.col("row") - F.col("_br") * block_size) * block_size
-              + F.col("col") - F.col("_bc") * block_size + 1).cast("int")
-    return joined.withColumn("raw", F.try_element_at("_values", offset).cast("double")).drop(
-        "_br", "_bc", "_href", "_block_row", "_block_col", "_values")
+    br, bc, place = _in_block(F.col("row"), F.col("col"), block_size)
+    wanted = cells.withColumns({"_br": br, "_bc": bc, "_place": place})
+    stored = wanted_blocks(wanted.select("href", "_br", "_bc"), blocks)
+    joined = wanted.join(stored, _same_block(), "left")
+    return joined.withColumn("raw", F.try_element_at("_values", F.col("_place")).cast("double")).drop(
+        "_br", "_bc", "_place", "_href", "_block_row", "_block_col", "_values")
 
 
 def read_window(points: DataFrame, blocks: DataFrame, radius: int = C.WINDOW_RADIUS_PX,
                 block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Raw values of the window around each located point; outside the raster the window is filled with nodata."""
-    cells = expand_window(points, radius).withColumn("row", F.col("pixel_row") + F.col("i")).withColumn(
-        "col", F.col("pixel_col") + F.col("j"))
-    return read_pixels(cells, blocks, block_size).withColumn("raw", F.coalesce("raw", "nodata")).drop("row", "col")
+    """Raw values of the window around each located point; outside the raster the window is filled with nodata.
+
+    A point is one row for each block that its window touches (one to four), not one for each pixel.
+    """
+    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)]
+    placed = [(i, j, *_in_block(F.col("pixel_row") + i, F.col("pixel_col") + j, block_size)) for i, j in steps]
+    pixels = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), br.alias("br"), bc.alias("bc"), place.alias("place"))
+                       for i, j, br, bc, place in placed])
+    touched = F.explode(F.array_distinct(F.transform("_pixels", lambda p: F.struct(p["br"].alias("br"), p["bc"].alias("bc")))))
+    own = F.filter("_pixels", lambda p: p["br"].eqNullSafe(F.col("_br")) & p["bc"].eqNullSafe(F.col("_bc")))
+    rows = points.withColumn("_pixels", pixels).withColumn("_t", touched).select(
+        *points.columns, "_pixels", F.col("_t.br").alias("_br"), F.col("_t.bc").alias("_bc")).withColumn("_pixels", own)
+    stored = wanted_blocks(rows.select("href", "_br", "_bc"), blocks)
+    read = F.transform("_pixels", lambda p: F.struct(
+        p["i"].alias("i"), p["j"].alias("j"), F.try_element_at("_values", p["place"]).cast("double").alias("raw")))
+    met = rows.join(stored, _same_block(), "left").select(*points.columns, F.inline(read))
+    return met.withColumn("raw", F.coalesce("raw", "nodata"))
 
 
 def sample(points: DataFrame, rasters: DataFrame, blocks: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
