@@ -29,7 +29,7 @@ ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") | DIGI
 LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
-SPACE = frozenset(" \t\n\x0b\x0c\r")
+_URL_RUN = re.compile("[^ \t\n\x0b\x0c\r\"'<>|]*")
 #: Words that announce the number of an account or a document of a person.
 CUES = ("account", "acct", "konto", "compte", "cuenta", "passport", "customer", "member", "user id", "ssn", "iban")
 
@@ -111,16 +111,21 @@ def _phone(text: str, plus: int) -> tuple[int, int] | None:
     return plus, end
 
 
-def _url(text: str, mark: int) -> tuple[int, int] | None:
-    """A URL that names a person: with a login, or with a personal page in its path."""
+def _url(text: str, mark: int, run_end: int) -> tuple[tuple[int, int] | None, int]:
+    """A URL that names a person: with a login, or with a personal page in its path; and where its run of characters ends.
+
+    Another scheme within the run begins another URL.
+    """
     start, end = _left(text, mark, 0, ALNUM), mark + 3
-    while end < len(text) and text[end] not in SPACE and text[end] not in "\"'<>|":
-        end += 1
+    if run_end <= end:
+        run_end = _URL_RUN.match(text, end).end()
+    following = text.find("://", end, run_end)
+    end = run_end if following < 0 else _left(text, following, mark + 3, ALNUM)
     end = mark + 3 + len(text[mark + 3:end].rstrip(".,;:!?)"))
     host, _, path = text[mark + 3:end].partition("/")
     if start == mark or "." not in host.rpartition("@")[2].strip("."):
-        return None
-    return (start, end) if "@" in host or re.match(r"(~|u/|user/|users/|profile/|in/|@)[^/]", path) else None
+        return None, run_end
+    return ((start, end) if "@" in host or re.match(r"(~|u/|user/|users/|profile/|in/|@)[^/]", path) else None), run_end
 
 
 def _account(text: str, at: int, end: int) -> tuple[str, int, int] | None:
@@ -129,8 +134,10 @@ def _account(text: str, at: int, end: int) -> tuple[str, int, int] | None:
         return None
     near = re.compile(r"\x20{0,3}(?:(?:no|nr|id|number|nummer|num)\b\.?\x20{0,3})?[:#=]?\x20{0,3}", re.I).match(text, end)
     start = near.end() if near else end
-    stop = _right(text, start, ALNUM | frozenset("-"))
-    body = text[start:stop].replace("-", "")
+    stop, body = start, ""
+    while len(body) < 35 and text[stop:stop + 1] in LABEL and stop < len(text):
+        body += text[stop].replace("-", "")
+        stop += 1
     spaced = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){2,8}").match(text, start)
     if spaced:
         iban = spaced[0].replace(" ", "")
@@ -144,7 +151,7 @@ def _account(text: str, at: int, end: int) -> tuple[str, int, int] | None:
 def spans(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(rank of the kind, start, end) in order."""
     found: list[tuple[int, int, int]] = []
-    mail_end = phone_end = chain_end = 0
+    mail_end = phone_end = chain_end = url_end = 0
     for last, (what, length) in machine.iter(text):
         at = last + 1 - length
         if what == "digit":
@@ -161,7 +168,8 @@ def spans(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, int
                 if 8 <= sum(c in DIGITS for c in text[span[0]:span[1]]) <= 15:
                     found.append((3, *span))
         elif what == "scheme":
-            if span := _url(text, at):
+            span, url_end = _url(text, at, url_end)
+            if span:
                 found.append((4, *span))
         elif hit := _account(text, at, last + 1):
             found.append((KINDS.index(hit[0]), hit[1], hit[2]))

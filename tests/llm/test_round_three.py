@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations, permutations
 from math import sqrt
@@ -10,7 +11,7 @@ from math import sqrt
 import numpy as np
 import pytest
 
-from ecoframe.llm import filter_audit, prefix_trie, toxicity
+from ecoframe.llm import filter_audit, pii, prefix_trie, toxicity
 
 words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
 order = lambda rows: sorted(map(tuple, rows), key=str)
@@ -227,3 +228,24 @@ def test_no_labels_and_no_texts(spark, documents):
     got = toxicity.judge(documents([(1, "a", "s"), (None, None, None)]), labelled(spark, [])).collect()
     assert [g["score"] for g in got] == [0.0, 0.0]
     assert toxicity.judge(documents([]), labelled(spark, [(1, 1, 1)])).count() == 0
+
+
+# --- 2: a text of one anchor after the other ------------------------------------------------------------------------
+
+@pytest.mark.parametrize("unit", ["a.b://", "account-", "@", "a@b", "+1 (", "1.", "1 ", "://", "http://u@h.de/", "1.2.3.4."])
+def test_parsers_are_linear(unit):
+    machine = pii.automaton()
+
+    def seconds(size):
+        begin = time.process_time()
+        pii.spans((unit * (size // len(unit) + 1))[:size], machine)
+        return time.process_time() - begin
+
+    seconds(10_000)
+    assert seconds(1_000_000) < 40 * max(0.05, seconds(100_000))
+
+
+def test_a_scheme_ends_the_url_before_it():
+    text = "see http://bob:pw@host.example/x?u=https://ann@other.example/y. end"
+    assert [text[a:b] for k, a, b in pii.spans(text, pii.automaton()) if pii.KINDS[k] == "url"] == [
+        "http://bob:pw@host.example/x?u=", "https://ann@other.example/y"]
