@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -58,7 +59,11 @@ def locate(contents: list[list[bytes]], keys: np.ndarray, starts: np.ndarray) ->
     counts = [len(t) - WIDTH + 1 for t in tokens]
     first = np.concatenate(([0], np.cumsum(counts)))
     gone = np.zeros(first[-1], bool)
-    windows = np.concatenate([rolled(hashes(words), WIDTH) for words in contents])
+    # Windows of all pieces in one pass over the words end to end; those that cross from piece to piece are left out.
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+    flat = word[np.fromiter(chain.from_iterable(tokens), np.int64, sum(map(len, tokens)))]
+    begin = np.cumsum([0, *map(len, tokens)])[:-1]
+    windows = rolled(flat, WIDTH)[np.repeat(begin - first[:-1], counts) + np.arange(first[-1])]
     _, inverse, times = np.unique(windows, return_inverse=True, return_counts=True)
     recurring = np.flatnonzero(times[inverse] > 1)
     # Confirmed phrases: windows whose hash recurs; equal words are one phrase, under the number of the last of them.
