@@ -4,11 +4,13 @@ Each record is a gzip member of its own. Records with equal payloads (by digest)
 page id. Archives are written by the tasks into the shared folder; the list of finished files, cut into that folder too, says
 which ones count, so a task that runs again leaves no doubled records.
 
-The reader checks each member (gzip's own check, header, lengths, block digest). After a failed check it searches for the next
-valid member or version line, goes on from there, and reports the bytes in between as a gap.
+The reader checks each record (header, lengths, block digest, gzip's own check). After a failed check it searches for the next
+valid member or version line, in the file and in the inflated bytes of a member, goes on from there, and reports the bytes in
+between as a gap. Members are inflated in pieces, so a member of many records is never held as a whole.
 
 Defined results: a null payload is empty; a null page id is written as such and comes last; rows that repeat an id with the
-same payload are all responses or all revisits; empty tables give no rows; other columns are ignored.
+same payload are all responses or all revisits; empty tables give no rows; other columns are ignored. Payloads are written and
+read whole, however long; one record is held in memory at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +32,11 @@ from ecoframe.llm.common import NO_ID, cut, scratch, text_rows
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+VERSION_START = re.compile(rb"WARC/1\.")
+STARTS = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 READ = 1 << 18
+#: A member is inflated in pieces of so many bytes, which give 1032 times as many at most.
+PIECE = 1 << 14
 RECORDS = ("page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, "
            "path string, gap_start long, gap_end long, reason string")
 
@@ -58,28 +64,38 @@ def gzip_member(data: bytes, level: int = 4) -> bytes:
     return out.compress(data) + out.flush()
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(header, block, length) of the record at the start of `data`; ValueError if a check fails, EOFError if it is cut off."""
-    if not VERSION.match(data):
-        raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n")
-    if stop < 0:
-        raise EOFError("the header has no end")
+def parse(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """(header, block, end) of the record at place `at`; ValueError if a check fails, EOFError if it is cut off.
+
+    The header is read line by line and given up at the first line that can't belong to it, so a false start costs no more than
+    the bytes up to the next line.
+    """
+    version = VERSION.match(data, at)
+    if not version:
+        raise ValueError("no version line") if len(data) - at >= 10 else EOFError("the version line is cut off")
     head: dict[str, str] = {}
-    for line in data[:stop].decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise ValueError("a header line has no colon")
+    start = version.end()
+    while True:
+        stop = data.find(b"\n", start)
+        if stop < 0:
+            raise EOFError("the header has no end")
+        line = bytes(data[start:stop + 1])
+        start = stop + 1
+        if line == b"\r\n":
+            break
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
+        if not colon or not line.endswith(b"\r\n"):
+            raise ValueError("a header line has no colon or no end")
         head[name.strip().lower()] = value.strip()
     size = head.get("content-length", "")
     if not size.isascii() or not size.isdigit():
         raise ValueError("no content length")
-    end = stop + 4 + int(size)
+    end = start + int(size)
     if len(data) < end + 4:
         raise EOFError("the block is cut off")
-    block = data[stop + 4:end]
     if data[end:end + 4] != b"\r\n\r\n":
         raise ValueError("no end mark after the block")
+    block = bytes(data[start:end])
     told = head.get("warc-block-digest", "")
     if told.startswith("sha1:") and told[5:] != digest(block):
         raise ValueError("the block digest differs")
@@ -87,82 +103,169 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 class _Buffer:
-    """A window on a stream: bytes from `base` on; grows on demand, drops what is behind."""
+    """A window on a stream, bytes from `base` on: `data` from place `at`. It grows on demand; what is behind is freed now and then."""
+
+    def __init__(self, stream: BinaryIO | _Inflated):
+        self.stream, self.data, self.at, self.base, self.ended = stream, bytearray(), 0, 0, False
 
-    def __init__(self, stream: BinaryIO):
-        self.stream, self.data, self.base, self.ended = stream, b"", 0, False
+    def __len__(self) -> int:
+        return len(self.data) - self.at
 
     def more(self) -> bool:
-        piece = b"" if self.ended else self.stream.read(max(READ, len(self.data) // 2))
+        piece = b"" if self.ended else self.stream.read(max(READ, len(self) // 2))
         self.ended = not piece
         self.data += piece
         return bool(piece)
 
     def drop(self, n: int) -> None:
-        self.data, self.base = self.data[n:], self.base + n
+        n = min(n, len(self))
+        self.at, self.base = self.at + n, self.base + n
+        if self.at > max(READ, len(self.data) // 2):
+            del self.data[:self.at]
+            self.at = 0
+
+
+class _Inflated:
+    """What the gzip member at the start of a buffer holds, as a stream; `error` says why it stopped before the member's end."""
+
+    def __init__(self, buffer: _Buffer):
+        self.buffer, self.inflate, self.piece, self.used = buffer, zlib.decompressobj(31), 0, 0
+        self.error, self.reason, self.given = "", "", False  # of the member; of the first bad record in it; whether any is valid
+
+    def read(self, _: int) -> bytes:
+        """The bytes that the next piece of the member gives; nothing at its end or at an error."""
+        while not self.inflate.eof and not self.error:
+            if self.used == len(self.buffer) and not self.buffer.more():
+                self.error = "the member is cut off"
+                break
+            at = self.buffer.at + self.used
+            piece = bytes(self.buffer.data[at:at + PIECE])
+            self.piece, self.used, spare = self.used, self.used + len(piece), self.inflate.copy()
+            try:
+                out = self.inflate.decompress(piece)
+            except zlib.error as e:
+                self.error = f"gzip: {e}"
+                out = _upto_error(spare, piece)
+            if out:
+                return out
+        return b""
+
+    def forget(self) -> None:
+        """Frees the member's bytes before the last piece: a checked record lies behind them."""
+        self.buffer.drop(self.piece)
+        self.piece, self.used = 0, self.used - self.piece
+
+
+def _upto_error(inflate, piece: bytes) -> bytes:
+    """The bytes that a damaged piece gives before its error."""
+    out = []
+    for i in range(len(piece)):
+        try:
+            out.append(inflate.decompress(piece[i:i + 1]))
+        except zlib.error:
+            break
+    return b"".join(out)
 
 
-def _member(buffer: _Buffer) -> tuple[bytes, int]:
-    """What the gzip member at the start of the buffer holds, and its length in the file."""
-    inflate, out, used = zlib.decompressobj(31), [], 0
-    while not inflate.eof:
-        if used == len(buffer.data) and not buffer.more():
-            raise EOFError("the member is cut off")
-        piece = buffer.data[used:used + READ]
-        try:
-            out.append(inflate.decompress(piece))
-        except zlib.error as e:
-            raise ValueError(f"gzip: {e}") from None
-        used += len(piece)
-    return b"".join(out), used - len(inflate.unused_data)
+Found = Iterator[tuple[str, object]]
+
+
+def salvage(stream: BinaryIO) -> Found:
+    """("record", (header, block)) in order, and ("gap", (start, end, reason)) for bytes that no valid record holds.
+
+    Records are given out one by one as they parse, also out of a gzip member that holds many. One without a block digest waits
+    for the check of its member, and is lost with it. A gap between records of one member has the file's places from the
+    member's start (or its last 16 KB before the gap) to what was read of it; its reason tells the inflated bytes.
+    A record whose length is damaged is read up to the end of its member or file before the search goes on behind its start.
+    """
+    yield from _scan(_Buffer(stream), True)
 
 
-def salvage(stream: BinaryIO) -> Iterator[tuple[str, object]]:
-    """("record", (header, block)) in order, and ("gap", (start, end, reason)) for bytes that no valid record holds."""
-    buffer, bad = _Buffer(stream), None
+def _scan(buffer: _Buffer, packed: bool) -> Found:
+    """Records and gaps of a file (`packed`: gzip members count) or of one member."""
+    start, bad = (STARTS if packed else VERSION_START), []
 
-    def gap(end: int) -> list[tuple[str, object]]:
-        nonlocal bad
-        told, bad = ([("gap", (bad[0], end, bad[1]))] if bad else []), None
-        return told
+    def told(end: int) -> Found:
+        if bad:
+            yield "gap", (bad[0][0], end, bad[0][1])
+            bad.clear()
 
-    while buffer.data or buffer.more():
-        while len(buffer.data) < 16 and buffer.more():
+    while len(buffer) or buffer.more():
+        while len(buffer) < 16 and buffer.more():
             pass
+        at = buffer.base
+        if packed and buffer.data.startswith(MAGIC, buffer.at):
+            member = _Inflated(buffer)
+            for found in _of_member(member):
+                yield from told(at)
+                yield found
+            reason = member.error
+            if not reason:
+                if member.reason and not member.given:
+                    bad.append((at, member.reason))
+                buffer.drop(member.used - len(member.inflate.unused_data))
+        else:
+            try:
+                head, block, end = _parse(buffer)
+                yield from told(at)
+                yield "record", (head, block)
+                buffer.drop(end - buffer.at)
+                reason = ""
+            except (ValueError, EOFError) as e:
+                reason = str(e)
+        if reason:
+            bad.append((buffer.base, reason))
+            buffer.drop(1)
+            while len(buffer):  # the next place at which a record may start
+                place = start.search(buffer.data, buffer.at)
+                if place:
+                    buffer.drop(place.start() - buffer.at)
+                    break
+                buffer.drop(len(buffer) - 6 if len(buffer) > 6 else 0)
+                if not buffer.more():
+                    buffer.drop(len(buffer))
+    yield from told(buffer.base)
+
+
+def _parse(buffer: _Buffer) -> tuple[dict[str, str], bytes, int]:
+    while True:
         try:
-            if buffer.data.startswith(MAGIC):
-                inside, used = _member(buffer)
-                records, at = [], 0
-                while at < len(inside):
-                    head, block, n = parse(inside[at:])
-                    records.append((head, block))
-                    at += n
-            else:
-                while True:
-                    try:
-                        head, block, used = parse(buffer.data)
-                        break
-                    except EOFError:
-                        if not buffer.more():
-                            raise
-                records = [(head, block)]
-            yield from gap(buffer.base)
-            yield from (("record", r) for r in records)
-            buffer.drop(used)
-        except (ValueError, EOFError) as e:
-            bad = bad or (buffer.base, str(e))
-            at = -1
-            while at < 0:  # the next place at which a record may start
-                places = [p for p in (buffer.data.find(MAGIC, 1), buffer.data.find(b"WARC/1.", 1)) if p > 0]
-                at = min(places, default=-1)
-                if at < 0:
-                    buffer.drop(max(0, len(buffer.data) - 6) if not buffer.ended else len(buffer.data))
-                    if not buffer.more():
-                        buffer.drop(len(buffer.data))
-                        break
-                else:
-                    buffer.drop(at)
-    yield from gap(buffer.base)
+            return parse(buffer.data, buffer.at)
+        except EOFError:
+            if not buffer.more():
+                raise
+
+
+def _of_member(member: _Inflated) -> Found:
+    """The checked records of a gzip member and the gaps between them; nothing where no record is valid."""
+    buffer, held, sure, waiting = member.buffer, [], True, None
+
+    def gap(a: int, b: int, reason: str) -> tuple[str, object]:
+        return "gap", (buffer.base, buffer.base + member.used, f"inflated bytes {a} to {b}: {reason}")
+
+    for what, value in _scan(_Buffer(member), False):
+        if what == "gap":
+            waiting, member.reason = value, member.reason or value[2]
+            continue
+        held += [gap(*waiting)] if waiting else []
+        waiting = None
+        held.append((what, value))
+        sure = sure and _has_digest(value[0])
+        if sure:
+            member.given = True
+            yield from held
+            held = []
+            member.forget()
+    if member.error:
+        held = [(what, value) for what, value in held if what == "record" and _has_digest(value[0])]
+    elif waiting and (held or member.given):
+        held.append(gap(*waiting))
+    member.given = member.given or bool(held)
+    yield from held
+
+
+def _has_digest(head: dict[str, str]) -> bool:
+    return head.get("warc-block-digest", "").startswith("sha1:")
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -241,7 +344,11 @@ def read(files: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """What the archives of `pages` give back, one row for each record."""
+    """What the archives of `pages` give back, one row for each record; RuntimeError if that is not every record written."""
     files = write(pages, scratch(pages.sparkSession))
-    count = files.count()
-    return read(files.repartition(max(1, count), "path"), with_payload=False).filter("record_type is not null")
+    total = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("records"), F.lit(0)).alias("records")).first()
+    rows = cut(read(files.repartition(max(1, total["files"]), "path"), with_payload=False).filter("record_type is not null"))
+    back = rows.count()
+    if back != total["records"]:
+        raise RuntimeError(f"{total['records']} records were written and {back} read back")
+    return rows

@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -348,6 +349,49 @@ def test_salvage(packed):
     assert all(gzip.decompress(p).startswith(b"WARC") for p in parts) if packed else True
 
 
+def test_records_of_one_member_come_back_one_by_one():
+    record = lambda i, text=None: warc.record(i, "u", text or random.Random(i).randbytes(3000), None, False)
+    parts = [record(i) for i in range(10)]
+    bad = [bytearray(p) for p in parts]
+    bad[4][-100] ^= 0xFF
+    ids = lambda seen: [int(v[0]["warc-record-id"][10:-1]) for what, v in seen if what == "record"]
+    gaps = lambda seen: [v for what, v in seen if what == "gap"]
+    one = warc.gzip_member(b"".join(map(bytes, bad)))
+    seen = list(warc.salvage(io.BytesIO(one + warc.gzip_member(record(77)))))
+    assert ids(seen) == [0, 1, 2, 3, 5, 6, 7, 8, 9, 77] and len(gaps(seen)) == 1 and "inflated bytes" in gaps(seen)[0][2]
+    a = sum(map(len, parts[:4]))
+    assert f"inflated bytes {a} to {a + len(parts[4])}: the block digest differs" == gaps(seen)[0][2]
+    # Cut off in the middle, then another member; the records before and behind the damage come back.
+    whole = warc.gzip_member(b"".join(parts))
+    seen = list(warc.salvage(io.BytesIO(whole[:len(whole) * 2 // 3] + warc.gzip_member(record(77)))))
+    assert ids(seen) == [0, 1, 2, 3, 4, 5, 77] and len(gaps(seen)) == 1
+    # Without digests only the member's own check vouches for a record.
+    plain = [b"".join(x for x in p.splitlines(True) if not x.startswith(b"WARC-Block-Digest")) for p in (record(i, b"x\n" * 99) for i in range(3))]
+    member = bytearray(warc.gzip_member(b"".join(plain)))
+    assert ids(warc.salvage(io.BytesIO(member))) == [0, 1, 2]
+    member[-6] ^= 1
+    assert ids(warc.salvage(io.BytesIO(bytes(member) + warc.gzip_member(record(77))))) == [77]
+    assert list(warc.salvage(io.BytesIO(warc.gzip_member(b"")))) == [] == list(warc.salvage(io.BytesIO(b"")))
+
+
+@pytest.mark.parametrize("junk", [b"WARC/1.0\r\n", b"WARC/1.0\r\na: b\r\n", b"\x1f\x8b\x08\x00", b"WARC/1.", b"x"])
+def test_a_megabyte_of_false_starts_is_one_gap(junk):
+    data = junk * (1_000_000 // len(junk))
+    tail = warc.gzip_member(warc.record(5, "u", b"y" * 2_000_000, None, False))
+    begin = time.perf_counter()
+    seen = list(warc.salvage(io.BytesIO(data + tail)))
+    assert [what for what, _ in seen] == ["gap", "record"] and seen[0][1][:2] == (0, len(data)) and time.perf_counter() - begin < 20
+
+
+def test_reading_time_grows_in_proportion():
+    def seconds(n):
+        data = warc.gzip_member(b"".join(warc.record(i, "u", random.Random(i).randbytes(8000), None, False) for i in range(n)))
+        begin = time.perf_counter()
+        assert sum(what == "record" for what, _ in warc.salvage(io.BytesIO(data))) == n
+        return time.perf_counter() - begin
+    assert seconds(4000) < 12 * max(seconds(1000), 0.05)
+
+
 # --- the pipeline ---------------------------------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
