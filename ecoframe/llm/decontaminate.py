@@ -7,10 +7,13 @@ space don't count as differences.
 
 The benchmark is the query set: it is taken in blocks of at most `block_chars` characters (read to the driver one at a time and
 broadcast, so the size is bounded), and all texts are scanned once a block. Nothing of the texts is shuffled. Items too short
-for a useful bound are searched exactly, by an automaton.
+for one edit and a positive bound are searched exactly, by an automaton, and count as whole words only. Short items are allowed
+as many edits as leave the bound positive. Pairs of equal q-grams are counted in lots, so a long text of one repeated line needs
+no more memory than another.
 
-Defined results: a null or empty text has no hits; an empty item none either; repeated rows give repeated hits; empty tables
-give no rows; other columns are ignored. Offsets are code points in the text as it is.
+Defined results: a null or empty text has no hits; an empty item none either; repeated rows give repeated hits; items that share
+an id or have none are told under that id, or none; of places that fit equally well, the first in its band is told; empty tables
+give no rows; other columns are ignored. Texts of any length are read whole. Offsets are code points in the text as it is.
 """
 
 from __future__ import annotations
@@ -28,7 +31,12 @@ from pyspark.sql import functions as F
 from ecoframe.llm.common import NO_ID, text_rows
 
 Q = 8
-LEAST_BOUND = 16
+#: Segments with a lower bound are kept apart: more texts reach it by chance, which would cost the others too.
+LIGHT = 16
+#: A q-gram that occurs more often in its segment is not counted, and the bound is lower by its number.
+OFTEN = 3
+#: Pairs of a place in a text and one in a segment that are held at a time.
+PAIRS = 1 << 19
 TABLE = 22
 
 
@@ -61,42 +69,50 @@ class Segment:
     edits: int
     bound: int
 
+    def __post_init__(self):
+        self.chars, self.wanted = np.unique(self.codes, return_counts=True)
+
+    def lacks(self, part: np.ndarray) -> int:
+        """Characters of the segment that a part of a text lacks: each takes an edit of its own, so most bands need no alignment."""
+        which = np.minimum(np.searchsorted(self.chars, part), len(self.chars) - 1)
+        there = np.bincount(which[self.chars[which] == part], minlength=len(self.chars))
+        return int(np.maximum(self.wanted - there, 0).sum())
+
 
 def cut_item(length: int, size: int, step: int) -> list[tuple[int, int]]:
-    if length <= size + step:
+    if length <= size:
         return [(0, length)]
     return [(a, a + size) for a in range(0, length - size, step)] + [(length - size, length)]
 
 
-class Query:
-    """One block of the benchmark, made ready for scanning."""
+def often(g: np.ndarray) -> np.ndarray:
+    """Whether a q-gram occurs more than OFTEN times in its segment."""
+    _, which, times = np.unique(g, return_inverse=True, return_counts=True)
+    return times[which] > OFTEN
 
-    def __init__(self, items: list[tuple[int, str]], edit_rate: float, size: int, step: int):
-        self.segments: list[Segment] = []
-        self.short = ahocorasick.Automaton()
-        for item, text in items:
-            x = codes(text.strip())
-            for a, b in cut_item(len(x), size, step):
-                edits = int(edit_rate * (b - a))
-                bound = b - a - Q + 1 - Q * edits
-                if bound >= LEAST_BOUND:
-                    self.segments.append(Segment(item, x[a:b], edits, bound))
-                elif len(x):
-                    plain = "".join(map(chr, x))
-                    self.short.add_word(plain, (*self.short.get(plain, ()), (item, len(plain))))
-        self.short.make_automaton()
-        table = [(grams(s.codes), i) for i, s in enumerate(self.segments)]
-        gram = np.concatenate([g for g, _ in table]) if table else np.zeros(0, np.uint32)
+
+class Index:
+    """Segments of one class with the table of their q-grams. `skip` leaves out those that occur often in their segment."""
+
+    def __init__(self, segments: list[Segment], skip: bool):
+        self.segments = segments
+        table = []
+        for i, s in enumerate(segments):
+            g = grams(s.codes)
+            offset = np.flatnonzero(~often(g)) if skip else np.arange(len(g))
+            table.append((g[offset], np.full(len(offset), i), offset))
+        gram = np.concatenate([g for g, _, _ in table])
         order = np.argsort(gram, kind="stable")
         self.gram = gram[order]
-        self.owner = np.concatenate([np.full(len(g), i) for g, i in table])[order] if table else gram
-        self.offset = np.concatenate([np.arange(len(g)) for g, _ in table])[order] if table else gram
+        self.owner = np.concatenate([o for _, o, _ in table])[order]
+        self.offset = np.concatenate([o for _, _, o in table])[order]
         self.seen = np.zeros(1 << TABLE, bool)
         self.seen[self.gram >> np.uint32(32 - TABLE)] = True
-        self.window = max((len(s.codes) + s.edits for s in self.segments), default=0)
-        self.least = min((s.bound for s in self.segments), default=0)
-        self.edits = np.array([s.edits for s in self.segments], np.int64)
-        self.bounds = np.array([s.bound for s in self.segments], np.int64)
+        self.longest = max(len(s.codes) for s in segments)
+        self.window = max(len(s.codes) + s.edits for s in segments)
+        self.least = min(s.bound for s in segments)
+        self.edits = np.array([s.edits for s in segments], np.int64)
+        self.bounds = np.array([s.bound for s in segments], np.int64)
 
     def dense(self, g: np.ndarray) -> np.ndarray:
         """Places of q-grams of the benchmark, where enough of them lie within one window."""
@@ -112,41 +128,126 @@ class Query:
         np.add.at(mark, first + k + 1, -1)
         return at[np.cumsum(mark[:-1]) > 0]
 
-    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits); overlapping ones of an item are one."""
-        x = codes(text)
+    def bands(self, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(segment, base) of the bands of diagonals that reach the bound, place by place; PAIRS pairs of place and offset at a time.
+
+        A band spans two widths, so bands overlap by one: each pair counts in the band that it starts and in the one before.
+        Counts go on from one lot of places to the next only for bands whose diagonals can still meet a later place.
+        """
+        at = self.dense(g)
+        lo, hi = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
+        total = np.cumsum(hi - lo)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+            n = hi[a:b] - lo[a:b]
+            entry = np.repeat(lo[a:b] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            owner = self.owner[entry]
+            base = (np.repeat(at[a:b], n) - self.offset[entry] + self.window) // np.maximum(self.edits[owner], 1)
+            key, count = _pairs_counted(owner, base)
+            keys, counts = _counted(np.concatenate([keys, key, key - 1]), np.concatenate([counts, count, count]))
+            segment, base = keys >> 40, keys & ((1 << 40) - 1)
+            if b < len(at):
+                width = np.maximum(self.edits[segment], 1)
+                shut = (base + 2) * width - self.window <= at[b] - self.longest
+            else:
+                shut = np.ones(len(keys), bool)
+            good = shut & (counts >= self.bounds[segment])
+            if good.any():
+                yield segment[good], base[good]
+            keys, counts, a = keys[~shut], counts[~shut], b
+
+    def hits(self, x: np.ndarray, g: np.ndarray) -> list[tuple[int, int, int, int]]:
         found: list[tuple[int, int, int, int]] = []
-        if len(self.short):
-            for last, owners in self.short.iter("".join(map(chr, x))):
-                found += [(item, last + 1 - n, last + 1, 0) for item, n in owners]
-        g = grams(x)
-        at = self.dense(g) if len(self.segments) else g[:0]
-        if len(at):
-            lo, hi = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
-            n = hi - lo
-            entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            owner, diagonal = self.owner[entry], np.repeat(at, n) - self.offset[entry]
-            width = np.maximum(self.edits[owner], 1)
-            base = (diagonal + self.window) // width
-            # A band spans two widths, so bands overlap by one: each hit counts in the band that it starts and in the one before.
-            key = np.concatenate([owner * (1 << 40) + base, owner * (1 << 40) + base - 1])
-            keys, counts = np.unique(key, return_counts=True)
-            segment = keys >> 40
-            good = counts >= self.bounds[segment]
-            last: dict[int, int] = {}
-            for s, b in zip(segment[good].tolist(), (keys[good] & ((1 << 40) - 1)).tolist()):
+        last: dict[int, int] = {}
+        for segments, bases in self.bands(g):
+            for s, b in zip(segments.tolist(), bases.tolist()):
                 seg = self.segments[s]
                 w = max(seg.edits, 1)
                 low, high = b * w - self.window - seg.edits, b * w - self.window + 2 * w + seg.edits
                 if low <= last.get(s, low - 1) <= high:
                     continue  # the neighbouring band has the same match
-                hit = equal(seg.codes, x, low, high) or align(seg.codes, x, low, high, seg.edits)
+                hit = equal(seg.codes, x, low, high) or (
+                    seg.lacks(x[max(low, 0):high + len(seg.codes)]) <= seg.edits and align(seg.codes, x, low, high, seg.edits))
                 if hit:
                     last[s] = hit[0]
-                    found.append((seg.item, *hit))
+                    if found and found[-1][0] == seg.item and found[-1][1] <= hit[0] <= found[-1][2]:
+                        found[-1] = (seg.item, found[-1][1], max(found[-1][2], hit[1]), min(found[-1][3], hit[2]))
+                    else:
+                        found.append((seg.item, *hit))
+        return found
+
+
+def _pairs_counted(owner: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (owner, base) with their counts; by a table where the keys lie close together."""
+    if not len(owner):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, least = int(owner.min()), int(base.min())
+    span = int(base.max()) - least + 1
+    if (int(owner.max()) - first + 1) * span > 4 * len(owner):
+        return np.unique(owner * (1 << 40) + base, return_counts=True)
+    table = np.bincount((owner - first) * span + (base - least))
+    at = np.flatnonzero(table)
+    return (first + at // span) * (1 << 40) + least + at % span, table[at]
+
+
+def _counted(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, each with the sum of its counts."""
+    if not len(key):
+        return key, count
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[edge], np.add.reduceat(count[order], edge)
+
+
+class Query:
+    """One block of the benchmark, made ready for scanning."""
+
+    def __init__(self, items: list[tuple[int, str]], edit_rate: float, size: int, step: int):
+        self.short = ahocorasick.Automaton()
+        classes: dict[str, list[Segment]] = {"long": [], "light": [], "repeating": []}
+        for item, text in items:
+            x = codes(text.strip())
+            # Equal segments of an item are one.
+            for a, b in {x[a:b].tobytes(): (a, b) for a, b in cut_item(len(x), size, step)}.values():
+                edits = int(edit_rate * (b - a))
+                while edits > 0 and b - a - Q + 1 - Q * edits < 1:
+                    edits -= 1  # too short for that many
+                bound = b - a - Q + 1 - Q * edits
+                if edits == 0 and bound < LIGHT:
+                    if len(x):
+                        plain = "".join(map(chr, x))
+                        self.short.add_word(plain, (*self.short.get(plain, ()), (item, len(plain))))
+                    continue
+                # q-grams that occur often in the segment meet everywhere in a text of such; the others must reach the bound alone.
+                left = bound - int(often(grams(x[a:b])).sum())
+                kind = "repeating" if left < 1 else "long" if left >= LIGHT else "light"
+                classes[kind].append(Segment(item, x[a:b], edits, bound if left < 1 else left))
+        self.short.make_automaton()
+        self.indexes = [Index(segments, kind != "repeating") for kind, segments in classes.items() if segments]
+
+    def hits(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits); overlapping ones of an item are one."""
+        x = codes(text)
+        found: list[tuple[int, int, int, int]] = []
+        if len(self.short):
+            plain = "".join(map(chr, x))
+            for last, owners in self.short.iter(plain):
+                found += [(item, last + 1 - n, last + 1, 0) for item, n in owners if _whole(plain, last + 1 - n, last + 1)]
+        g = grams(x) if self.indexes else x
+        for index in self.indexes:
+            found += index.hits(x, g)
         return _merge(found)
 
 
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether the part neither starts nor ends inside a word."""
+    return not (start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+                or end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 def equal(pattern: np.ndarray, x: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
     """An occurrence without edits on diagonals low..high, which needs no alignment."""
     low = max(low, 0)

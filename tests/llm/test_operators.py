@@ -9,6 +9,7 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -187,6 +188,66 @@ def test_leaks(spark, documents):
     assert decontaminate.find(documents(rows), benchmark.limit(0)).count() == 0 == decontaminate.find(documents([]), benchmark).count()
 
 
+def least_edits(pattern, x):
+    """Edits of the best place of the pattern in the text: dynamic programming over the whole of both, a row at a time."""
+    chars, step = np.array([ord(c) for c in x], np.int64), np.arange(len(x) + 1)
+    row = np.zeros(len(x) + 1, np.int64)
+    for c in pattern:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (chars != ord(c)))
+        row = np.minimum.accumulate(new - step) + step
+    return int(row.min())
+
+
+def test_leaks_equal_brute_force(spark, documents, monkeypatch):
+    r = random.Random(17)
+    monkeypatch.setattr(decontaminate, "PAIRS", 64)
+    prose = lambda n: "".join(r.choice("abcde fgh ij") for _ in range(n)).strip()
+    lengths = [14, 16, 20, 30, 40, 45, 52, 54, 80, 121, 150, 178, 200, 300]
+    items = [(i, prose(n)) for i, n in enumerate(lengths)]
+    items += [(20, "-" * 60), (21, prose(40) + "-" * 40 + prose(40)), (22, "- = " * 40), (23, "ab" * 50), (24, "yes")]
+    def edited(text, k):
+        for _ in range(min(k, len(text) - 1)):
+            i = r.randrange(max(1, len(text)))
+            text = text[:i] + r.choice(["", "#", text[i:i + 1] + "+"]) + text[i + 1:]
+        return text
+    rows = []
+    for i, text in items:
+        for k in (0, 1, 2, 4, 9):
+            a = r.randrange(max(1, len(text) - 150)) if k == 2 and len(text) > 150 else 0
+            rows.append((len(rows), prose(r.randrange(60)) + " " + edited(text[a:a + 150] if a else text, k) + " " + prose(r.randrange(60)), "s"))
+    rows += [(200, "-" * 700, "s"), (201, "yesterday", "s"), (202, "oh yes, so", "s"), (203, "- = " * 90, "s"), (204, items[11][1][20:170], "s")]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find(
+        documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = set()
+    for d, text, _ in rows:
+        x = text.lower().replace("\n", " ")
+        for i, item in items:
+            item = item.strip()
+            for a, b in ([(0, len(item))] if len(item) <= 120 else [(a, a + 120) for a in range(0, len(item) - 120, 60)] + [(len(item) - 120, len(item))]):
+                part, edits = item[a:b], int(0.08 * (b - a))
+                while edits and b - a - 7 - 8 * edits < 1:
+                    edits -= 1
+                if edits == 0:
+                    near = re.search(r"(?<![^\W_])" * part[0].isalnum() + re.escape(part) + r"(?![^\W_])" * part[-1].isalnum(), x)
+                else:
+                    near = least_edits(part, x) <= edits
+                if near:
+                    expected.add((d, i))
+    assert got == expected and (202, 24) in got and (201, 24) not in got and (204, 11) in got and (200, 20) in got
+
+
+def test_a_megabyte_of_one_line_needs_little_memory():
+    import tracemalloc
+    items = [(1, "-" * 300), (2, "a line of dashes: " + "-" * 60 + " that is all of it, no more to be said of them"), (3, "=-" * 90)]
+    query = decontaminate.Query(items, 0.08, 120, 60)
+    for text, hit in (("-" * 1_000_000, {1}), ("=-" * 500_000, {3}), ("x" * 1_000_000 + items[1][1], {2})):
+        tracemalloc.start()
+        assert {h[0] for h in query.hits(text)} == hit
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+
+
 def test_alignment_equals_edit_distance():
     r = random.Random(11)
     for _ in range(60):
@@ -197,7 +258,6 @@ def test_alignment_equals_edit_distance():
             for j in range(1, 41):
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x[j - 1] != c)))
             row = new
-        import numpy as np
         end, edits = decontaminate._banded(np.array(pattern, np.uint32), np.array(x, np.uint32), -12, 40)
         assert edits == min(row) and row[end] == edits
 
