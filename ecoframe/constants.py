@@ -37,8 +37,6 @@ SPECTRAL_BANDS = ["B02", "B04", "B08", "B8A", "B11"]
 INDEX_BANDS = ["NDVI", "EVI"]
 QUALITY_BANDS = ["SCL", "CLEAROB", "TOTALOB", "PROVENANCE"]
 BANDS = SPECTRAL_BANDS + INDEX_BANDS + QUALITY_BANDS
-CUBE_COLLECTION = "S2-16D-2"
-SCENE_COLLECTION = "S2_L2A-1"
 
 SCL_NAMES = {
     0: "sem dado",

@@ -14,20 +14,23 @@ def finite(x: Column) -> Column:
 
 
 def three_decimals(x: Column) -> Column:
-    """Text of a number in [0.01, 16) with three decimals, rounded from its exact binary value as C's "%.3f" does.
+    """Text of a number from 0.01 on with three decimals, rounded from its exact binary value as C's "%.3f" does.
 
     ``format_string`` and ``round`` start from the shortest decimal text instead, and differ on the many
-    four-digit reflectances that end in 5.
+    four-digit reflectances that end in 5. From 2^62 on they are all that is used.
     """
     unit = 2 ** 59
-    exact = (x * F.lit(float(unit))).cast("bigint").cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
+    # The part behind the point is exact as a double and as 59 bits.
+    before = F.floor(F.least(x, F.lit(2.0 ** 62)))
+    exact = ((F.least(x, F.lit(2.0 ** 62)) - before) * F.lit(float(unit))).cast("bigint").cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
     whole = F.floor(exact / F.lit(unit).cast("decimal(20,0)")).cast("decimal(20,0)")
     rest = exact - whole * F.lit(unit).cast("decimal(20,0)")
     half = F.lit(unit // 2).cast("decimal(20,0)")
     up = (rest > half) | ((rest == half) & (whole % 2 == 1))
     thousandths = whole.cast("bigint") + F.when(up, 1).otherwise(0)
-    return F.concat(F.floor(thousandths / 1000).cast("string"), F.lit("."),
-                    F.lpad((thousandths % 1000).cast("string"), 3, "0"))
+    carry = F.floor(thousandths / 1000)
+    text = F.concat((before + carry).cast("string"), F.lit("."), F.lpad((thousandths % 1000).cast("string"), 3, "0"))
+    return F.when(x < 2.0 ** 62, text).otherwise(F.format_string("%.3f", x))
 
 
 def join_messages(*messages: Column) -> Column:

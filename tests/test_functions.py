@@ -65,7 +65,7 @@ def test_rarefaction_refuses_too_much_effort(spark):
 
 
 def test_three_decimals_match_c_format(spark):
-    values = [n * 0.0001 for n in range(100, 20000, 5)] + [0.0625, 0.1875, 0.2505, 9.9995, 15.9999]
+    values = [n * 0.0001 for n in range(100, 20000, 5)] + [0.0625, 0.1875, 0.2505, 9.9995, 15.9999, 16.0, 17.0625, 999.9995, 123456.0005, 2.0 ** 52 + 1, 2.0 ** 60]
     assert [r[0] for r in column(spark, values, "double", S.three_decimals(F.col("v")))] == [f"{v:.3f}" for v in values]
 
 

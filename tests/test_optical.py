@@ -55,7 +55,7 @@ def test_observation_date_decides_the_quarter(spark):
 
 # --- composites ------------------------------------------------------------------------------------------------
 
-RAW = {"B02": 200, "B04": 300, "B08": 3000, "B8A": 2800, "B11": 1400, "NDVI": 8000, "EVI": 5000, "SCL": 4, "CLEAROB": 2, "TOTALOB": 3, "PROVENANCE": 12}
+RAW = {"B02": 350, "B04": 510, "B08": 2650, "B8A": 2400, "B11": 800, "NDVI": 6770, "EVI": 3900, "SCL": 5, "CLEAROB": 1, "TOTALOB": 4, "PROVENANCE": 170}
 NODATA = {"NDVI": -9999.0, "EVI": -9999.0, "PROVENANCE": -1.0}
 READING = "item_id string, i int, j int, scene_id string, scl int, b04_dn double"
 
@@ -68,30 +68,31 @@ def composite(spark, changes=None, source=4, readings=None, pixel_changes=None,
                 rows.append(("it", band, i, j, float(raw), None if band == drop_nodata else NODATA.get(band, 0.0),
                              None if band in C.QUALITY_BANDS or band == drop_scale else 1e-4))
     long = spark.createDataFrame(rows, "item_id string, band string, i int, j int, raw double, nodata double, scale double")
-    pixels = P.quality_tests(P.decode(long, ["item_id"]).withColumn("composite_start", F.to_date(F.lit("2022-01-01"))).withColumn(
-        "composite_end", F.to_date(F.lit("2022-01-16"))))
+    pixels = P.quality_tests(P.decode(long, ["item_id"]).withColumn("composite_start", F.to_date(F.lit("2019-06-10"))).withColumn(
+        "composite_end", F.to_date(F.lit("2019-06-25"))))
     if readings is None:
         scl = source if isinstance(source, dict) else {(i, j): source for i in (-1, 0, 1) for j in (-1, 0, 1)}
-        readings = [("it", i, j, "S2A_N0301_A", v, 300.0) for (i, j), v in scl.items()]
+        readings = [("it", i, j, "S2A_N0301_A", v, float(RAW["B04"])) for (i, j), v in scl.items()]
     sourced = P.choose_source_scene(pixels, spark.createDataFrame(readings, READING), ["item_id"])
     return P.composite_rows(P.validity(sourced), ["item_id"]).first()
 
 
 def test_valid_composite(spark):
     row = composite(spark)
-    assert (row.B04, row.B02, row.NDVI) == (pytest.approx(0.03), pytest.approx(0.02), pytest.approx(0.8))
-    assert row.NDMI == pytest.approx(1 / 3) and row.SCL == 4 and row.PROVENANCE == 12
-    assert row.observation_date == dt.date(2022, 1, 12) and row.valid and row.invalid_reason is None
-    assert (row.window_n_pixels, row.window_n_valid, row.window_ndvi_median, row.window_ndvi_sd) == (9, 9, pytest.approx(0.8), pytest.approx(0.0))
+    assert [row.B02, row.B04, row.NDVI, row.NDMI] == pytest.approx([0.035, 0.051, 0.677, 0.5])
+    assert (row.SCL, row.PROVENANCE, row.valid, row.invalid_reason) == (5, 170, True, None) and row.observation_date == dt.date(2019, 6, 19)
+    assert [row.window_n_pixels, row.window_n_valid, row.window_ndvi_median, row.window_ndvi_sd] == pytest.approx([9, 9, 0.677, 0.0])
 
 
+# The wording of the reasons.
 @pytest.mark.parametrize("changes,source,reason,cube_b02,cube_only", [
-    ({"NDVI": -9999}, 9, "SCL origem 9 (nuvem (prob. alta)); banda sem dado", False, False),
-    ({}, 8, "SCL origem 8 (nuvem (prob. média))", True, True),
-    ({"PROVENANCE": 40}, 4, "PROVENANCE fora do período (2022-02-09)", False, False),
-    ({"PROVENANCE": -1}, 4, "PROVENANCE sem dado", False, False),
-    ({"B02": 2500, "SCL": 5}, 5, "névoa (B02 0.250 > 0.1)", False, True),
-    ({"B02": 0}, 4, "banda sem dado", False, False),
+    ({}, 3, f"SCL origem 3 ({C.SCL_NAMES[3]})", True, True),
+    ({"EVI": -9999}, 10, f"SCL origem 10 ({C.SCL_NAMES[10]}); banda sem dado", False, False),
+    ({"B11": 0}, 5, "banda sem dado", False, False),
+    ({"PROVENANCE": -1}, 5, "PROVENANCE sem dado", False, False),
+    ({"PROVENANCE": 200}, 5, "PROVENANCE fora do período (2019-07-19)", False, False),
+    ({"B02": 1730, "SCL": 4}, 4, "névoa (B02 0.173 > 0.1)", False, True),
+    ({"B02": 170_625}, 5, "névoa (B02 17.062 > 0.1)", False, True),
 ])
 def test_invalid_reasons(spark, changes, source, reason, cube_b02, cube_only):
     row = composite(spark, changes, source)
@@ -180,26 +181,25 @@ def test_windows_cross_blocks_and_are_filled_outside(spark, grid):
 
 
 def test_window_centres(spark):
-    cell = spark.createDataFrame([(100.0, 200.0, 10.0)], "x_centre double, y_centre double, res double")
+    cell = spark.createDataFrame([(-30.0, 55.0, 4.0)], "x_centre double, y_centre double, res double")
     x, y = R.window_centres(F.col("x_centre"), F.col("y_centre"), F.col("res"))
     got = {(r.i, r.j): (r.x, r.y) for r in R.expand_window(cell).select("i", "j", x.alias("x"), y.alias("y")).collect()}
-    assert got[-1, -1] == (90.0, 210.0) and got[1, 1] == (110.0, 190.0)
+    assert got == {(i, j): (-30.0 + 4 * j, 55.0 - 4 * i) for i in (-1, 0, 1) for j in (-1, 0, 1)}
 
 
 def test_items_inside_the_window(spark):
-    d = dt.datetime
-    items = spark.createDataFrame([(n, d(*s), d(*e), -37.0, -7.0, -35.0, -5.0) for n, s, e in [
-        ("early", (2021, 9, 30), (2021, 10, 15)), ("first", (2021, 10, 16), (2021, 10, 31)),
-        ("last", (2022, 9, 30), (2022, 10, 8)), ("late", (2022, 9, 30), (2022, 10, 9))]],
-        "item_id string, start timestamp, end timestamp, west double, south double, east double, north double")
-    targets = spark.createDataFrame([("A", -36.0, -6.0, dt.date(2021, 10, 8), dt.date(2022, 10, 8))], "site string, lon double, lat double, window_start date, cut date")
-    assert sorted(r.item_id for r in R.items_over_points(targets, items).collect()) == ["first", "last"]
+    spans = {"before": ("2018-02-25", "2018-03-12"), "inside": ("2018-03-13", "2018-03-28"), "up to the cut": ("2019-02-18", "2019-03-05"), "past it": ("2019-02-18", "2019-03-06")}
+    items = spark.createDataFrame([(k, *map(dt.datetime.fromisoformat, v), 10.0, 46.0, 11.0, 47.0) for k, v in spans.items()],
+                                  "item_id string, start timestamp, end timestamp, west double, south double, east double, north double")
+    targets = spark.createDataFrame([("S", 10.5, 46.2, dt.date(2018, 3, 5), dt.date(2019, 3, 5))], "site string, lon double, lat double, window_start date, cut date")
+    assert {r.item_id for r in R.items_over_points(targets, items).collect()} == {"inside", "up to the cut"}
 
 
 def test_one_item_per_period(spark):
-    rows = spark.createDataFrame([("A", "c", 1, 0, "i1"), ("A", "c", 1, 50, "i2"), ("A", "c", 2, None, "i4"), ("A", "c", 2, None, "i3"), ("A", "c", 3, 5, "i6"), ("A", "c", 3, 5, "i5")],
-                                 "site string, campaign_id string, start int, border_px int, item_id string")
-    assert {r.start: (r.item_id, r.border_px) for r in R.one_item_per_period(rows).collect()} == {1: ("i2", 50), 2: ("i3", None), 3: ("i5", 5)}
+    rows = spark.createDataFrame([("S", "q", period, border, item) for period, border, item in [
+        (7, 3, "a"), (7, 12, "k"), (8, None, "z"), (8, None, "m"), (9, 40, "t"), (9, 40, "r")]],
+        "site string, campaign_id string, start int, border_px int, item_id string")
+    assert {r.start: (r.item_id, r.border_px) for r in R.one_item_per_period(rows).collect()} == {7: ("k", 12), 8: ("m", None), 9: ("r", 40)}
 
 
 def test_point_grid(spark):
