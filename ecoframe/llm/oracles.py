@@ -41,16 +41,25 @@ def _tree(levels: int = 7) -> str:
     for k in range(levels):
         out.append(f"""
 s{k} AS (
-  SELECT *, form[{k + 1}] AS part, sum(n) OVER (PARTITION BY host, node, form[{k + 1}]) / sum(n) OVER (PARTITION BY host, node) AS share
+  SELECT *, form[{k + 1}] AS part, sum(n) OVER (PARTITION BY host, node, form[{k + 1}]) AS pages,
+    sum(CASE WHEN form[{k + 1}] IS NOT NULL THEN n END) OVER (PARTITION BY host, node) AS total,
+    count(DISTINCT form[{k + 1}]) OVER (PARTITION BY host, node) AS children
   FROM t{k}),
-m{k} AS (SELECT *, count(DISTINCT CASE WHEN share < 0.02 THEN part END) OVER (PARTITION BY host, node) > 32 AS many FROM s{k}),
 t{k + 1} AS (
   SELECT host, form, n, labelled, bad,
-    CASE WHEN part IS NULL THEN node ELSE node || '/' || CASE WHEN many AND share < 0.02 THEN '*' ELSE part END END AS node
-  FROM m{k})""")
+    CASE WHEN part IS NULL THEN node ELSE node || '/' || CASE WHEN children > 32 AND pages < total * 0.02::DOUBLE THEN '*' ELSE part END END AS node
+  FROM s{k})""")
     return ",".join(out)
 
 
+def _down(levels: int = 8) -> str:
+    """Rates from the host down: each labelled node's, smoothed towards the one above."""
+    return ",".join(f"""
+p{k + 1} AS (
+  SELECT p{k}.* EXCLUDE (p), CASE WHEN a.l IS NULL THEN p ELSE (a.b + p * 8) / (a.l + 8) END AS p
+  FROM p{k} LEFT JOIN above a ON p{k}.host = a.host AND p{k}.template = a.template AND a.level = {k})""" for k in range(levels))
+
+
 def _fits(domain: str, path: str) -> str:
     return f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{path}')"
 
@@ -71,30 +80,45 @@ ruled AS (
        WHEN regexp_matches(s, '[0-9]') THEN '<v>' ELSE s END for s in string_split(path, '/') if s <> ''] AS shaped
   FROM p),
 seen AS (
-  SELECT page_id, host, path, rule, CASE WHEN len(shaped) > 6 THEN list_append(shaped[1:6], '<...>') ELSE shaped END AS form,
+  SELECT page_id, host, path, rule, shaped AS form,
     CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS told
   FROM ruled),
 counted AS (
   SELECT host, form, count(*) AS n, count(told) AS labelled, count(*) FILTER (told = 'block') AS bad FROM seen GROUP BY host, form),
 {_tree()},
+whole AS (SELECT host, form, labelled, bad, node || list_aggregate(list_transform(form[8:], lambda s: '/' || s), 'string_agg', '') AS longer, node FROM t7),
+named AS (SELECT host, form, labelled, bad, coalesce(longer, node) AS template FROM whole),
 leaves AS (
-  SELECT host, node, sum(labelled)::DOUBLE AS labelled, sum(bad)::DOUBLE AS bad,
-    regexp_replace(node, '^((?:/(?:<[^/]*|\*))*)/[^/<*][^/]*', '\1/+') AS branch
-  FROM t7 GROUP BY host, node),
+  SELECT host, template, sum(labelled)::DOUBLE AS labelled, sum(bad)::DOUBLE AS bad, string_split(template, '/') AS seg,
+    regexp_replace(template, '^((?:/(?:<[^/]*|\*))*)/[^/<*][^/]*', '\1/+') AS branch, regexp_extract(host, '[^.]*\.?[^.]*$') AS domain
+  FROM named GROUP BY host, template),
 prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(bad) / sum(labelled) ELSE 0 END AS prior FROM leaves),
-pooled AS (
-  SELECT *, sum(CASE WHEN labelled >= 20 THEN bad ELSE 0 END) OVER pool AS pool_bad,
-    sum(CASE WHEN labelled >= 20 THEN labelled ELSE 0 END) OVER pool AS pool_labelled
-  FROM leaves WINDOW pool AS (PARTITION BY host, branch)),
+pools AS (SELECT host, branch, sum(bad) AS pool_bad, sum(labelled) AS pool_labelled FROM leaves WHERE labelled >= 20 GROUP BY ALL),
+steps AS (SELECT *, unnest(range(least(7, len(seg) - 1) + 1)) AS level FROM leaves),
+nodes AS (
+  SELECT host, level, array_to_string(seg[1:level + 1], '/') AS prefix, sum(bad) AS b, sum(labelled) AS l
+  FROM steps WHERE labelled > 0 GROUP BY ALL),
+domains AS (
+  SELECT regexp_extract(host, '[^.]*\.?[^.]*$') AS domain, (sum(b) / count(*) + any_value(prior) * 8) / (sum(l) / count(*) + 8) AS base
+  FROM nodes, prior WHERE level = 0 GROUP BY ALL),
+above AS (
+  SELECT s.host, s.template, s.level, n.b, n.l FROM steps s
+  JOIN nodes n ON s.host = n.host AND s.level = n.level AND array_to_string(s.seg[1:s.level + 1], '/') = n.prefix
+  WHERE s.level <= greatest(len(s.seg) - 2, 0)),
+p0 AS (SELECT leaves.*, coalesce(base, prior) AS p FROM leaves CROSS JOIN prior LEFT JOIN domains ON leaves.domain = domains.domain),
+{_down()},
 tested AS (
-  SELECT *, labelled >= 20 AND abs(bad / greatest(labelled, 1) - pool_bad / greatest(pool_labelled, 1))
-    <= 2 * sqrt(pool_bad / greatest(pool_labelled, 1) * (1 - pool_bad / greatest(pool_labelled, 1)) / greatest(labelled, 1)) + 1e-9 AS alike
-  FROM pooled),
+  SELECT p8.*, pool_bad, pool_labelled, labelled >= 20 AND abs(bad / greatest(labelled, 1) - pool_bad / pool_labelled)
+    <= 2 * sqrt(pool_bad / pool_labelled * (1 - pool_bad / pool_labelled) / greatest(labelled, 1)) + 1e-9 AS alike
+  FROM p8 LEFT JOIN pools ON p8.host = pools.host AND p8.branch = pools.branch),
 pure AS (
-  SELECT host, node, (CASE WHEN alike THEN pool_bad ELSE bad END + 8 * prior) / (CASE WHEN alike THEN pool_labelled ELSE labelled END + 8) AS purity
-  FROM tested, prior)
-SELECT page_id, seen.host, path, rule, coalesce(told, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict
-FROM seen LEFT JOIN t7 ON seen.host = t7.host AND seen.form = t7.form LEFT JOIN pure ON t7.host = pure.host AND t7.node = pure.node"""
+  SELECT host, template, (CASE WHEN alike THEN pool_bad ELSE bad END + p * 8) / (CASE WHEN alike THEN pool_labelled ELSE labelled END + 8) AS purity
+  FROM tested),
+worse AS (SELECT host FROM leaves WHERE host <> '' GROUP BY host HAVING sum(bad) > 0)
+SELECT page_id, seen.host, path, rule,
+  coalesce(told, CASE WHEN purity >= 0.9 AND seen.host IN (SELECT host FROM worse) THEN 'block' ELSE 'allow' END) AS verdict
+FROM seen LEFT JOIN named ON seen.host = named.host AND seen.form = named.form
+LEFT JOIN pure ON named.host = pure.host AND named.template = pure.template"""
 
 OP5 = rf"""
 WITH {_DOCS}, {_WORD_ROWS},

@@ -9,13 +9,15 @@ import re
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ecoframe.llm import components, decontaminate, mixing, near_copies, pii, quality_rules, secrets_index, simhash, url_templates, warc
+from ecoframe.llm import components, decontaminate, mixing, near_copies, oracles, pii, quality_rules, secrets_index, simhash, url_templates, warc
 from ecoframe.llm.common import spans_text
 
 order = lambda rows: sorted(map(tuple, rows), key=str)
@@ -374,11 +376,30 @@ def test_labelled_purity_rejects_a_template(spark):
     assert url_templates.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_pages_without_bad_labels_stay_allowed_at_any_prior(spark):
-    urls = [f"http://x.net/es/{i}" for i in range(99)] + ["http://b.org/en/1", "http://y.net/de/1", "http://x.net/de/2", None, "no url"]
-    got = {r["url"]: r["verdict"] for r in url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).join(
-        spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id").collect()}
-    assert {u: got[u] for u in urls[99:]} == dict.fromkeys(urls[99:], "allow") and got[urls[0]] == "block"
+def test_own_labels_reject_an_unruled_template(spark):
+    urls = [f"http://x.net/es/{i}" for i in range(99)] + ["http://x.net/de/2"]
+    free = ["http://b.org/en/1", "http://y.net/de/1", "http://y.net/", None, "no url", ":///es/1"]
+    pages = spark.createDataFrame(list(enumerate(urls + free)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = {r["page_id"]: r for r in url_templates.judge(pages).collect()}
+    told = got[99]  # of a host whose labelled pages are bad, known from its root
+    assert (told["rule"], told["verdict"], told["level"]) == (None, "block", 0) and told["purity"] > 0.9
+    # Hosts without a bad label, and rows without a host, stay allowed though every labelled page is bad.
+    assert {got[100 + i]["verdict"] for i in range(len(free))} == {"allow"} and got[0]["verdict"] == "block"
+
+
+def test_url_tree_equals_its_sql(spark):
+    draw = random.Random(4)
+    hosts = ["a.net", "b.net", "c.d.net", "www.example.com", "q.example.com", "e.org", ""]
+    parts = ["es", "fr", "en", "7", "x1", "12.html", "*", "<n>", "deadbeef01", "é"] + [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    urls = [f"http://{draw.choice(hosts[:draw.randint(1, 7)])}/{'/'.join(draw.choice(parts[:draw.choice([3, 10, 70])]) for _ in range(draw.choice([0, 1, 2, 2, 3, 11])))}"
+            for _ in range(3000)] + [None, "", "x", "http://a.net/es/" + "z/" * 3000] + [f"http://a.net/es/{i}" for i in range(300)] + ["http://a.net/es/1"] * 400
+    pages = pd.DataFrame({"page_id": range(len(urls)), "url": urls})
+    con = duckdb.connect()
+    con.register("pages", pages)
+    expected = con.sql(oracles.OP4).fetchall()
+    got = url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert order(got) == order(expected)
+    assert {"allow", "block"} == {r["verdict"] for r in got if r["rule"] is None}
 
 
 # --- 6: WARC --------------------------------------------------------------------------------------------------------------------
