@@ -82,6 +82,29 @@ SELECT p.region, p.grp AS "group", p.site, round(1 - shared / (p.n + coalesce(re
 FROM pairs p LEFT JOIN refn ON p.region = refn.region AND p.grp = refn.grp"""
 
 
+def beta_parts(spark, sf_dir):
+    """Turnover and nestedness among all suppliers of a region."""
+    rows = _regions(spark, sf_dir).select("region", "site").join(_supplier_species(spark, sf_dir), "site")
+    out = J.beta_parts(rows, ["region"], "site")
+    return out.select("region", "sites", "species", *[F.round(c, 6).alias(c) for c in ("dissimilarity", "turnover", "nestedness")])
+
+
+BETA_PARTS = "WITH" + FORESTS + """,
+own AS (SELECT DISTINCT region, r.site, species FROM regions r JOIN spec s ON r.site = s.site),
+rich AS (SELECT region, site, count(*) AS n FROM own GROUP BY ALL),
+common AS (SELECT a.region, a.site AS one, b.site AS other, count(*) AS c
+           FROM own a JOIN own b ON a.region = b.region AND a.species = b.species AND a.site < b.site GROUP BY ALL),
+pairs AS (SELECT a.region, sum(least(a.n, b.n) - coalesce(c, 0)) AS low, sum(greatest(a.n, b.n) - coalesce(c, 0)) AS high
+          FROM rich a JOIN rich b ON a.region = b.region AND a.site < b.site
+          LEFT JOIN common ON common.region = a.region AND one = a.site AND other = b.site GROUP BY ALL),
+every AS (SELECT region, count(DISTINCT site) AS sites, count(DISTINCT species) AS species, count(*) AS records FROM own GROUP BY ALL),
+parts AS (SELECT region, sites, species,
+            coalesce((low + high) / nullif(2 * (records - species) + low + high, 0)::DOUBLE, 0) AS sor,
+            coalesce(low / nullif(records - species + low, 0)::DOUBLE, 0) AS sim
+          FROM every LEFT JOIN pairs USING (region))
+SELECT region, sites, species, round(sor, 6) AS dissimilarity, round(sim, 6) AS turnover, round(sor - sim, 6) AS nestedness FROM parts"""
+
+
 # --- ridge problems: suppliers as properties, nations as groups, regions as problems ------------------------------
 
 def _problem(spark, sf_dir):
@@ -357,10 +380,10 @@ OVERALL_COVERAGE = "WITH" + REPS + "SELECT " + ", ".join(
 
 
 QUERIES = {f.__name__: f for f in [
-    jaccard_to_reference, reference_b2, ridge_logo_gain, ridge_line_items, ridge_large_mean, ridge_outlier_group, fixed_error_interval, bootstrap_interval,
+    jaccard_to_reference, reference_b2, beta_parts, ridge_logo_gain, ridge_line_items, ridge_large_mean, ridge_outlier_group, fixed_error_interval, bootstrap_interval,
     corrected_cv, permutation_p, simulation_summary, reading_shares, overall_coverage]}
 ORACLE = {
-    "jaccard_to_reference": JACCARD, "reference_b2": REFERENCE_B2, "ridge_logo_gain": RIDGE_LOGO,
+    "jaccard_to_reference": JACCARD, "reference_b2": REFERENCE_B2, "beta_parts": BETA_PARTS, "ridge_logo_gain": RIDGE_LOGO,
     "ridge_line_items": RIDGE_LINE_ITEMS, "ridge_large_mean": RIDGE_LARGE_MEAN, "ridge_outlier_group": RIDGE_OUTLIER, "fixed_error_interval": FIXED_ERROR, "bootstrap_interval": BOOTSTRAP,
     "corrected_cv": CORRECTED_CV, "permutation_p": PERMUTATION, "simulation_summary": SIMULATION_SUMMARY,
     "reading_shares": READING_SHARES, "overall_coverage": OVERALL_COVERAGE}

@@ -182,18 +182,38 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_intersect(a, b)) / union)
 
 
+def _falling(x: Column) -> Column:
+    """ψ(x) = Σ xᵏ/(k(k+1)): what is left of (A−s)·ln(1−s/A) beside −s and divided by s, for x = s/A; a series where x is small."""
+    series = F.lit(0.0)
+    for k in range(14, 0, -1):
+        series = (series + F.lit(1.0 / (k * (k + 1)))) * x
+    return F.when(x < 0.1, series).otherwise(1 + (1 - x) * F.log1p(-x) / x)
+
+
+def _stirling(n: Column) -> Column:
+    """The remainder of Stirling's formula for ln n!; its error is below 1/(1680 n⁷), from 64 on below 2e-16."""
+    return 1 / (12 * n) - 1 / (360 * n * n * n) + 1 / (1260 * n * n * n * n * n)
+
+
 def rarefaction_term(minutes: Column, total: Column, m: Column) -> Column:
     """Chance that a species seen in ``minutes`` of ``total`` minutes shows up in ``m`` drawn without return.
 
-    1 − C(N−n, m)/C(N, m). The ratio is a product of min(n, m) factors, because drawing m minutes that avoid
-    the n is the same event as placing the n minutes outside the m.
+    1 − C(N−n, m)/C(N, m). With s the smaller and L the larger of n and m the ratio is Π (N−L−j)/(N−j) over j < s, because
+    drawing m minutes that avoid the n is the same event as placing the n minutes outside the m. Up to 64 factors are
+    multiplied. Beyond, the ratio is below 4e-15 where fewer than 64 minutes would be left over, and counts as 0; else it follows
+    from Stirling's formula, with the large terms cancelled before they are computed. No list grows with the minutes.
     """
-    short, long_ = F.least(minutes, m), F.greatest(minutes, m)
-    n, size = total.cast("double"), long_.cast("double")
-    factors = F.when(short > 0, F.sequence(F.lit(0).cast("bigint"), short.cast("bigint") - 1)).otherwise(
-        F.array().cast("array<bigint>"))
-    absent = F.aggregate(factors, F.lit(1.0),
-                         lambda acc, j: acc * F.greatest(n - size - j, F.lit(0.0)) / (n - j))
+    n = total.cast("double")
+    short, size = F.least(minutes, m).cast("double"), F.greatest(minutes, m).cast("double")
+    few = F.sequence(F.lit(0), F.greatest(F.least(short, F.lit(64.0)), F.lit(1.0)).cast("int") - 1)
+    product = F.aggregate(few, F.lit(1.0), lambda acc, j: acc * F.greatest(n - size - j, F.lit(0.0)) / (n - j))
+    rest = n - size
+    left = F.greatest(rest - short, F.lit(64.0))
+    inside, outside = short / F.greatest(rest, short + 64), short / n
+    log = (short * F.log1p(-size / F.greatest(n, size + 1)) - short * (_falling(inside) - _falling(outside))
+           - (F.log1p(-inside) - F.log1p(-outside)) / 2
+           + _stirling(F.greatest(rest, F.lit(64.0))) - _stirling(left) - _stirling(n) + _stirling(n - short))
+    absent = (F.when(short <= 0, F.lit(1.0)).when(short <= 64, product).when(rest - short < 64, F.lit(0.0)).otherwise(F.exp(log)))
     return F.when((m > 0) & (m <= total), 1 - absent).otherwise(
         F.raise_error(F.concat(F.lit("rarefaction effort "), m.cast("string"),
                                F.lit(" must be between 1 and "), total.cast("string"))).cast("double"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecoframe.functions.scalars import campaign_id, rarefaction_term
@@ -23,37 +26,98 @@ def campaign_table(recordings: DataFrame) -> DataFrame:
                     "n_recordings", "effort_min"))
 
 
-def assign_campaigns(recordings: DataFrame, campaigns: DataFrame, row_key: Sequence[str] = ("path",),
-                     campaign_order: Sequence[str] = ("ordinal",), strict: bool = True,
-                     bucket_days: int = 32) -> DataFrame:
+def _micros(clock: Column) -> Column:
+    """Microseconds of a clock time without zone since 1970."""
+    seconds = F.unix_date(F.to_date(clock)).cast("bigint") * 86400 + F.hour(clock) * 3600 + F.minute(clock) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), clock) * 1_000_000).cast("bigint")
+
+
+def _part(micros: Column, days: int) -> Column:
+    """Which span of ``days`` a time falls in, exactly."""
+    size = F.lit(days * 86_400_000_000)
+    return ((micros - F.pmod(micros, size)) / size).cast("bigint")
+
+
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Disjoint pieces of closed spans that come sorted by (_site, _span, _from), each with the span of highest rank over it.
+
+    Only the spans open at one time are kept, in a heap with the highest rank on top.
+    """
+    key, open_, at, pieces = None, [], 0, []
+
+    def until(limit):
+        nonlocal at
+        while open_ and at <= limit:
+            _, end, campaign = open_[0]
+            if end < at:
+                heapq.heappop(open_)
+                continue
+            end = min(end, limit)
+            pieces.append((key[0], at, end, campaign))
+            at = end + 1
+
+    def taken():
+        out = pd.DataFrame(pieces, columns=["_site", "_from", "_to", "_campaign"])
+        pieces.clear()
+        return out
+
+    for batch in batches:
+        columns = (batch[c].tolist() for c in ("_site", "_span", "_from", "_to", "_rank", "_campaign"))
+        for site, span, start, end, rank, campaign in zip(*columns):
+            if (site, span) != key:
+                until(math.inf)
+                key, open_ = (site, span), []
+            until(start - 1)
+            at = start
+            heapq.heappush(open_, (-rank, end, campaign))
+        yield taken()
+    until(math.inf)
+    yield taken()
+
+
+def campaign_pieces(campaigns: DataFrame, campaign_order: Sequence[str], bucket_days: int) -> DataFrame:
+    """Disjoint pieces of the campaigns of each site, once for each bucket of days they touch: _site, _bucket, _from, _to
+    (microseconds, both included), _campaign.
+
+    Where campaigns overlap the last one by ``campaign_order`` is kept. They are swept over in spans of 16 buckets, so a site
+    with very many campaigns is spread over time.
+    """
+    wide_days = 16 * bucket_days
+    wide = F.lit(wide_days * 86_400_000_000)
+    spans = campaigns.where((F.col("clock_start") <= F.col("clock_end")) & F.col("site").isNotNull()).select(
+        F.col("site").alias("_site"), _micros(F.col("clock_start")).alias("_from"), _micros(F.col("clock_end")).alias("_to"),
+        F.col("campaign_id").alias("_campaign"), F.struct(*campaign_order).alias("_order"))
+    spans = spans.withColumn("_span", F.explode(F.sequence(_part(F.col("_from"), wide_days), _part(F.col("_to"), wide_days))))
+    clipped = spans.withColumns({
+        "_rank": F.row_number().over(Window.partitionBy("_site", "_span").orderBy("_order")),
+        "_from": F.greatest(F.col("_from"), F.col("_span") * wide), "_to": F.least(F.col("_to"), (F.col("_span") + 1) * wide - 1)}).drop("_order")
+    kinds = {f.name: f.dataType.simpleString() for f in clipped.schema}
+    # The window has brought each group into one partition, which the sort within partitions keeps.
+    pieces = clipped.sortWithinPartitions("_site", "_span", "_from").mapInPandas(
+        _sweep, f"_site {kinds['_site']}, _from bigint, _to bigint, _campaign {kinds['_campaign']}")
+    return pieces.withColumn("_bucket", F.explode(F.sequence(_part(F.col("_from"), bucket_days), _part(F.col("_to"), bucket_days))))
+
+
+def assign_campaigns(recordings: DataFrame, campaigns: DataFrame, campaign_order: Sequence[str] = ("ordinal",),
+                     strict: bool = True, bucket_days: int = 32) -> DataFrame:
     """Each valid recording with the campaign of its site whose interval holds its clock start.
 
     Both bounds are included; of several matching campaigns the last one (by ``campaign_order``) wins. With
     ``strict`` a valid recording outside every campaign fails the job; otherwise its campaign_id is NULL.
 
-    The range condition becomes an equality on (site, bucket of days): a campaign is repeated once per bucket it
-    spans, so even a site with very many recordings is spread over time. ``bucket_days`` near the usual campaign
-    length keeps those copies few.
+    The campaigns of a site are first cut into disjoint pieces, so a recording meets at most one of them and is not grouped
+    again: rows that repeat stay as many as they are. The range condition becomes an equality on (site, bucket of days),
+    which spreads even a site with very many recordings over time.
     """
-    def bucket(clock):
-        return F.floor(F.unix_date(F.to_date(clock)) / F.lit(float(bucket_days))).cast("int")
-
-    valid = recordings.where(F.col("error").isNull()).withColumn("_day", bucket("clock_start"))
-    spans = campaigns.where(F.col("clock_start") <= F.col("clock_end")).select(
-        F.col("site").alias("_site"), F.explode(F.sequence(bucket("clock_start"), bucket("clock_end"))).alias("_span_day"),
-        F.col("clock_start").alias("_from"),
-        F.col("clock_end").alias("_to"), F.col("campaign_id").alias("_campaign"),
-        F.struct(*campaign_order).alias("_order"))
-    inside = ((F.col("site") == F.col("_site")) & (F.col("_day") == F.col("_span_day"))
-              & F.col("clock_start").between(F.col("_from"), F.col("_to")))
-    matched = valid.join(spans, inside, "left")
-    kept = [c for c in recordings.columns if c not in row_key]
-    last = (matched.groupBy(*row_key)
-            .agg(*[F.first(c).alias(c) for c in kept], F.max_by("_campaign", "_order").alias("campaign_id")))
+    valid = recordings.where(F.col("error").isNull()).withColumn("_at", _micros(F.col("clock_start")))
+    valid = valid.withColumn("_day", _part(F.col("_at"), bucket_days))
+    pieces = campaign_pieces(campaigns, campaign_order, bucket_days)
+    inside = ((F.col("site") == F.col("_site")) & (F.col("_day") == F.col("_bucket")) & F.col("_at").between(F.col("_from"), F.col("_to")))
+    campaign = F.col("_campaign")
     if strict:
-        last = last.withColumn("campaign_id", F.coalesce("campaign_id", F.raise_error(
-            F.concat(F.lit("recording outside every campaign: "), F.col("file"))).cast("string")))
-    return last.select(*recordings.columns, "campaign_id")
+        campaign = F.coalesce(campaign, F.raise_error(
+            F.concat(F.lit("recording outside every campaign: "), F.col("file"))).cast("string"))
+    return valid.join(pieces, inside, "left").select(*recordings.columns, campaign.alias("campaign_id"))
 
 
 def unassigned_files(recordings: DataFrame, campaigns: DataFrame, limit: int = 5, **order) -> list[str]:

@@ -66,3 +66,33 @@ def jaccard_without_hosted(lists: DataFrame, forests: DataFrame, folds: DataFram
     return joined.select(*keys, "group", *site, _distance(
         F.col("_common") - F.coalesce("_common_lost", zero), F.col("_own"),
         F.coalesce("_reference", zero) - F.coalesce("_reference_lost", zero)).alias("distance"))
+
+
+def beta_parts(lists: DataFrame, keys: Sequence[str], site: str) -> DataFrame:
+    """Dissimilarity of many sites at once and its parts: turnover (Simpson) and nestedness, per key.
+
+    ``lists`` has keys, site and species; repeated rows count once, rows without a site or species not at all. No pair of sites is
+    listed. The species that two sites share, summed over all pairs, are Σ k(k−1)/2 over the number k of sites of each species; the
+    smaller of the two richnesses, summed over all pairs, is Σ r·(how many richer sites follow), taken from the number of sites of
+    each richness, so ties are one row. Where no species differs (or there is one site) the parts are 0.
+    """
+    keys = list(keys)
+    known = lists.where(F.col(site).isNotNull() & F.col("species").isNotNull()).select(*keys, site, "species").distinct()
+    half = lambda n: n * (n - 1) / 2
+    species = known.groupBy(*keys, "species").agg(F.count(F.lit(1)).alias("_k")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("species"), F.sum("_k").alias("_records"), F.sum(half(F.col("_k").cast("double"))).alias("_shared"))
+    richness = known.groupBy(*keys, site).agg(F.count(F.lit(1)).alias("_r")).groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    richer = Window.partitionBy(*keys).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    n, r = F.col("_n").cast("double"), F.col("_r").cast("double")
+    pairs = richness.withColumn("_above", F.coalesce(F.sum("_n").over(richer), F.lit(0)).cast("double")).groupBy(*keys).agg(
+        F.sum("_n").alias("sites"), F.sum(r * (n * F.col("_above") + half(n))).alias("_least"))
+    total = F.col("_records").cast("double")
+    # Over all pairs the richnesses add up to (sites − 1) × records.
+    least, most = F.col("_least") - F.col("_shared"), (F.col("sites") - 1) * total - F.col("_least") - F.col("_shared")
+    common = total - F.col("species")
+    ratio = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / b)
+    sorensen, turnover = ratio(least + most, 2 * common + least + most), ratio(least, common + least)
+    joined = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    return pairs.alias("p").join(species.alias("s"), joined).select(
+        *[F.col(f"p.{k}").alias(k) for k in keys], "sites", "species", sorensen.alias("dissimilarity"), turnover.alias("turnover"),
+        (sorensen - turnover).alias("nestedness"))

@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,26 @@ def test_rarefaction_equals_enumeration(spark, total, m, minutes):
     assert sum(r[0] for r in rows) == pytest.approx(expected, abs=1e-12)
 
 
+def test_rarefaction_of_any_size_equals_exact_integers(spark):
+    cases = [(200, 65, 65), (193, 65, 65), (1000, 100, 70), (5000, 80, 66), (100_000, 3000, 900), (100_000, 99_000, 65), (1_000_000, 40_000, 100)]
+    cases += [(10 ** 9, 32_000, 31_000), (10 ** 9, 10 ** 8, 65), (10 ** 9, 10 ** 6, 900), (10 ** 9, 5 * 10 ** 8, 3), (10 ** 9, 999_999_990, 999_999_990), (10 ** 7, 0, 9)]
+
+    def exact(total, n, m):
+        short, long_ = sorted((n, m))
+        absent = Fraction(1)
+        for j in range(short):  # rounded to 200 bits now and then, far below what is compared
+            absent *= Fraction(total - long_ - j, total - j)
+            if absent.denominator.bit_length() > 4000:
+                absent = Fraction((absent.numerator << 400) // absent.denominator, 1 << 400)
+            if absent < Fraction(1, 10 ** 30):
+                return 1.0
+        return float(1 - absent)
+
+    rows = spark.createDataFrame(cases, "total long, n long, m long").select(S.rarefaction_term(F.col("n"), F.col("total"), F.col("m"))).collect()
+    for case, row in zip(cases, rows):
+        assert abs(row[0] - exact(*case)) < 1e-12, case
+
+
 def test_rarefaction_refuses_too_much_effort(spark):
     with pytest.raises(Exception, match="rarefaction effort"):
         column(spark, [1], "bigint", S.rarefaction_term(F.col("v"), F.lit(5), F.lit(6)))

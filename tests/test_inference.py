@@ -1,8 +1,11 @@
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ecoframe.operators import sets
 from ecoframe.operators import intervals as I
 from ecoframe.operators import ridge as G
 
@@ -220,3 +223,22 @@ def test_moments_merge_in_any_grouping(spark):
         for g in (0, 7, 19):
             others = p.rows.filter(F.col("group") != g).groupBy("k").agg(*G.moments(p.features)).toPandas()[names].to_numpy()[0]
             assert np.allclose(rest.loc[g, [f"t_{n}" for n in names]].astype(float), others, rtol=1e-10, atol=1e-10)
+
+
+def test_turnover_and_nestedness_equal_the_sums_over_pairs(spark):
+    r = np.random.default_rng(8)
+    rows = [(k, f"s{s}", f"sp{x}") for k in ("a", None) for s in range(7) for x in range(12) if r.random() < 0.2 + s / 12]
+    rows += [("one", "s", "sp1"), ("same", "s", "x"), ("same", "t", "x"), ("same", "t", None), ("same", None, "y")] + rows[:4]
+    got = {g.key: g for g in sets.beta_parts(spark.createDataFrame(rows, "key string, site string, species string"), ["key"], "site").collect()}
+    assert set(got) == {"a", None, "one", "same"} and [got[k].dissimilarity for k in ("one", "same")] == [0.0, 0.0]
+    for key in ("a", None):
+        lists = {}
+        for k, s, x in rows:
+            if k == key:
+                lists.setdefault(s, set()).add(x)
+        pairs = [(len(p - q), len(q - p)) for p, q in itertools.combinations(lists.values(), 2)]
+        low, high = sum(map(min, pairs)), sum(map(max, pairs))
+        common = sum(map(len, lists.values())) - len(set().union(*lists.values()))
+        sor, sim = (low + high) / (2 * common + low + high), low / (common + low)
+        assert (got[key].dissimilarity, got[key].turnover, got[key].nestedness) == pytest.approx((sor, sim, sor - sim))
+    assert sets.beta_parts(spark.createDataFrame([], "key string, site string, species string"), ["key"], "site").count() == 0
