@@ -125,14 +125,15 @@ def _cells(low: Column, high: Column, cell_deg: float) -> Column:
 def points_in_footprints(points: DataFrame, footprints: DataFrame, cell_deg: float = 1.0) -> DataFrame:
     """Pairs of a point (lon, lat) and a footprint box (west, south, east, north) that holds it.
 
-    Both sides are keyed by grid cell, so the join is an equality join with the exact test as residual.
+    Both sides are keyed by grid cell, so the join is an equality join with the exact test as residual. Sizes are estimated
+    without the copies of a row, one for each of its cells, so the side that looks small must not be broadcast.
     """
     boxes = footprints.withColumn("_cx", _cells(F.col("west"), F.col("east"), cell_deg)).withColumn(
         "_cy", _cells(F.col("south"), F.col("north"), cell_deg))
     placed = points.withColumn("_px", F.floor(F.col("lon") / cell_deg)).withColumn(
         "_py", F.floor(F.col("lat") / cell_deg))
     holds = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
-    return placed.join(boxes, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & holds).drop(
+    return placed.hint("merge").join(boxes, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & holds).drop(
         "_px", "_py", "_cx", "_cy")
 
 
@@ -155,7 +156,8 @@ def items_over_areas(areas: DataFrame, items: DataFrame, cell_deg: float = 1.0)
     """Items whose box overlaps the area's (area_west, area_south, area_east, area_north) and that start in [first, last].
 
     Both sides are keyed by (grid cell, month). A pair that shares several cells counts in the one that holds the south-west
-    corner of the overlap, so nothing has to be made distinct.
+    corner of the overlap, so nothing has to be made distinct. Neither side is broadcast: an area is one row for each of its
+    months and cells, which estimates of its size leave out.
     """
     months = F.sequence(F.trunc("first", "MM"), F.trunc("last", "MM"), F.expr("interval 1 month"))
     wanted = areas.withColumn("_month", F.explode(months)).withColumn(
@@ -169,7 +171,7 @@ def items_over_areas(areas: DataFrame, items: DataFrame, cell_deg: float = 1.0)
     corner = ((F.floor(F.greatest("west", "area_west") / cell_deg) == F.col("_cx"))
               & (F.floor(F.greatest("south", "area_south") / cell_deg) == F.col("_cy")))
     inside = F.to_date("start").between(F.col("first"), F.col("last"))
-    return wanted.join(keyed, same & overlap & corner & inside).drop("_month", "_item_month", "_ax", "_ay", "_cx", "_cy")
+    return wanted.hint("merge").join(keyed, same & overlap & corner & inside).drop("_month", "_item_month", "_ax", "_ay", "_cx", "_cy")
 
 
 def one_item_per_period(candidates: DataFrame, keys: Sequence[str] = ("site", "campaign_id"),
