@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ecoframe.functions.random import uniform
 from ecoframe.operators.skew import rank_by_uniform
 
+#: Up to so many rows a rank Spark limits groups before it shuffles them (spark.sql.optimizer.windowGroupLimitThreshold).
+MOST_LIMITED = 1000
 #: Shares of the observations that stay.
 LEVELS = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)
 
@@ -19,15 +21,22 @@ def jaccard_at_effort(minutes: DataFrame, detections: DataFrame, reference: Data
     """Mean Jaccard distance of lists made of ``m`` minutes to a reference list, over ``replicates`` sub-samples.
 
     ``minutes`` has keys and minute (one row each), ``detections`` keys, minute and species, ``reference`` species. In a replicate
-    each minute has a draw, a hash of its coordinates, and the m smallest draws are the sub-sample; ranks are taken in pieces, and
-    no list of draws or species is collected. Keys with fewer than ``m`` minutes can't reach the effort: their distance is NULL.
+    each minute has a draw, a hash of its coordinates, and the m smallest draws are the sub-sample; each task sends at most m rows of
+    a replicate (ranks are taken in pieces where m is over ``MOST_LIMITED``). A minute carries the set of its species through the
+    ranking, so the draws, one row for each replicate, meet no other table; only that set is collected. Keys with fewer than ``m``
+    minutes can't reach the effort: their distance is NULL.
     """
     keys = list(keys)
-    drawn = minutes.select(*keys, "minute", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn(
+    own = detections.select(*keys, "minute", "species").groupBy(*keys, "minute").agg(F.collect_set(F.struct("species")).alias("_own"))
+    drawn = minutes.select(*keys, "minute").join(own, [*keys, "minute"], "left").select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn(
         "_u", uniform(seed, *[F.col(k) for k in keys], F.col("replicate"), F.col("minute"), portable=portable))
-    chosen = rank_by_uniform(drawn, [*keys, "replicate"], "_u", ["minute"], "_rank", pieces).where(F.col("_rank") < m)
-    heard = chosen.select(*keys, "replicate", "minute").join(detections.select(*keys, "minute", "species").distinct(), [*keys, "minute"])
-    listed = heard.select(*keys, "replicate", "species").distinct().join(
+    if m <= MOST_LIMITED:
+        least = Window.partitionBy(*keys, "replicate").orderBy("_u", "minute")
+        chosen = drawn.withColumn("_rank", F.row_number().over(least)).where(F.col("_rank") <= m)
+    else:
+        chosen = rank_by_uniform(drawn, [*keys, "replicate"], "_u", ["minute"], "_rank", pieces).where(F.col("_rank") < m)
+    listed = chosen.select(*keys, "replicate", F.inline("_own")).distinct().join(
         reference.select("species").distinct().withColumn("_in", F.lit(1)), "species", "left")
     counts = listed.groupBy(*keys, "replicate").agg(F.count(F.lit(1)).alias("_own"), F.count("_in").alias("_common"))
     size = reference.select("species").distinct().agg(F.count(F.lit(1)).alias("_reference"))

@@ -76,7 +76,8 @@ def rank_by_uniform(rows: DataFrame, keys: Sequence[str], draw: str, tie: Sequen
     """0-based rank of each row within its key, ordered by a uniform ``draw`` (then ``tie``).
 
     Equals ``row_number() over (partition by keys order by draw, tie) - 1``, but a key with very many rows is
-    ranked in ``buckets`` pieces: the draw itself says which piece, and piece totals give the offsets.
+    ranked in ``buckets`` pieces: the draw itself says which piece, and piece totals give the offsets. These can be as many
+    as the rows, so they are never broadcast.
     """
     keys = list(keys)
     if buckets <= 1:
@@ -88,6 +89,6 @@ def rank_by_uniform(rows: DataFrame, keys: Sequence[str], draw: str, tie: Sequen
                .withColumn("_offset", F.coalesce(F.sum("_rows").over(ahead), F.lit(0))).drop("_rows"))
     within = Window.partitionBy(*keys, "_bucket").orderBy(draw, *tie)
     return (placed.withColumn("_position", F.row_number().over(within) - 1)
-            .join(offsets, [*keys, "_bucket"])
+            .join(offsets.hint("merge"), [*keys, "_bucket"])
             .withColumn(name, (F.col("_offset") + F.col("_position")).cast("bigint"))
             .drop("_bucket", "_offset", "_position"))
