@@ -14,6 +14,9 @@ from ecoframe.operators.ridge import (Problem, absolute_errors, coefficients, ga
                                       moments, without_each)
 from ecoframe.operators.skew import rank_by_uniform
 
+#: Replicates of a row that are drawn in one task.
+CHUNK = 50
+
 
 def _small(problem: Problem, df: DataFrame) -> DataFrame:
     """Marks a side that holds a few rows per problem: where problems are small, it is hashed instead of sorting
@@ -60,8 +63,15 @@ def fixed_error_interval(errors: DataFrame, problem: Problem, n_boot: int = 1000
     keys = list(problem.keys)
     indexed = _indexed(errors, problem, "row_id", seed, portable, buckets)
     if problem.skewed:
-        counts = _draw_counts(indexed, problem, n_boot, seed, portable)
-        drawn = counts.join(indexed.select(*keys, "index", "error_base", "error_larger"), [*keys, "index"])
+        # rows are few beside their draws: replicates are dealt out in chunks first, and no draw is held to count it
+        parts = int(errors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = indexed.select(*keys, "index", "size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(CHUNK))).alias("_from"))
+        dealt = dealt.repartition(parts, *keys, "index", "_from")
+        last = F.least(F.col("_from") + CHUNK - 1, F.lit(n_boot - 1))
+        draws = dealt.select(*keys, "index", "size", F.explode(F.sequence("_from", last)).alias("b"))
+        u = uniform(seed, F.lit("draw"), *_key_columns(problem), F.col("b"), F.col("index"), portable=portable)
+        picked = draws.select(*keys, "b", F.lit(1).alias("c"), F.floor(u * F.col("size")).cast("bigint").alias("index"))
+        drawn = picked.join(indexed.select(*keys, "index", "error_base", "error_larger").hint("shuffle_hash"), [*keys, "index"])
     else:
         # few rows per problem: each draw reads its error from the problem's own list, nothing is shuffled
         listed = indexed.groupBy(*keys).agg(
