@@ -127,13 +127,19 @@ def annotation_problems(detections: DataFrame, recordings: DataFrame, order: Seq
 
 
 def orphan_files(detections: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Annotated files without audio, and audio files without any annotation."""
-    annotated, audio = detections.select("file").distinct(), recordings.select("file").distinct()
-    return _union([
-        _rows(annotated.join(audio, "file", "left_anti"), C.QC_ANNOTATION_WITHOUT_AUDIO, "file",
-              F.lit("annotated file is not among the recordings")),
-        _rows(audio.join(annotated, "file", "left_anti"), C.QC_AUDIO_WITHOUT_ANNOTATION, "file",
-              F.lit("recording without annotation"))])
+    """Annotated files without audio, and audio files without any annotation.
+
+    One grouping of the names of both sides, as bits; a missing name is unlike any other.
+    """
+    names = detections.select("file", F.lit(1).alias("_side")).union(recordings.select("file", F.lit(2).alias("_side")))
+    sides = names.groupBy("file").agg(F.bit_or("_side").alias("_sides"))
+    annotated, audio = F.col("_sides") != 2, F.col("_sides") != 1
+    return _explode_problems(
+        sides,
+        _problem(annotated & (~audio | F.col("file").isNull()), C.QC_ANNOTATION_WITHOUT_AUDIO, F.col("file"),
+                 F.lit("annotated file is not among the recordings")),
+        _problem(audio & (~annotated | F.col("file").isNull()), C.QC_AUDIO_WITHOUT_ANNOTATION, F.col("file"),
+                 F.lit("recording without annotation")))
 
 
 # --- points ---------------------------------------------------------------------------------------------
