@@ -1,7 +1,8 @@
 """Quality-control report: one row per problem, with kind, target and detail.
 
 ``target`` is a file name, or the site for problems of a whole site. Rules that look at one row at a time share
-one pass over the table; rules about repeated keys count first and join the few repeated keys back.
+one pass over the table; rules about repeated keys count first and join the few repeated keys back, or, where a problem is told
+by its key alone, give out the key as often as it is repeated.
 
 Row order, where it matters (first occurrence wins), is named by ``order`` columns.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ecoframe import constants as C
 from ecoframe.functions.scalars import valid_coordinate, years_in_text
-from ecoframe.operators.skew import attach, repeated, shared
+from ecoframe.operators.skew import attach, later_keys, repeated, shared
 
 REPORT = ["kind", "target", "detail"]
 
@@ -73,8 +74,8 @@ def recording_problems(recordings: DataFrame, min_duration_s: float = C.MIN_DURA
 
 
 def repeated_names(recordings: DataFrame, order: Sequence[str]) -> DataFrame:
-    return _rows(repeated(recordings.select(*dict.fromkeys(["file", *order])), ["file"], order),
-                 C.QC_DUPLICATE_RECORDING, "file", F.lit("file name repeated"))
+    """Second and later files of one name; which of them comes first (``order``) does not show in a problem."""
+    return _rows(later_keys(recordings, ["file"]), C.QC_DUPLICATE_RECORDING, "file", F.lit("file name repeated"))
 
 
 def repeated_content(recordings: DataFrame) -> DataFrame:
@@ -92,9 +93,8 @@ def repeated_clock(recordings: DataFrame) -> DataFrame:
 # --- annotations ----------------------------------------------------------------------------------------
 
 def repeated_annotations(detections: DataFrame, order: Sequence[str]) -> DataFrame:
-    key = ["file", "species", "start_s", "end_s"]
-    return _rows(repeated(detections.select(*dict.fromkeys([*key, *order])), key, order),
-                 C.QC_DUPLICATE_ANNOTATION, "file",
+    """Second and later annotations alike; which of them comes first (``order``) does not show in a problem."""
+    return _rows(later_keys(detections, ["file", "species", "start_s", "end_s"]), C.QC_DUPLICATE_ANNOTATION, "file",
                  _text(F.col("species"), " ", F.col("start_s"), "–", F.col("end_s"), " s"))
 
 
@@ -148,8 +148,7 @@ def point_problems(points: DataFrame, order: Sequence[str]) -> DataFrame:
     """Coordinates that are not numbers or out of range, and sites listed more than once."""
     invalid = points.where(~valid_coordinate(F.col("latitude"), F.col("longitude")))
     return _union([
-        _rows(repeated(points.select(*dict.fromkeys(["site", *order])), ["site"], order), C.QC_DUPLICATE_POINT,
-              "site", F.lit("site repeated in the points table")),
+        _rows(later_keys(points, ["site"]), C.QC_DUPLICATE_POINT, "site", F.lit("site repeated in the points table")),
         _rows(invalid, C.QC_INVALID_COORDINATE, "site",
               _text("lat=", F.col("latitude"), ", lon=", F.col("longitude")))])
 

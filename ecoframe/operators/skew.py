@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a repeated key gives out in one piece.
+PIECE = 10_000
+
 
 def whole(df: DataFrame) -> DataFrame:
     """``df`` with its columns as the output of one generator, so that no later filter or pruning reaches below it.
@@ -71,6 +74,20 @@ def repeated(rows: DataFrame, keys: Sequence[str], order: Sequence[str] | None =
     return joined.drop("_n", "_first")
 
 
+def later_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The key of every second and later row of a key, once for each such row.
+
+    For what is told by the key alone: keys are counted, no row is joined back. A key with very many rows is given out in pieces of
+    PIECE rows, which are dealt to many tasks. NULLs in the key are equal to each other.
+    """
+    keys = list(keys)
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 2) / PIECE))))
+    dealt = pieces.repartition(*keys, "_piece")
+    left = F.least(F.lit(PIECE).cast("bigint"), F.col("_n") - 1 - F.col("_piece") * PIECE)
+    return dealt.select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), left)).alias("_at")).drop("_at")
+
+
 def rank_by_uniform(rows: DataFrame, keys: Sequence[str], draw: str, tie: Sequence[str], name: str,
                     buckets: int = 64) -> DataFrame:
     """0-based rank of each row within its key, ordered by a uniform ``draw`` (then ``tie``).
