@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ecoframe import constants as C
 from ecoframe.functions.scalars import valid_coordinate, years_in_text
-from ecoframe.operators.skew import attach, later_keys, repeated, shared
+from ecoframe.operators.skew import attach, later_keys, repeated, shared, whole
 
 REPORT = ["kind", "target", "detail"]
 
@@ -107,12 +107,25 @@ def files_of(recordings: DataFrame, order: Sequence[str]) -> DataFrame:
         F.when(F.col("_valid"), F.col("_first.duration_s")).alias("_duration"), F.lit(True).alias("_known"))
 
 
-def annotation_problems(detections: DataFrame, recordings: DataFrame, order: Sequence[str],
-                        tolerance_s: float = C.END_TOLERANCE_S) -> DataFrame:
-    """Incomplete annotations, wrong site and times outside the audio, in one pass over the joined rows."""
-    per_file = files_of(recordings, order)
+def names_of(detections: DataFrame, recordings: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row per file name of either side: its annotations ``_n`` and the columns of :func:`files_of`, NULL where it has none.
+
+    A missing name is unlike any other: it has a row for each side.
+    """
     sizes = detections.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
-    joined = attach(detections, sizes.join(per_file, "file", "left"), ["file"], "_n")
+    return whole(sizes.join(files_of(recordings, order), "file", "full"))
+
+
+def annotation_problems(detections: DataFrame, recordings: DataFrame, order: Sequence[str],
+                        tolerance_s: float = C.END_TOLERANCE_S, names: DataFrame | None = None) -> DataFrame:
+    """Incomplete annotations, wrong site and times outside the audio, in one pass over the joined rows.
+
+    ``names`` is the result of :func:`names_of`, where other rules read it too.
+    """
+    if names is None:
+        sizes = detections.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+        names = sizes.join(files_of(recordings, order), "file", "left")
+    joined = attach(detections, names.where(F.col("_n").isNotNull()), ["file"], "_n")
     start, end = F.col("start_s"), F.col("end_s")
     outside = ((end > F.col("_duration") + tolerance_s) | (start < 0) | (end < start))
     known = F.coalesce(F.col("_valid"), F.lit(False))
@@ -126,16 +139,22 @@ def annotation_problems(detections: DataFrame, recordings: DataFrame, order: Seq
                  F.col("file"), _text(start, "–", end, " s in ", F.col("_duration"), " s of audio")))
 
 
-def orphan_files(detections: DataFrame, recordings: DataFrame) -> DataFrame:
+def orphan_files(detections: DataFrame, recordings: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Annotated files without audio, and audio files without any annotation.
 
-    One grouping of the names of both sides, as bits; a missing name is unlike any other.
+    One grouping of the names of both sides, as bits; a missing name is unlike any other. ``names`` is the result of
+    :func:`names_of`, where other rules read it too.
     """
+    if names is not None:
+        return _orphans(names, F.col("_n").isNotNull(), F.col("_known").isNotNull())
     names = detections.select("file", F.lit(1).alias("_side")).union(recordings.select("file", F.lit(2).alias("_side")))
     sides = names.groupBy("file").agg(F.bit_or("_side").alias("_sides"))
-    annotated, audio = F.col("_sides") != 2, F.col("_sides") != 1
+    return _orphans(sides, F.col("_sides") != 2, F.col("_sides") != 1)
+
+
+def _orphans(names: DataFrame, annotated: Column, audio: Column) -> DataFrame:
     return _explode_problems(
-        sides,
+        names,
         _problem(annotated & (~audio | F.col("file").isNull()), C.QC_ANNOTATION_WITHOUT_AUDIO, F.col("file"),
                  F.lit("annotated file is not among the recordings")),
         _problem(audio & (~annotated | F.col("file").isNull()), C.QC_AUDIO_WITHOUT_ANNOTATION, F.col("file"),
@@ -198,20 +217,23 @@ def quality_report(recordings: DataFrame, detections: DataFrame, points: DataFra
                    point_order: Sequence[str] = ("ordinal",)) -> DataFrame:
     """All rules as one table; an input without problems gives an empty table with the same columns.
 
-    Recordings and annotations pass one exchange each, from which every rule reads: neither input runs twice.
+    Recordings and annotations pass one exchange each, from which every rule reads: neither input runs twice. The rules about file
+    names of both sides read one table of names. No problem shows which annotation comes first, so ``detection_order`` is not
+    carried along; annotations that are alike in all columns are split by their origin where they are many.
     """
     recordings = shared(recordings.select(*dict.fromkeys([
         "file", "site", "source_site", "clock_start", "duration_s", "rate_hz", "channels", "sha256", "error",
         *recording_order])), "file", *recording_order)
-    detections = shared(detections.select(*dict.fromkeys([
-        "file", "site", "species", "start_s", "end_s", *detection_order])), "file", *detection_order)
+    key = ["file", "species", "start_s", "end_s"]
+    detections = whole(detections.select(*key, "site").hint("rebalance", *[F.col(c) for c in key]))
+    names = names_of(detections, recordings, recording_order)
     parts = [recording_problems(recordings, min_duration_s),
              repeated_names(recordings, recording_order),
              repeated_content(recordings),
              repeated_clock(recordings),
              repeated_annotations(detections, detection_order),
-             annotation_problems(detections, recordings, recording_order, tolerance_s),
-             orphan_files(detections, recordings)]
+             annotation_problems(detections, recordings, recording_order, tolerance_s, names),
+             orphan_files(detections, recordings, names)]
     if points is not None:
         parts += [point_problems(points, point_order),
                   site_problems(recordings, points, point_order),
