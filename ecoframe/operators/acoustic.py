@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecoframe.functions.scalars import campaign_id, rarefaction_term
+from ecoframe.operators.skew import whole
 
 CONTEXT = ["site", "validation_group", "latitude", "longitude", "recorder"]
 
 
 def campaign_table(recordings: DataFrame) -> DataFrame:
-    """One campaign per site, bounded by its own valid recordings."""
-    return (recordings.where(F.col("error").isNull() & F.col("site").isNotNull())
+    """One campaign per site, bounded by its own valid recordings; all uses in one plan read one grouping."""
+    return whole(recordings.where(F.col("error").isNull() & F.col("site").isNotNull())
             .groupBy("site").agg(
                 F.min("clock_start").alias("clock_start"), F.max("clock_start").alias("clock_end"),
                 F.count(F.lit(1)).alias("n_recordings"),
@@ -128,7 +129,10 @@ def unassigned_files(recordings: DataFrame, campaigns: DataFrame, limit: int = 5
 
 def species_minutes(assigned: DataFrame, detections: DataFrame) -> DataFrame:
     """Distinct minutes (files) in which each species was detected, per campaign; matched by file name only."""
-    files = assigned.select("campaign_id", "file").distinct()
+    return _minutes_heard(assigned.select("campaign_id", "file").distinct(), detections)
+
+
+def _minutes_heard(files: DataFrame, detections: DataFrame) -> DataFrame:
     heard = detections.where(F.col("species").isNotNull()).select("file", "species").distinct()
     return heard.join(files, "file").groupBy("campaign_id", "species").agg(F.count(F.lit(1)).alias("minutes"))
 
@@ -139,10 +143,10 @@ def acoustic_summary(assigned: DataFrame, detections: DataFrame, campaigns: Data
 
     ``assigned`` comes from :func:`assign_campaigns`. The common effort is ``standard_minutes``, or the
     smallest number of minutes among the campaigns when it is not given (or 0). A campaign with less effort
-    than that fails the job.
+    than that fails the job. Minutes, effort and species read one run of the assignment.
     """
-    minutes = assigned.select("campaign_id", "file").distinct().groupBy("campaign_id").agg(
-        F.count(F.lit(1)).alias("valid_minutes"))
+    files = whole(assigned.select("campaign_id", "file").distinct())
+    minutes = whole(files.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("valid_minutes")))
     if standard_minutes:
         effort = F.lit(int(standard_minutes)).cast("bigint")
     else:
@@ -150,7 +154,7 @@ def acoustic_summary(assigned: DataFrame, detections: DataFrame, campaigns: Data
     base = campaigns.select("site", "campaign_id").join(minutes, "campaign_id", "left").select(
         "site", "campaign_id", F.coalesce("valid_minutes", F.lit(0).cast("bigint")).alias("valid_minutes"),
         effort.alias("standard_effort_min"))
-    heard = species_minutes(assigned, detections).join(
+    heard = _minutes_heard(files, detections).join(
         base.select("campaign_id", "valid_minutes", "standard_effort_min").distinct(), "campaign_id")
     per_campaign = heard.groupBy("campaign_id").agg(
         F.count(F.lit(1)).alias("species_detected"),
