@@ -107,7 +107,8 @@ def refit_bootstrap_interval(problem: Problem, n_boot: int = 200, level: float =
     weighted = counts.join(_small(problem, stats), [*keys, "group"])
     rest = without_each(weighted, [*keys, "b", "mask"], "group", features, problem.most_groups, weight="c")
     train = {n: F.col(f"t_{n}") for n in names}
-    fits = problem.own(rest).join(weighted.select(*keys, "b", "mask", "group", "c", "s_w"), [*keys, "b", "mask", "group"]).select(
+    # a replicate that drew a single group leaves nothing to fit
+    fits = problem.own(rest).where("t_s_w > 0").join(weighted.select(*keys, "b", "mask", "group", "c", "s_w"), [*keys, "b", "mask", "group"]).select(
         *keys, "mask", "group", "b", "c", "s_w", coefficients(train, features, problem.models, problem.penalty).alias("fit"))
 
     # one list of at most n_boot fits per group; rows meet it once and fan out before a map-side sum
@@ -219,7 +220,7 @@ def permutation_test(problem: Problem, feature: str, n_perm: int = 199, seed="pe
     by_group = permuted.groupBy(*keys, "i", "mask", "group").agg(*moments(features))
     rest = without_each(by_group, [*keys, "i", "mask"], "group", features, problem.most_groups)
     train = {n: F.col(f"t_{n}") for n in names}
-    fits = problem.own(rest).select(
+    fits = problem.own(rest).where("t_s_w > 0").select(
         *keys, "i", "mask", "group", coefficients(train, features, larger, problem.penalty).alias("fit"))
     error = absolute_errors(F.col("fit"), larger)["larger"]
     permuted_error = permuted.join(fits, [*keys, "i", "mask", "group"]).groupBy(*keys, "i").agg(F.sum(error).alias("_e"))
